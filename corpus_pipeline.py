@@ -1,8 +1,66 @@
-"""Corpus pipeline: language ID, near duplicates, decontamination, secrets, packing."""
+"""Corpus pipeline: language ID, near duplicates, decontamination, secrets, packing.
 
-STAGES = []
+Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the
+last return the columns of documents.  Nulls and empty texts: the first stage
+rejects documents without a letter, so none reaches the later ones.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from opledger.llm import decontaminate, langid, ngrams, packing, secrets
+from opledger.llm.common import kept, table
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a known language go on; those without a letter, or with no language that holds 0.4 of their letters, go."""
+    return langid.accept(docs, langid.train(docs))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of linked ones stays: the one with the smallest id (five words, similarity 0.8).
+
+    Of rows with that same id one stays, the first by its text.
+    """
+    joined = ngrams.join(docs, k=5, num=80, den=100)
+    heads = kept(joined.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count("*").alias("n")), "heads")
+    stay = docs.join(heads, docs.doc_id.eqNullSafe(heads.doc_id), "left_semi")
+    if heads.filter("n > 1").isEmpty():
+        return stay
+    return stay.groupBy("doc_id").agg(F.min(F.struct("text", *[c for c in docs.columns if c not in ("doc_id", "text")])).alias("first")).select(*[F.col("doc_id") if c == "doc_id" else F.col("first")[c].alias(c) for c in docs.columns])
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return decontaminate.clean(docs, decontaminate.load(table(spark, sf_dir, "benchmark")))
+
+
+def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets are replaced by a mark; no document goes."""
+    return secrets.redact(docs)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents in sequences of at most 2048 ids: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
+    return packing.pack_documents(docs).drop("ids")
+
+
+STAGES = [
+    ("language", language),
+    ("near_duplicates", near_duplicates),
+    ("decontaminated", decontaminated),
+    ("without_secrets", without_secrets),
+    ("packed", packed),
+]
+#: Neither trained models nor tokenizers can be said in SQL.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents; each result but the last is written to the shared folder and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = kept(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

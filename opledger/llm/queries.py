@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, lm, media, ngrams, packing, secrets, sstable, urls, warc
+from . import decontaminate, langid, lm, media, ngrams, packing, secrets, sstable, urls, warc
 from .common import held_out, scratch, table
 
 
@@ -34,6 +34,11 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents")).drop("ids")
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = decontaminate.load(table(spark, sf_dir, "benchmark"))
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), items)
+
+
 def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(table(spark, sf_dir, "documents"), held_out("doc_id", 7, 2))
 
@@ -51,7 +56,7 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngrams.join(table(spark, sf_dir, "documents"), k=4, num=85, den=100)
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_media_clips, op3_token_shards, op4_url_filter, op5_packing, op7_lm_score, op8_warc, op9_secret_scan, op10_ngram_join)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_media_clips, op3_token_shards, op4_url_filter, op5_packing, op6_decontamination, op7_lm_score, op8_warc, op9_secret_scan, op10_ngram_join)}
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
 
