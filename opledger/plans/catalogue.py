@@ -1,29 +1,6 @@
 """All queries over the driver's tables, with the SQL that gives the same rows."""
 
-from __future__ import annotations
+from . import array_queries, encoding_queries, frame_queries, layout_queries, replay_queries, stream_queries  # noqa: F401
+from .registry import ORACLE, QUERIES
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    """Registers a query under its function's name."""
-
-    def keep(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE[f.__name__] = sql
-        return f
-
-    return keep
-
-
-@query("SELECT user_id, event_type, arg_max(value, (ts, event_id)) AS value FROM events GROUP BY ALL")
-def replay_lww(spark: SparkSession, d: str) -> DataFrame:
-    events = spark.read.parquet(f"{d}/events.parquet")
-    return events.groupBy("user_id", "event_type").agg(F.max_by("value", F.struct("ts", "event_id")).alias("value"))
+__all__ = ["ORACLE", "QUERIES"]
