@@ -37,5 +37,5 @@ def apply(before: DataFrame, patch: DataFrame, key: str) -> DataFrame:
 def same_rows(a: DataFrame, b: DataFrame) -> DataFrame:
     """Rows that stand a different number of times on the two sides; empty for equal tables."""
     names = a.columns
-    counted = a.withColumn("n", F.lit(1)).unionByName(b.withColumn("n", F.lit(-1)))
-    return counted.groupBy(*names).agg(F.sum("n").alias("n")).filter("n <> 0")
+    counted = a.withColumn("surplus", F.lit(1)).unionByName(b.withColumn("surplus", F.lit(-1)))
+    return counted.groupBy(*names).agg(F.sum("surplus").alias("surplus")).filter("surplus <> 0")

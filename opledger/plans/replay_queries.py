@@ -121,7 +121,7 @@ def diff_upsert(spark: SparkSession, d: str) -> DataFrame:
     return diff.diff(*_snapshots(spark, d), "o_orderkey")
 
 
-@query("SELECT NULL::BIGINT AS o_orderkey, NULL::VARCHAR AS o_orderstatus, NULL::DOUBLE AS o_totalprice, NULL::BIGINT AS n WHERE false")
+@query("SELECT NULL::BIGINT AS o_orderkey, NULL::VARCHAR AS o_orderstatus, NULL::DOUBLE AS o_totalprice, NULL::BIGINT AS surplus WHERE false")
 def diff_apply_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     """apply(before, diff(before, after)) against after: no row is left."""
     before, after = _snapshots(spark, d)
