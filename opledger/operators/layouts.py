@@ -73,3 +73,13 @@ def patch_layout(ops: Column) -> Column:
         .when(sets, "SET_PATHS")
     )
     return F.coalesce(known, F.lit("OP_STREAM"))
+
+
+def assign_value_kind(text: Column, most: int = 32) -> Column:
+    """The compact form of an assigned value: NULL, BOOL, INT, STRING, BOOL_OBJECT, STRINGS, INTS or OTHER."""
+    shape = F.schema_of_variant(F.parse_json(text))
+    short = F.coalesce(F.json_array_length(text), F.lit(0)) <= most
+    return (
+        F.when(shape == "VOID", "NULL").when(shape == "BOOLEAN", "BOOL").when(shape == "BIGINT", "INT").when(shape == "STRING", "STRING")
+        .when(shape.rlike("^OBJECT<[^,<]*: BOOLEAN>$"), "BOOL_OBJECT").when((shape == "ARRAY<STRING>") & short, "STRINGS").when((shape == "ARRAY<BIGINT>") & short, "INTS").otherwise("OTHER")
+    )
