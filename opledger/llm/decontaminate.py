@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BATCH_BYTES, by_batches, mix
+from .common import by_batches, mix
 
 Q = 8
 RATE = 0.08
@@ -216,7 +216,7 @@ def leaks(docs: DataFrame, items: Items, text: str = "text", key: str = "doc_id"
         rows = [(keys[i], *s) for i, spans in enumerate(found) for s in spans]
         return dict(zip((key, "item_id", "start", "end", "edits"), zip(*rows))) if rows else {c: [] for c in (key, "item_id", "start", "end", "edits")}
 
-    return by_batches(docs.select(key, F.col(text).alias("text_")), work, f"`{key}` {dict(docs.dtypes)[key]}, item_id bigint, start bigint, end bigint, edits bigint", "text_", BATCH_BYTES // 2)
+    return by_batches(docs.select(key, F.col(text).alias("text_")), work, f"`{key}` {dict(docs.dtypes)[key]}, item_id bigint, start bigint, end bigint, edits bigint", "text_")
 
 
 def clean(docs: DataFrame, items: Items) -> DataFrame:
@@ -230,4 +230,4 @@ def clean(docs: DataFrame, items: Items) -> DataFrame:
         left = batch.filter(pa.array([not f for f in found], pa.bool_()))
         return {c: left.column(c) for c in names}
 
-    return by_batches(docs, work, docs.schema, "text", BATCH_BYTES // 2)
+    return by_batches(docs, work, docs.schema, "text")

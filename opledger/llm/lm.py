@@ -135,7 +135,7 @@ def class_table(path: str, counts: np.ndarray, end_id: int) -> tuple[np.ndarray,
     known[end_id] = True
     smooth = np.where(known, counts + 1.0, 0.0)
     total = np.bincount(classes, smooth, CLASSES)
-    with np.errstate(divide="ignore"):
+    with np.errstate(divide="ignore", invalid="ignore"):
         return classes, np.log(smooth / total[classes])
 
 

@@ -13,6 +13,7 @@ Edge cases: a null text is the empty text and has no ids.
 from __future__ import annotations
 
 import re
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -20,8 +21,13 @@ import numpy as np
 # Fixed value: the pre-token pattern that belongs to the vocabulary file.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 DEFAULT_VOCABULARY = "byte_bpe_50k.json"
-REMEMBERED = 250_000
+REMEMBERED = 150_000
 _AFTER_SPACE = re.compile(r"^ | (?=\s|$)")
+#: Marks that often end a word.
+_ENDS = list(".,;:!?")
+_PAIRS = ("  ", " \n", " \t", " \r", " \x0b", " \x0c", " \x1c", " \x1d", " \x1e", " \x1f")
+#: Blanks beyond ASCII.
+_BLANKS = "\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def vocabulary_path(name: str = DEFAULT_VOCABULARY) -> str:
@@ -43,21 +49,20 @@ class Remembered:
     def __init__(self, most: int):
         self.most, self.now, self.old = most, {}, {}
 
-    def missing(self, keys: set) -> list:
-        """Keys in neither generation; those of the old one move up."""
+    def values(self, keys: list[str], make) -> list[bytes]:
+        """The value of every key; make() gives those that are not remembered."""
+        if len(self.now) > self.most:
+            self.old, self.now = self.now, {}
         now, old = self.now, self.old
-        if len(now) > self.most:
-            self.old = old = now
-            self.now = now = {}
-        absent = []
-        for k in keys:
-            if k not in now:
-                got = old.get(k)
-                if got is None:
-                    absent.append(k)
-                else:
-                    now[k] = got
-        return absent
+        found = list(map(now.get, keys))
+        for i, v in enumerate(found):
+            if v is None:
+                k = keys[i]
+                v = old.get(k)
+                if v is None:
+                    v = make(k)
+                found[i] = now[k] = v
+        return found
 
 
 class WordEncoder:
@@ -76,8 +81,10 @@ class WordEncoder:
         self.merge = self.library.model.tokenize
         self.letters = _byte_letters()
         self.cut = regex.compile(PATTERN).findall
-        self.chunks = Remembered(remembered)
-        self.pieces = Remembered(remembered)
+        self.words = Remembered(remembered)
+        self.others = Remembered(remembered // 4)
+        self.bits: dict[str, bytes] = {}
+        self.ends = [self._piece(c) for c in _ENDS]
 
     def whole(self, texts: list[str]) -> list[bytes]:
         found = self.library.encode_batch_fast(texts, add_special_tokens=False)
@@ -85,57 +92,92 @@ class WordEncoder:
 
     def _piece(self, piece: str) -> bytes:
         """One pre-token through the library's merge model."""
-        found = self.merge(piece.encode().decode("latin-1").translate(self.letters))
-        return b"".join([x.id.to_bytes(2, "little") for x in found])
-
-    def _learn(self, missing: list[str]) -> None:
-        """Fills the chunk dictionary for chunks that follow a space."""
-        cuts, pieces = [], set()
-        for chunk in missing:
-            if chunk.isalpha():
-                c = (" " + chunk,)
-            elif chunk[-1] in ".,;:!?" and chunk[:-1].isalpha():
-                c = (" " + chunk[:-1], chunk[-1])
-            else:
-                c = self.cut(" " + chunk)
-            cuts.append(c)
-            pieces.update(c)
-        for piece in self.pieces.missing(pieces):
-            self.pieces.now[piece] = self._piece(piece)
-        get, chunks = self.pieces.now.__getitem__, self.chunks.now
-        for chunk, c in zip(missing, cuts):
-            chunks[chunk] = b"".join(map(get, c))
+        if piece.isascii() and piece.isprintable():
+            letters = "Ġ" + piece[1:] if piece[0] == " " else piece
+        else:
+            letters = piece.encode().decode("latin-1").translate(self.letters)
+        return array("H", [x.id for x in self.merge(letters)]).tobytes()
+
+    def _word(self, word: str) -> bytes:
+        """A word after a space."""
+        return self._piece(" " + word)
+
+    def _other(self, chunk: str) -> bytes:
+        """Whatever else stands after a space."""
+        return b"".join([self._bit(p) for p in self.cut(" " + chunk)])
+
+    def _bit(self, piece: str) -> bytes:
+        """A pre-token, remembered."""
+        got = self.words.now.get(piece[1:]) if piece[0] == " " else self.bits.get(piece)
+        if got is None:
+            got = self._piece(piece)
+            if piece[0] != " ":
+                if len(self.bits) > self.others.most:
+                    self.bits.clear()
+                self.bits[piece] = got
+        return got
+
+    @staticmethod
+    def _splits(text: str) -> bool:
+        """Whether every space of a text stands before a non-blank and after the start."""
+        if text[0] == " " or text[-1] == " " or "<|endoftext|>" in text:
+            return False
+        if any(pair in text for pair in _PAIRS):
+            return False
+        return text.isascii() or not any(c in text for c in _BLANKS) or not _AFTER_SPACE.search(text)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """One bytes object of ids (2 bytes each) per text."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
         out: list[bytes] = [b""] * len(texts)
-        split, whole = [], []
+        split = []
         for i, text in enumerate(texts):
             if not text:
                 continue
-            if "<|endoftext|>" in text or _AFTER_SPACE.search(text):
-                whole.append(i)
+            if self._splits(text):
+                split.append(i)
             else:
-                split.append((i, text.split(" ")))
-        for i in whole:
-            out[i] = self.whole([texts[i]])[0]
-        at = 0
-        while at < len(split):  # a bounded number of chunks at a time
-            upto, n = at, 0
-            while upto < len(split) and n < 100_000:
-                n += len(split[upto][1])
-                upto += 1
-            part = split[at:upto]
-            self._learn(self.chunks.missing(set().union(*(c[1:] for _, c in part))))
-            get = self.chunks.now.__getitem__
-            for i, c in part:
-                pieces = self.cut(c[0])
-                head = self.pieces.now
-                for p in pieces:
-                    if p not in head:
-                        head[p] = self._piece(p)
-                out[i] = b"".join([head[p] for p in pieces]) + b"".join(map(get, c[1:]))
-            at = upto
+                out[i] = self.whole([text])[0]
+        if not split:
+            return out
+        lists = pc.split_pattern(pa.array([texts[i] for i in split], pa.string()), " ")
+        begins = lists.offsets.to_numpy()[:-1] - lists.offsets[0].as_py()
+        coded = lists.flatten().dictionary_encode()
+        codes, chunks = coded.indices.to_numpy().astype(np.int64), coded.dictionary
+        # a chunk is a word, a word and one mark, or something else
+        marks = pc.index_in(pc.utf8_slice_codeunits(chunks, -1, None), pa.array(_ENDS)).to_numpy(zero_copy_only=False)
+        marked = ~np.isnan(marks)
+        words = pc.if_else(pa.array(marked), pc.utf8_slice_codeunits(chunks, 0, -1), chunks)
+        plain = pc.utf8_is_alpha(words).to_numpy(zero_copy_only=False)
+        unique = words.filter(pa.array(plain)).dictionary_encode()
+        known = self.words.values(unique.dictionary.to_pylist(), self._word)
+        other = np.flatnonzero(~plain)
+        rest = self.others.values(chunks.take(pa.array(other)).to_pylist(), self._other)
+        firsts = chunks.take(pa.array(codes[begins])).to_pylist()
+        heads = [b"".join([self._bit(p) for p in self.cut(c)]) for c in firsts]  # no space stands before the first chunk
+        # each chunk as two values: itself or its word, and its mark or nothing
+        values = [b"", *self.ends, *known, *rest, *heads]
+        one, two = np.zeros(len(chunks) + len(heads), np.int64), np.zeros(len(chunks) + len(heads), np.int64)
+        at = 1 + len(self.ends)
+        one[np.flatnonzero(plain)] = at + unique.indices.to_numpy()
+        one[other] = at + len(known) + np.arange(len(other))
+        one[len(chunks):] = at + len(known) + len(rest) + np.arange(len(heads))
+        two[:len(chunks)] = np.where(marked & plain, np.nan_to_num(marks) + 1, 0).astype(np.int64)
+        codes[begins] = np.arange(len(chunks), len(chunks) + len(heads))
+        codes = np.stack([one[codes], two[codes]], 1).ravel()
+        begins = begins.astype(np.int64) * 2
+        sizes = np.fromiter(map(len, values), np.int64, len(values)) // 2
+        flat = np.frombuffer(b"".join(values), "<u2")
+        starts = np.cumsum(sizes) - sizes
+        own = sizes[codes]
+        ends = np.cumsum(own)
+        ids = flat[np.arange(int(ends[-1])) + np.repeat(starts[codes] - (ends - own), own)]
+        cuts = np.append(ends[begins] - own[begins], ends[-1]) * 2
+        raw = ids.tobytes()
+        for i, lo, hi in zip(split, cuts[:-1].tolist(), cuts[1:].tolist()):
+            out[i] = raw[lo:hi]
         return out
 
 
