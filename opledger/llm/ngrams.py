@@ -12,11 +12,14 @@ length crowd together.  So trees stand in cells that every linked pair shares.
 Sizes are cut into overlapping windows.  In a window two linked sets differ in
 at most k shingles, so of k + 3 groups of shingles at least three hold the same
 shingles in both; a cell is one group with its content.  (Empty groups make no
-cell unless a set has three or more of them.)  All sets of a cell go to the tree
-of the cell's least node.
+cell unless a set has three or more of them.)  There are k / 8 further groups, so
+that as many more are shared; a set with no more crowded cells than that leaves
+them out, for it shares another with each of its partners.  All sets of a cell go to the tree
+of the cell's window and least node.
 
-In a large tree the first round links points only to leaders, and a second one
-tries the pairs between what is still apart, in blocks of points.
+In a tree of more than two the first round pairs points only with leaders, and a
+second one tries all pairs between what is still apart, in blocks of points; so
+a group of copies costs as many verified pairs as it has members.
 
 Edge cases: null, empty or blank texts have no shingle and link with nothing;
 a text with fewer words than a shingle is one shingle; repeated rows and ids
@@ -35,13 +38,19 @@ from pyspark.sql import functions as F
 from .common import kept, mix, slices, words_of
 from .graph import components
 
-DIM = 48
-SLACK = 2
-SMALL = 64
+EMPTY = 2
+HOT = 64
+WINDOWS = 64
+SMALL = 2
 BLOCK = 4096
 MARKS = 1 << 24
 
 
+def spare(most: int) -> int:
+    """How many crowded cells a set may leave out, by the most shingles in which linked sets of its window differ."""
+    return most // 8
+
+
 class Rule:
     """Sets link when den * intersection >= num * union."""
 
@@ -52,8 +61,11 @@ class Rule:
         """Smallest intersection with which sets of these sizes link."""
         return -((-self.num * (a + b)) // (self.num + self.den))
 
-    def windows(self, size: int) -> list[tuple[int, int]]:
-        """(number, most shingles by which linked sets differ) of the windows of sizes that hold this size.
+    def windows(self, size: int) -> list[tuple[int, int, int]]:
+        """(number, most shingles by which linked sets differ, coordinates) of the windows of sizes that hold this size.
+
+        A point has about a coordinate for every four shingles: fewer would not
+        keep unrelated long texts apart.
 
         For the greater set of any linked pair, the first window that holds it also holds the smaller one.
         """
@@ -62,11 +74,22 @@ class Rule:
             hi += 1
         while lo <= size:
             if size <= hi:
-                out.append((number, self._most(hi)))
+                out.append((number, self._most(hi), min(4096, 1 << max(5, (hi // 4).bit_length()))))
             number, lo = number + 1, -((-self.num * (hi + 1)) // self.den)
             hi = max(2 * lo, hi + 1)
         return out
 
+    def all_windows(self) -> list[tuple[int, int]]:
+        """(number, most) of every window that a number of WINDOWS can name."""
+        out, lo, hi = [], 1, 1
+        while self._most(hi + 1) == 0:
+            hi += 1
+        for number in range(WINDOWS):
+            out.append((number, self._most(hi)))
+            lo = -((-self.num * (hi + 1)) // self.den)
+            hi = max(2 * lo, hi + 1)
+        return out
+
     def _most(self, size: int) -> int:
         return 2 * size * (self.den - self.num) // (self.den + self.num)
 
@@ -98,53 +121,72 @@ def node_of(shingles: np.ndarray) -> int:
 
 
 def cells_and_point(shingles: np.ndarray, rule: Rule) -> tuple[np.ndarray, np.ndarray]:
-    """Names of the cells of a set, and its count vector."""
-    point = np.bincount((mix(shingles + np.uint64(0x1234567)) % np.uint64(DIM)).astype(np.int64), minlength=DIM)
+    """Names of the cells of a set (their last bits are the window's number), and its count vector at the finest width.
+
+    Widths are powers of two and a coordinate is a hash modulo the width, so a
+    vector is folded to a smaller width by sums.
+    """
+    windows = rule.windows(len(shingles))
+    width = windows[-1][2]
+    point = np.bincount((mix(shingles + np.uint64(0x1234567)) & np.uint64(width - 1)).astype(np.int64), minlength=width)
     out = [np.zeros(0, np.uint64)]
     spread, content = mix(shingles ^ np.uint64(0xA5A5A5A5)), mix(shingles + np.uint64(0xC0FFEE))
-    for number, most in rule.windows(len(shingles)):
+    for number, most, _ in windows:
         if most == 0:
             continue  # here only equal sets link
-        groups = most + 1 + SLACK
+        groups = most + 1 + EMPTY + spare(most)
         g = (spread % np.uint64(groups)).astype(np.int64)
         sums, counts = np.zeros(groups, np.uint64), np.bincount(g, minlength=groups)
         np.add.at(sums, g, content)
         names = mix(sums * np.uint64(0x9E3779B97F4A7C15) + np.uint64(number * 1_000_003) + np.arange(groups, dtype=np.uint64))
-        out.append(names if (counts == 0).sum() > SLACK else names[counts > 0])
+        names = names & np.uint64(2**64 - WINDOWS) | np.uint64(number % WINDOWS)
+        out.append(names if (counts == 0).sum() > EMPTY else names[counts > 0])
     return np.concatenate(out), point
 
 
 class RTree:
-    """Points bulk-loaded by repeated halving on the widest coordinate; every node keeps its upper corner and least size."""
+    """Points bulk-loaded by size and then by halving on the widest coordinate.
+
+    Every node keeps its least and greatest size and, of the points folded to
+    COARSE coordinates, the upper corner.  Rows that pass are held against the
+    bound in coarse and then in all coordinates.
+    """
 
-    def __init__(self, points: np.ndarray, sizes: np.ndarray, rule: Rule, leaf: int = 16):
-        self.rule, self.points, self.sizes = rule, points, sizes
-        order: list[np.ndarray] = []
-        todo = [np.arange(len(points))]
+    COARSE = 32
+
+    def __init__(self, points: np.ndarray, sizes: np.ndarray, rule: Rule, leaf: int = 16, slab: int = 128):
+        self.rule, self.sizes, self.points = rule, sizes, points
+        self.coarse = points if points.shape[1] <= self.COARSE else points.reshape(len(points), -1, self.COARSE).sum(1, dtype=np.uint32)
+        by_size, order = np.argsort(sizes, kind="stable"), []
+        todo = [by_size[at:at + slab] for at in range(0, len(by_size), slab)][::-1]
         while todo:
             rows = todo.pop()
             if len(rows) <= leaf:
                 order.append(rows)
                 continue
-            own = points[rows]
+            own = self.coarse[rows]
             axis = int(np.argmax(own.max(0) - own.min(0)))
             half = np.argpartition(own[:, axis], len(rows) // 2)
             todo += [rows[half[len(rows) // 2:]], rows[half[:len(rows) // 2]]]
         self.leaves = order
-        upper = np.stack([points[r].max(0) for r in order])
-        least = np.array([sizes[r].min() for r in order])
-        self.levels = [(upper, least)]
+        upper = np.stack([self.coarse[r].max(0) for r in order])
+        least, most = np.array([sizes[r].min() for r in order]), np.array([sizes[r].max() for r in order])
+        self.levels = [(upper, least, most)]
         while len(upper) > 8:
             cut = np.arange(0, len(upper), 8)
-            upper, least = np.maximum.reduceat(upper, cut), np.minimum.reduceat(least, cut)
-            self.levels.append((upper, least))
+            upper, least, most = np.maximum.reduceat(upper, cut), np.minimum.reduceat(least, cut), np.maximum.reduceat(most, cut)
+            self.levels.append((upper, least, most))
+
+    def search(self, row: int) -> np.ndarray:
+        """Rows whose overlap with the set of this row can reach the threshold (the row itself too)."""
+        return self.find(self.points[row], self.coarse[row], int(self.sizes[row]))
 
-    def search(self, point: np.ndarray, size: int) -> np.ndarray:
-        """Rows whose overlap with a set of this point can reach the threshold."""
-        at = np.arange(len(self.levels[-1][0]))
+    def find(self, point: np.ndarray, coarse: np.ndarray, size: int) -> np.ndarray:
+        rule, at = self.rule, np.arange(len(self.levels[-1][0]))
         for depth in range(len(self.levels) - 1, -1, -1):
-            upper, least = self.levels[depth]
-            at = at[np.minimum(upper[at], point).sum(1) >= self.rule.least_overlap(least[at], size)]
+            upper, least, most = self.levels[depth]
+            at = at[(rule.den * most[at] >= rule.num * size) & (rule.num * least[at] <= rule.den * size)]
+            at = at[np.minimum(upper[at], coarse).sum(1, dtype=np.int64) >= rule.least_overlap(least[at], size)]
             if depth:
                 n = len(self.levels[depth - 1][0])
                 at = (at[:, None] * 8 + np.arange(8)).ravel()
@@ -152,8 +194,10 @@ class RTree:
         if not len(at):
             return at
         rows = np.concatenate([self.leaves[i] for i in at])
-        bound = np.minimum(self.points[rows], point).sum(1)
-        return rows[bound >= self.rule.least_overlap(self.sizes[rows], size)]
+        need = rule.least_overlap(self.sizes[rows], size)
+        ok = np.minimum(self.coarse[rows], coarse).sum(1, dtype=np.int64) >= need
+        rows, need = rows[ok], need[ok]
+        return rows[np.minimum(self.points[rows], point).sum(1, dtype=np.int64) >= need]
 
 
 def features(docs: DataFrame, k: int, rule: Rule) -> DataFrame:
@@ -176,7 +220,7 @@ def features(docs: DataFrame, k: int, rule: Rule) -> DataFrame:
                     seen.add(node)
                     c, p = cells_and_point(s, rule)
                     cells.append(c.view(np.int64))
-                    points.append(p.astype("<u4").tobytes())
+                    points.append(p.astype("<u2").tobytes())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ns, pa.int64()), pa.array(nodes, pa.int64()), pa.array(cells, pa.list_(pa.int64())), pa.array(points, pa.binary())], names=["doc_id", "n_shingles", "node", "cells", "point"])
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -207,7 +251,7 @@ def _trees(keys: list[str], rule: Rule, apart: bool):
             rank[ask] = np.arange(len(ask))
         left, right = [], []
         for i in ask.tolist():
-            found = tree.search(point[i], int(size[i]))
+            found = tree.search(i)
             if apart:
                 found = found[(comp[found] != comp[i]) & (rank[found] < rank[i])]
             else:
@@ -227,12 +271,15 @@ def _trees(keys: list[str], rule: Rule, apart: bool):
             key = np.stack([rows.column(k).to_numpy() for k in keys])
             cuts = [0, *(np.flatnonzero((key[:, 1:] != key[:, :-1]).any(0)) + 1).tolist(), rows.num_rows]
             node, size = rows.column("node").to_numpy(), rows.column("n_shingles").to_numpy()
-            point = np.frombuffer(b"".join(rows.column("point").to_pylist()), "<u4").reshape(-1, DIM).astype(np.int32)
+            raw = rows.column("point").to_pylist()
             comp = rows.column("component").to_numpy() if apart else None
             left, right = [], []
             for a, b in zip(cuts, cuts[1:]):
                 if b - a > 1:
-                    x, y = pairs(node[a:b], point[a:b], size[a:b], comp[a:b] if apart else None)
+                    points = [np.frombuffer(r, "<u2") for r in raw[a:b]]
+                    width = min(map(len, points))
+                    point = np.stack([p if len(p) == width else p.reshape(-1, width).sum(0, dtype=np.uint16) for p in points])
+                    x, y = pairs(node[a:b], point, size[a:b], comp[a:b] if apart else None)
                     left += x
                     right += y
             if left:
@@ -264,27 +311,21 @@ def _trees(keys: list[str], rule: Rule, apart: bool):
 
 
 def _leaders(node, point, size, rule):
-    """Each point with its best leader by the bound; points that reach none become leaders."""
+    """Each point with its best leader by the bound; points that reach none become leaders.
+
+    Greater sets come first.  One tree holds all points; a flag tells leaders.
+    """
+    tree, leads = RTree(point, size, rule), np.zeros(len(node), bool)
     left, right = [], []
-    leaders = np.zeros(0, np.int64)
-    tree, inside = None, 0
-    order = np.argsort(-size, kind="stable")
-    for i in order.tolist():
-        found = np.zeros(0, np.int64)
-        if tree is not None:
-            found = leaders[:inside][tree.search(point[i], int(size[i]))]
-        if len(leaders) > inside:
-            more = leaders[inside:]
-            more = more[np.minimum(point[more], point[i]).sum(1) >= rule.least_overlap(size[more], int(size[i]))]
-            found = np.concatenate([found, more])
+    for i in np.argsort(-size, kind="stable").tolist():
+        found = tree.search(i)
+        found = found[leads[found]]
         if len(found):
-            best = found[np.argmax(np.minimum(point[found], point[i]).sum(1) - rule.least_overlap(size[found], int(size[i])))]
+            best = found[np.argmax(np.minimum(point[found], point[i]).sum(1, dtype=np.int64) - rule.least_overlap(size[found], int(size[i])))]
             left.append(node[i])
             right.append(node[best])
         else:
-            leaders = np.append(leaders, i)
-            if len(leaders) >= 2 * inside + 32:
-                tree, inside = RTree(point[leaders], size[leaders], rule), len(leaders)
+            leads[i] = True
     return left, right
 
 
@@ -348,27 +389,32 @@ def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFram
     from pyspark.sql import Window as W
 
     whole = W.partitionBy("cell")
-    met = cells.withColumns({"least": F.min("node").over(whole), "most": F.max("node").over(whole)}).filter("least <> most")
-    stars = met.select("least", "node").distinct()
+    window = F.col("cell").bitwiseAND(WINDOWS - 1)
+    met = cells.withColumns({"least": F.min("node").over(whole), "most": F.max("node").over(whole), "n": F.count("*").over(whole), "window": window})
+    met = kept(met.filter("least <> most").select("least", "window", "node", (F.col("n") > HOT).alias("hot")), "met")
+    spares = F.create_map(*[F.lit(x) for number, most in rule.all_windows() for x in (number, spare(most))])
+    crowded = met.filter("hot").groupBy("node", "window").agg(F.count("*").alias("n")).filter(F.col("n") > F.element_at(spares, F.col("window").cast("int"))).select("node", "window")
+    stay = met.filter("not hot").select("least", "window", "node").unionByName(met.filter("hot").join(crowded, ["node", "window"], "left_semi").select("least", "window", "node"))
+    stars = stay.distinct()
     points = nodes.select("node", "n_shingles", "point")
     members = kept(stars.join(points, "node"), "members")
-    sizes = members.groupBy("least").agg(F.count("*").alias("n"))
-    large = kept(sizes.filter(F.col("n") > BLOCK).withColumn("parts", F.ceil(F.col("n") / BLOCK).cast("int")).select("least", "parts"), "large")
-    dealt = members.join(large, "least", "left").withColumn("part", F.pmod(F.hash("node"), F.coalesce("parts", F.lit(1))).cast("bigint"))
-    first = dealt.repartition("least", "part").sortWithinPartitions("least", "part")
-    pairs = kept(first.mapInArrow(_trees(["least", "part"], rule, False), "a bigint, b bigint").distinct(), "pairs")
+    sizes = members.groupBy("least", "window").agg(F.count("*").alias("n"))
+    large = kept(sizes.filter(F.col("n") > BLOCK).withColumn("parts", F.ceil(F.col("n") / BLOCK).cast("int")).select("least", "window", "parts"), "large")
+    dealt = members.join(large, ["least", "window"], "left").withColumn("part", F.pmod(F.hash("node"), F.coalesce("parts", F.lit(1))).cast("bigint"))
+    first = dealt.repartition("least", "window", "part").sortWithinPartitions("least", "window", "part")
+    pairs = kept(first.mapInArrow(_trees(["least", "window", "part"], rule, False), "a bigint, b bigint").distinct(), "pairs")
     links = kept(verify(docs, pairs, nodes, k, rule), "links")
     named = components(links)
     # what large trees, or the parts of one, have left apart
-    big = sizes.filter(F.col("n") > SMALL).select("least")
-    placed = dealt.join(big, "least", "left_semi").join(named, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed = placed.groupBy("least").agg((F.min("component") != F.max("component")).alias("m")).filter("m").select("least")
-    rest = kept(placed.join(mixed, "least", "left_semi"), "apart")
+    big = sizes.filter(F.col("n") > SMALL).select("least", "window")
+    placed = dealt.join(big, ["least", "window"], "left_semi").join(named, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    mixed = placed.groupBy("least", "window").agg((F.min("component") != F.max("component")).alias("m")).filter("m").select("least", "window")
+    rest = kept(placed.join(mixed, ["least", "window"], "left_semi"), "apart")
     if not rest.isEmpty():
         other = F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("other")
         blocks = rest.select("*", other).withColumns({"i": F.least("part", F.col("other").cast("bigint")), "j": F.greatest("part", F.col("other").cast("bigint"))})
-        again = blocks.drop("parts", "part", "other").repartition("least", "i", "j").sortWithinPartitions("least", "i", "j")
-        more = kept(again.mapInArrow(_trees(["least", "i", "j"], rule, True), "a bigint, b bigint").distinct(), "pairs")
+        again = blocks.drop("parts", "part", "other").repartition("least", "window", "i", "j").sortWithinPartitions("least", "window", "i", "j")
+        more = kept(again.mapInArrow(_trees(["least", "window", "i", "j"], rule, True), "a bigint, b bigint").distinct(), "pairs")
         links = kept(links.unionByName(verify(docs, more, nodes, k, rule)), "links")
         named = components(links)
     classes = nodes.select("node", "rep").join(named, "node", "left").withColumn("component", F.coalesce("component", "node"))
