@@ -17,9 +17,10 @@ that as many more are shared; a set with no more crowded cells than that leaves
 them out, for it shares another with each of its partners.  All sets of a cell go to the tree
 of the cell's window and least node.
 
-In a tree of more than two the first round pairs points only with leaders, and a
-second one tries all pairs between what is still apart, in blocks of points; so
-a group of copies costs as many verified pairs as it has members.
+In a tree of more than two the first round pairs points only with leaders, two
+more pair each point with the best of another component, and the last one tries
+all pairs between what is still apart, in blocks of points; so a group of copies
+costs a few verified pairs for each member.
 
 Edge cases: null, empty or blank texts have no shingle and link with nothing;
 a text with fewer words than a shingle is one shingle; repeated rows and ids
@@ -227,10 +228,11 @@ def features(docs: DataFrame, k: int, rule: Rule) -> DataFrame:
     return rows.mapInArrow(run, "doc_id bigint, n_shingles bigint, node bigint, cells array<bigint>, point binary")
 
 
-def _trees(keys: list[str], rule: Rule, apart: bool):
+def _trees(keys: list[str], rule: Rule, apart: bool, best: bool = False):
     """Work on rows sorted by keys: an R-tree per key; yields candidate pairs (a, b).
 
-    apart: only pairs of different components, all of them.  Else small trees give
+    apart: only pairs of different components, all of them, or with best only the
+    one of each point with the greatest bound.  Else small trees give
     all pairs that pass the bound, large ones a pair of each point and its best leader.
     """
 
@@ -252,7 +254,12 @@ def _trees(keys: list[str], rule: Rule, apart: bool):
         left, right = [], []
         for i in ask.tolist():
             found = tree.search(i)
-            if apart:
+            if apart and best:
+                found = found[comp[found] != comp[i]]
+                if len(found) > 1:
+                    bound = np.minimum(point[found], point[i]).sum(1, dtype=np.int64)
+                    found = found[np.argmax(bound - rule.least_overlap(size[found], int(size[i])))][None]
+            elif apart:
                 found = found[(comp[found] != comp[i]) & (rank[found] < rank[i])]
             else:
                 found = found[found > i]
@@ -405,16 +412,24 @@ def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFram
     pairs = kept(first.mapInArrow(_trees(["least", "window", "part"], rule, False), "a bigint, b bigint").distinct(), "pairs")
     links = kept(verify(docs, pairs, nodes, k, rule), "links")
     named = components(links)
-    # what large trees, or the parts of one, have left apart
+    # what large trees, or the parts of one, have left apart: twice the best pair of each point, then every pair
     big = sizes.filter(F.col("n") > SMALL).select("least", "window")
-    placed = dealt.join(big, ["least", "window"], "left_semi").join(named, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed = placed.groupBy("least", "window").agg((F.min("component") != F.max("component")).alias("m")).filter("m").select("least", "window")
-    rest = kept(placed.join(mixed, ["least", "window"], "left_semi"), "apart")
-    if not rest.isEmpty():
+    large_ones = dealt.join(big, ["least", "window"], "left_semi")
+    tested = pairs
+    for best in (True, True, False):
+        placed = large_ones.join(named, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        mixed = placed.groupBy("least", "window").agg((F.min("component") != F.max("component")).alias("m")).filter("m").select("least", "window")
+        rest = kept(placed.join(mixed, ["least", "window"], "left_semi"), "apart")
+        if rest.isEmpty():
+            break
         other = F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("other")
         blocks = rest.select("*", other).withColumns({"i": F.least("part", F.col("other").cast("bigint")), "j": F.greatest("part", F.col("other").cast("bigint"))})
         again = blocks.drop("parts", "part", "other").repartition("least", "window", "i", "j").sortWithinPartitions("least", "window", "i", "j")
-        more = kept(again.mapInArrow(_trees(["least", "window", "i", "j"], rule, True), "a bigint, b bigint").distinct(), "pairs")
+        more = again.mapInArrow(_trees(["least", "window", "i", "j"], rule, True, best), "a bigint, b bigint").distinct()
+        more = kept(more.join(tested, ["a", "b"], "left_anti"), "pairs")
+        if more.isEmpty():
+            continue
+        tested = tested.unionByName(more)
         links = kept(links.unionByName(verify(docs, more, nodes, k, rule)), "links")
         named = components(links)
     classes = nodes.select("node", "rep").join(named, "node", "left").withColumn("component", F.coalesce("component", "node"))
