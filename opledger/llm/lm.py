@@ -4,12 +4,15 @@ The count model counts every token of every training text (words, lower-cased
 A-Z, and one end per text).  Counts of the most frequent tokens, at most `hot`,
 go to every executor; the others meet the texts in a join.
 
-The attention model (numpy, one causal layer) predicts the class of the next
-subword from its context; within a class a subword has its smoothed share of
-all training texts.  Long texts are scored in overlapping windows: every
-subword once, with at least `OVERLAP` subwords of context where there are any.
-Network weights are fitted on about `sample` training texts chosen by a hash (a
-documented bound); all counts cover all training texts.
+The attention model (numpy, one causal layer) predicts the next subword from its
+context in two levels: its class, then the subword within its class, starting
+from the subword's smoothed share of all training texts.  Classes are runs of
+subwords by falling count and grow in size, so that frequent ones are cheap.
+Long texts are scored in overlapping windows: every subword once, with at least
+`OVERLAP` subwords of context where there are any.  Network weights start from a
+fit on about `sample` training texts chosen by a hash; then every window of every
+training text is learnt from once, in at most `SHARDS` shards on the executors,
+whose weights are averaged by their numbers of windows.
 
 Edge cases: a null or empty text is the end token alone; without training texts
 all counts are 0 and the network is left at its first state; repeated rows are
@@ -28,13 +31,25 @@ from .subwords import encoder, vocabulary_path
 WINDOW = 32
 OVERLAP = 8
 WIDTH = 16
-CLASSES = 48
+CLASSES = 32
+#: Each class of subwords is larger than the one before by this factor.
+GROWTH = 1.22
+BATCH = 128
+SHARDS = 48
 ROWS = 2048
 IDS = 1 << 16
 #: The end token of the count model, as a number beside the hashes of words.
 END = np.uint64(0x454E44)
 
 
+def _most(a: np.ndarray) -> np.ndarray:
+    """a.max(-1, keepdims=True), by halves: numpy is slow along short axes."""
+    while a.shape[-1] % 2 == 0 and a.shape[-1] > 4:
+        half = a.shape[-1] // 2
+        a = np.maximum(a[..., :half], a[..., half:])
+    return a.max(-1, keepdims=True)
+
+
 class Attention:
     """One layer of masked self-attention with rows of hashed subwords as input and classes as output."""
 
@@ -43,6 +58,42 @@ class Attention:
         g = lambda *s: (r.standard_normal(s) * 0.2).astype(np.float32)
         self.w = {"e": g(ROWS, WIDTH), "p": g(WINDOW, WIDTH), "qkv": g(WIDTH, 3 * WIDTH), "o": g(WIDTH, WIDTH), "u": g(WIDTH, classes), "b": np.zeros(classes, np.float32)}
         self.mask = np.triu(np.full((WINDOW, WINDOW), -1e9, np.float32), 1)
+        self.begins, self.share = np.zeros(1, np.int64), np.zeros(0, np.float32)
+
+    def with_subwords(self, begins: np.ndarray, share: np.ndarray, used: int) -> "Attention":
+        """Adds the second level: first place of each class and log shares; the first `used` places get weights."""
+        self.begins, self.share = begins, share.astype(np.float32)
+        self.w["v"] = np.zeros((used, WIDTH), np.float32)
+        return self
+
+    def _inside(self, h: np.ndarray, places: np.ndarray):
+        """(rows of h, first and last place of their class, weights, probabilities, log-probability of the wanted place), class by class."""
+        band = (np.searchsorted(self.begins, places, side="right") - 1).astype(np.int16)
+        order = np.argsort(band, kind="stable")
+        cuts = np.searchsorted(band[order], np.arange(len(self.begins)))
+        for c in np.flatnonzero(np.diff(cuts)):
+            lo, hi = int(self.begins[c]), int(self.begins[c + 1])
+            v = self.w["v"][lo:hi]
+            most = max(1, (1 << 20) // (hi - lo))
+            for at in range(cuts[c], cuts[c + 1], most):
+                own = order[at:min(at + most, cuts[c + 1])]
+                z = np.empty((len(own), hi - lo), np.float32)
+                z[:, len(v):] = 0
+                np.matmul(h[own], v.T, out=z[:, :len(v)])
+                z += self.share[lo:hi]
+                z -= z.max(1, keepdims=True)
+                got = z[np.arange(len(own)), places[own] - lo]
+                np.exp(z, out=z)
+                total = z.sum(1)
+                z /= total[:, None]
+                yield own, lo, v, z, got - np.log(total)
+
+    def inside(self, h: np.ndarray, places: np.ndarray) -> np.ndarray:
+        """Natural log-probability of places, each within its class, given hidden states."""
+        out = np.empty(len(h))
+        for own, _, _, _, got in self._inside(h, places):
+            out[own] = got
+        return out
 
     @staticmethod
     def rows(ids: np.ndarray) -> np.ndarray:
@@ -56,13 +107,13 @@ class Attention:
         a = q @ k.transpose(0, 2, 1)
         a *= WIDTH**-0.5
         a += self.mask
-        a -= a.max(2, keepdims=True)
+        a -= _most(a)
         np.exp(a, out=a)
         a /= a.sum(2, keepdims=True)
         c = a @ v
         h = x + c @ w["o"]
         z = (h.reshape(-1, WIDTH) @ w["u"]).reshape(len(rows), WINDOW, -1) + w["b"]
-        z -= z.max(2, keepdims=True)
+        z -= _most(z)
         return x, (q, k, v), a, c, h, z
 
     def log_probability(self, rows: np.ndarray, targets: np.ndarray) -> np.ndarray:
@@ -72,8 +123,25 @@ class Attention:
         np.exp(z, out=z)
         return got - np.log(z.sum(2))
 
-    def step(self, rows, targets, weight, state, rate):
-        """One Adam step on windows; weight is 0 where a place is no subword."""
+    def _step_inside(self, h, places, weight, n, state, rate) -> tuple[float, np.ndarray]:
+        """One Adagrad step of the second level: (loss, gradient of the hidden states)."""
+        loss, dh = 0.0, np.zeros_like(h)
+        seen = state.setdefault("v", np.zeros_like(self.w["v"]))
+        live = np.flatnonzero(weight)
+        held, wanted = h[live], places[live]
+        for own, lo, v, z, got in self._inside(held, wanted):
+            loss -= float(got.sum()) / n
+            z[np.arange(len(own)), wanted[own] - lo] -= 1
+            z = z[:, :len(v)] / np.float32(n)
+            dh[live[own]] = z @ v
+            g = z.T @ held[own]
+            past = seen[lo:lo + len(v)]
+            past += g * g
+            v -= 2 * rate * g / (np.sqrt(past) + 1e-8)
+        return loss, dh
+
+    def step(self, rows, targets, weight, state, rate, places=None):
+        """One Adam step on windows; weight is 0 where a place is no subword; places are learnt within their classes if given."""
         w = self.w
         x, (q, k, v), a, c, h, z = self.forward(rows)
         p = np.exp(z)
@@ -86,6 +154,10 @@ class Attention:
         flat = lambda m: m.reshape(-1, m.shape[-1])
         g = {"u": flat(h).T @ flat(dz), "b": flat(dz).sum(0)}
         dh = dz @ w["u"].T
+        if places is not None:
+            more, inner = self._step_inside(flat(h), places.ravel(), weight.ravel(), n, state, rate)
+            loss += more
+            dh += inner.reshape(dh.shape)
         g["o"] = flat(c).T @ flat(dh)
         dc = dh @ w["o"].T
         da = dc @ v.transpose(0, 2, 1)
@@ -96,7 +168,10 @@ class Attention:
         dx = dh + dqkv @ w["qkv"].T
         g["p"] = dx.sum(0)
         g["e"] = np.zeros_like(w["e"])
-        np.add.at(g["e"], rows.ravel(), flat(dx))
+        order = np.argsort(rows.ravel().astype(np.int16), kind="stable")
+        own = rows.ravel()[order]
+        first = np.flatnonzero(np.diff(own, prepend=-1))
+        g["e"][own[first]] = np.add.reduceat(flat(dx)[order], first, axis=0)
         state["t"] += 1
         for name, d in g.items():
             m, s = state.setdefault(name, (np.zeros_like(d), np.zeros_like(d)))
@@ -117,47 +192,53 @@ def windows(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return start, np.where(which > 0, start + OVERLAP, start), end
 
 
-def class_table(path: str, counts: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
-    """Class of every id (by the first letter and a leading blank) and the natural log of its share in the class."""
-    from collections import Counter
-
-    first = {i: t[:2] if t[:1] == "Ġ" else t[:1] for t, i in encoder(path).library.get_vocab().items()}
-    mass: Counter = Counter()
-    for i, t in first.items():
-        mass[t] += int(counts[i]) * 1000 + 1
-    number = {t: n for n, (t, _) in enumerate(sorted(mass.items(), key=lambda x: (-x[1], x[0]))[:CLASSES - 2])}
-    classes = np.full(IDS, CLASSES - 2, np.int64)
-    for i, t in first.items():
-        classes[i] = number.get(t, CLASSES - 2)
-    classes[end_id] = CLASSES - 1
-    known = np.zeros(IDS, bool)
-    known[list(first)] = True
-    known[end_id] = True
-    smooth = np.where(known, counts + 1.0, 0.0)
-    total = np.bincount(classes, smooth, CLASSES)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        return classes, np.log(smooth / total[classes])
-
-
-def score_ids(texts: list[bytes], net: Attention, classes: np.ndarray, share: np.ndarray, end_id: int, chunk: int = 512) -> list[float]:
-    """log10 probability of each text (ids as two bytes each), its end included."""
+def class_table(counts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Place of every id by falling count, first place of each class (and the end), class of every place, natural log of its share in the class."""
+    order = np.argsort(-counts[:size], kind="stable")
+    place = np.zeros(IDS, np.int64)
+    place[order] = np.arange(size)
+    begins = np.unique(np.round(size * (GROWTH ** np.arange(CLASSES + 1) - 1) / (GROWTH**CLASSES - 1)).astype(np.int64))
+    classes = np.repeat(np.arange(len(begins) - 1), np.diff(begins))
+    smooth = counts[order] + 1.0
+    return place, begins, classes, np.log(smooth / np.add.reduceat(smooth, begins[:-1])[classes])
+
+
+def laid_out(texts: list[bytes], end_id: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(ids of all texts with their ends, the id before each, lengths) of texts of ids as two bytes each."""
     arrays = [np.frombuffer(t, "<u2") for t in texts]
-    lengths = np.array([len(a) + 1 for a in arrays], np.int64)
     end = np.array([end_id], np.uint16)
     flat = np.concatenate([x for a in arrays for x in (a, end)])
     before = np.empty_like(flat)
     before[1:] = flat[:-1]  # the end of the text before serves as the start of the next
     before[0] = end_id
-    rows, wanted = net.rows(before), classes[flat]
-    out = share[flat].astype(np.float64)
+    return flat, before, np.array([len(a) + 1 for a in arrays], np.int64)
+
+
+def score_ids(texts: list[bytes], net: Attention, place: np.ndarray, classes: np.ndarray, end_id: int, chunk: int = 64, block: int = 1 << 15) -> list[float]:
+    """log10 probability of each text (ids as two bytes each), its end included."""
+    flat, before, lengths = laid_out(texts, end_id)
+    rows, wanted = net.rows(before), place[flat]
+    first = classes[wanted]
+    out = np.empty(len(flat))
     start, score_from, ends = windows(lengths)
     places = np.arange(WINDOW)
+    states, spots, held = [], [], 0
     for at in range(0, len(start), chunk):
         own = start[at:at + chunk, None] + places
         inside = np.minimum(own, len(flat) - 1)
-        got = net.log_probability(rows[inside], wanted[inside])
+        *_, h, z = net.forward(rows[inside])
+        got = np.take_along_axis(z, first[inside][:, :, None], 2)[:, :, 0]
+        np.exp(z, out=z)
+        got -= np.log(z.sum(2))
         keep = (own >= score_from[at:at + chunk, None]) & (own < ends[at:at + chunk, None])
-        out[own[keep]] += got[keep]
+        out[own[keep]] = got[keep]
+        states.append(h[keep])
+        spots.append(own[keep])
+        held += len(spots[-1])
+        if held >= block or at + chunk >= len(start):  # the second level takes many places at once
+            spot = np.concatenate(spots)
+            out[spot] += net.inside(np.concatenate(states), wanted[spot])
+            states, spots, held = [], [], 0
     firsts = np.cumsum(lengths) - lengths
     return (np.add.reduceat(out, firsts) / np.log(10)).tolist()
 
@@ -214,25 +295,74 @@ def _count_ids(rows: DataFrame) -> np.ndarray:
     return out
 
 
-def fit(sample: list[bytes], classes: np.ndarray, end_id: int, steps: int = 400, batch: int = 64, rate: float = 0.02, seed: int = 11) -> Attention:
-    """Attention weights from texts of ids."""
-    net, state = Attention(), {"t": 0}
+def _learn(net: Attention, state: dict, flat, before, start, ends, place, classes, rate: float) -> None:
+    """One step on the windows that begin at `start`."""
+    own = start[:, None] + np.arange(WINDOW)
+    inside = np.minimum(own, len(flat) - 1)
+    wanted = place[flat[inside]]
+    net.step(net.rows(before[inside]), classes[wanted], (own < ends[:, None]).astype(np.float32), state, rate, wanted)
+
+
+def fit(net: Attention, sample: list[bytes], place: np.ndarray, classes: np.ndarray, end_id: int, steps: int = 400, batch: int = 64, rate: float = 0.02, seed: int = 11) -> Attention:
+    """First weights, from texts of ids."""
     if not sample:
         return net
-    r = np.random.default_rng(seed)
-    end = np.array([end_id], np.uint16)
-    arrays = [np.frombuffer(t, "<u2") for t in sample]
-    flat = np.concatenate([x for a in arrays for x in (a, end)])
-    before = np.append(end, flat[:-1])
-    start, _, ends = windows(np.array([len(a) + 1 for a in arrays], np.int64))
+    r, state = np.random.default_rng(seed), {"t": 0}
+    flat, before, lengths = laid_out(sample, end_id)
+    start, _, ends = windows(lengths)
     for i in range(steps):
         pick = r.integers(0, len(start), batch)
-        own = start[pick][:, None] + np.arange(WINDOW)
-        inside = np.minimum(own, len(flat) - 1)
-        net.step(net.rows(before[inside]), classes[flat[inside]], (own < ends[pick][:, None]).astype(np.float32), state, rate * (1 - i / steps) + 1e-4)
+        _learn(net, state, flat, before, start[pick], ends[pick], place, classes, rate * (1 - i / steps) + 1e-4)
     return net
 
 
+def fit_shard(net: Attention, batches, place: np.ndarray, classes: np.ndarray, end_id: int, rate: float = 0.005, seed: int = 12) -> int:
+    """Learns once from every window of every text (batches of texts of ids) in place; the number of windows."""
+    r, state, seen = np.random.default_rng(seed), {"t": 0}, 0
+    for texts in batches:
+        flat, before, lengths = laid_out(texts, end_id)
+        count = -(-lengths // WINDOW)
+        which = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+        start = np.repeat(np.cumsum(lengths) - lengths, count) + which * WINDOW
+        ends = np.minimum(start + WINDOW, np.repeat(np.cumsum(lengths), count))
+        order = r.permutation(len(start))
+        for at in range(0, len(order), BATCH):
+            pick = order[at:at + BATCH]
+            _learn(net, state, flat, before, start[pick], ends[pick], place, classes, rate / (1 + state["t"] / 500) ** 0.5)
+        seen += len(start)
+    return seen
+
+
+def fit_all(rows: DataFrame, net: Attention, place: np.ndarray, classes: np.ndarray, end_id: int, shards: int = SHARDS) -> tuple[Attention, int]:
+    """The network after a pass over all texts (column ids), and the windows learnt from: weights of shards, averaged by their windows."""
+    shared = rows.sparkSession.sparkContext.broadcast((net, place, classes, end_id))
+    names = sorted(net.w)
+
+    def run(batches):
+        import copy
+
+        import pyarrow as pa
+
+        first, place, classes, end_id = shared.value
+        own = copy.deepcopy(first)
+        n = fit_shard(own, (b.column("ids").to_pylist() for b in slices(batches, "ids")), place, classes, end_id)
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array(names), pa.array([n] * len(names)), pa.array([own.w[k].tobytes() for k in names], pa.binary())], names=["name", "n", "w"])
+
+    def mean(table):
+        import pyarrow as pa
+
+        n = table.column("n").to_numpy()
+        total = sum(np.frombuffer(w, np.float32) * (float(k) / n.sum()) for w, k in zip(table.column("w").to_pylist(), n))
+        return pa.table({"name": [table.column("name")[0].as_py()], "n": [int(n.sum())], "w": pa.array([total.astype(np.float32).tobytes()], pa.binary())})
+
+    schema, seen = "name string, n bigint, w binary", 0
+    for r in rows.coalesce(shards).mapInArrow(run, schema).groupBy("name").applyInArrow(mean, schema).collect():
+        net.w[r.name] = np.frombuffer(r.w, np.float32).reshape(net.w[r.name].shape).copy()
+        seen = r.n
+    return net, seen
+
+
 def score(docs: DataFrame, held_out: Column, path: str | None = None, sample: int = 1500, hot: int = 500_000) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row (columns doc_id, text)."""
     path, spark = path or vocabulary_path(), docs.sparkSession
@@ -260,12 +390,14 @@ def score(docs: DataFrame, held_out: Column, path: str | None = None, sample: in
     id_counts = _count_ids(train.select("ids"))
     n_docs = train.count()
     id_counts[end_id] += n_docs
-    classes, share = class_table(path, id_counts, end_id)
+    place, begins, classes, share = class_table(id_counts, end_id + 1)
     part = min(1.0, sample / max(1, n_docs))
     chosen = train.filter(F.pmod(F.xxhash64("doc_id", "row"), F.lit(1 << 30)) < int(part * (1 << 30))).select("ids").toArrow()["ids"].to_pylist()
+    net = Attention().with_subwords(begins, share, int((id_counts > 0).sum()))
+    net, _ = fit_all(train.select("ids"), fit(net, chosen, place, classes, end_id), place, classes, end_id)
     model = spark.sparkContext.broadcast({
         "token": often["token"].to_numpy().view(np.uint64)[order], "n": often["n"].to_numpy()[order],
-        "net": fit(chosen, classes, end_id), "classes": classes, "share": share, "end": end_id, "log": float(np.log10(n_train + n_types + 1)),
+        "net": net, "classes": classes, "place": place, "end": end_id, "log": float(np.log10(n_train + n_types + 1)),
     })
 
     def work(batch):
@@ -287,7 +419,7 @@ def score(docs: DataFrame, held_out: Column, path: str | None = None, sample: in
         ends = np.searchsorted(o, np.arange(n + 1))
         return {c: batch.column(c) for c in ("row", "doc_id", "held_out")} | {
             "n_tokens": lengths + 1, "known": known, "base": base,
-            "score": score_ids(batch.column("ids").to_pylist(), m["net"], m["classes"], m["share"], m["end"]),
+            "score": score_ids(batch.column("ids").to_pylist(), m["net"], m["place"], m["classes"], m["end"]),
             "rare": [k[a:b] for a, b in zip(ends.tolist(), ends[1:].tolist())],
         }
 
