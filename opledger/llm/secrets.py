@@ -4,7 +4,8 @@ The base patterns give spans of three kinds.  Beside them every value that
 stands in credential context (a key word, then a separator) is priced: the
 least cost, over all cuts of the value into words, dates, repeats, keyboard
 walks and brute-force spans, of guessing it.  A value that costs more than
-`log10_guesses` is a further span of kind `guess`.
+`log10_guesses` is a further span of kind `guess`, unless one base span covers it
+wholly; it may overlap base spans.
 
 Edge cases: a null or empty text has no spans; values longer than `longest`
 are priced by pieces of that length, whose costs add up (nothing is cut off);
@@ -135,7 +136,7 @@ def spans_of(text: str | None, log10_guesses: float = 10.0) -> tuple[list[tuple[
         lo, hi = m.span(1)
         while hi > lo and text[hi - 1] in ".)]}!?:":
             hi -= 1
-        if hi - lo >= 6 and not any(a < hi and lo < b for a, _, b in base) and guess_cost(text[lo:hi])[0] >= log10_guesses:
+        if hi - lo >= 6 and not any(a <= lo and hi <= b for a, _, b in base) and guess_cost(text[lo:hi])[0] >= log10_guesses:
             added.append((lo, 3, hi))
     return base, added
 

@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from opledger.llm import lm
+from opledger.llm import lm, secrets
 
 # 7
 
@@ -22,3 +22,15 @@ def test_attention_learns_from_every_window_and_tells_subwords_of_a_class_apart(
     right, wrong = (np.array([300, x] * 20, "<u2").tobytes() for x in (310, 311))
     a, b = lm.score_ids([right, wrong], net, place, classes, end)
     assert a > b + 10
+
+
+# 9
+
+
+def test_values_that_base_spans_cover_in_part_are_priced(spark):
+    text = "it has password=Tr0ub4dor!9xQ#zz and pwd: 0123456789abcdef0123456789abcdef!Zk#9 there; token = abcdefgh12"
+    base, added = secrets.spans_of(text)
+    assert [text[a:b] for a, _, b in base] == ["password=Tr0ub4dor", "0123456789abcdef0123456789abcdef", "token = abcdefgh12"]
+    assert [text[a:b] for a, _, b in added] == ["Tr0ub4dor!9xQ#zz", "0123456789abcdef0123456789abcdef!Zk#9"]
+    row = secrets.redact(spark.createDataFrame([(1, text)], "doc_id bigint, text string")).first()
+    assert row.text == "it has [SECRET] and pwd: [SECRET] there; [SECRET]"
