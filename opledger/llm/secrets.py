@@ -3,7 +3,8 @@
 The base patterns give spans of three kinds.  Beside them every value that
 stands in credential context (a key word, then a separator) is priced: the
 least cost, over all cuts of the value into words, dates, repeats, keyboard
-walks and brute-force spans, of guessing it.  A value that costs more than
+walks and brute-force spans, of guessing it.  Words are ranked by the public
+vocabulary (about 27,000 of four letters and more, most of them English), so clean prose is cheap.  A value that costs more than
 `log10_guesses` is a further span of kind `guess`, unless one base span covers it
 wholly; it may overlap base spans.
 
@@ -17,10 +18,12 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from functools import lru_cache
 
 from pyspark.sql import DataFrame
 
 from .common import by_batches
+from .subwords import encoder, vocabulary_path
 
 # The three base patterns and their least lengths.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -38,7 +41,7 @@ COMMON = """password 123456 qwerty letmein welcome admin login master dragon mon
 baseball iloveyou trustno1 superman batman secret changeme default test guest root user token key pass hello
 freedom whatever summer winter spring autumn love star god king queen access database server example your
 none null true false changeit temp demo sample placeholder insert here the and for you with that this from""".split()
-RANK = {w: i + 1 for i, w in enumerate(COMMON)}
+LONGEST_WORD = 20
 # Rows of the usual keyboard.
 ROWS = ("1234567890", "qwertyuiop", "asdfghjkl", "zxcvbnm")
 LEET = str.maketrans("430157@$!", "aeoistasi")
@@ -47,6 +50,14 @@ NEXT |= {a + b for x, y in zip(ROWS, ROWS[1:]) for a, b in zip(x, y)} | {b + a f
 DATE = re.compile(r"(?:(?:19|20)\d\d[-/._]?(?:0[1-9]|1[0-2])[-/._]?(?:0[1-9]|[12]\d|3[01])|(?:0[1-9]|[12]\d|3[01])[-/._]?(?:0[1-9]|1[0-2])[-/._]?(?:19|20)\d\d|(?:19|20)\d\d)")
 
 
+@lru_cache(maxsize=1)
+def ranks() -> dict[str, int]:
+    """Rank of every known word: the common ones, then the words of the public vocabulary, whose ids follow frequency."""
+    pieces = sorted(encoder(vocabulary_path()).library.get_vocab().items(), key=lambda x: x[1])
+    words = (t.removeprefix("Ġ").lower() for t, _ in pieces)
+    return {w: i + 1 for i, w in enumerate(dict.fromkeys([*COMMON, *(w for w in words if 4 <= len(w) <= LONGEST_WORD and w.isascii() and w.isalpha())]))}
+
+
 def _spread(part: str) -> int:
     """Size of the smallest usual alphabet that holds the characters."""
     size = 0
@@ -70,7 +81,7 @@ def guess_cost(value: str, longest: int = 128) -> tuple[float, list[tuple[str, i
             total += cost
             parts += [(k, a + at, b + at) for k, a, b in segments]
         return total, parts
-    n, lower = len(value), value.lower()
+    n, lower, known = len(value), value.lower(), ranks()
     plain = lower.translate(LEET) if len(lower.translate(LEET)) == n else lower
     per_character = math.log10(_spread(value))
     best = [0.0] + [math.inf] * n
@@ -83,11 +94,11 @@ def guess_cost(value: str, longest: int = 128) -> tuple[float, list[tuple[str, i
         cost = best[i] + per_character + (joint if i and back[i][0] != "brute" else 0.0)
         if cost < best[i + 1]:
             best[i + 1], back[i + 1] = cost, ("brute", i if back[i][0] != "brute" else back[i][1])
-        for j in range(i + 3, min(n, i + 12) + 1):  # words
-            rank = RANK.get(lower[i:j])
+        for j in range(i + 3, min(n, i + LONGEST_WORD) + 1):  # words
+            rank = known.get(lower[i:j])
             extra = 0.0
             if rank is None:
-                rank, extra = RANK.get(plain[i:j]), math.log10(4.0)
+                rank, extra = known.get(plain[i:j]), math.log10(4.0)
             if rank is not None:
                 extra += math.log10(2.0) * (value[i:j] != lower[i:j])
                 cost = here + math.log10(rank + 1) + extra

@@ -34,3 +34,11 @@ def test_values_that_base_spans_cover_in_part_are_priced(spark):
     assert [text[a:b] for a, _, b in added] == ["Tr0ub4dor!9xQ#zz", "0123456789abcdef0123456789abcdef!Zk#9"]
     row = secrets.redact(spark.createDataFrame([(1, text)], "doc_id bigint, text string")).first()
     assert row.text == "it has [SECRET] and pwd: [SECRET] there; [SECRET]"
+
+
+def test_prose_in_credential_context_is_left_alone():
+    for text in ("the password is required", "token is generated by the server", "The secret is something else.", "my password: forgotten again",
+                 "Authorization: required", "the passphrase is Important!", "the access key is available"):
+        assert secrets.spans_of(text)[1] == [], text
+    for value in ("zqxvkjwp", "Xk9#mQ2$", "vKq81xTz", "u7!required#Zq9"):
+        assert len(secrets.spans_of(f"the password is {value} now")[1]) == 1, value
