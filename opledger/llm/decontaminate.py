@@ -8,8 +8,9 @@ q-grams are counted in overlapping bands of 2 * (e + 1) diagonals, a band
 starting every e + 1; bands that reach the bound are regions, and a region
 is a leak where an alignment within its band has at most e edits.
 
-Items are cut to whole windows of at most `longest` characters first, so that a
-long item also shows by a part of it.
+Items longer than `longest` characters are cut to windows of that length that
+start every half of it, the last one at the item's end, so that a long item also
+shows by a part of it; each window found is a row, and these may overlap.
 
 Edge cases: null and empty texts match nothing; items too short for a bound
 above zero are matched exactly; repeated items and rows each give their own
@@ -128,7 +129,7 @@ class Items:
             whole = whole[:len(whole) - int(len(whole) > 0 and whole[-1] == 0x20)]
             if len(whole) < q:
                 continue
-            cuts = range(0, max(1, len(whole) - longest // 2), longest) if len(whole) > longest else [0]
+            cuts = [*range(0, len(whole) - longest, longest // 2), max(0, len(whole) - longest)]
             for at in cuts:
                 p = whole[at:at + longest] if len(whole) > longest else whole
                 m = len(p)

@@ -1,8 +1,10 @@
 """Operators do the whole job: nothing is sampled, dropped or cut where the result depends on it."""
 
+import random
+
 import numpy as np
 
-from opledger.llm import lm, secrets
+from opledger.llm import decontaminate, lm, secrets
 
 # 7
 
@@ -42,3 +44,19 @@ def test_prose_in_credential_context_is_left_alone():
         assert secrets.spans_of(text)[1] == [], text
     for value in ("zqxvkjwp", "Xk9#mQ2$", "vKq81xTz", "u7!required#Zq9"):
         assert len(secrets.spans_of(f"the password is {value} now")[1]) == 1, value
+
+
+# 6
+
+
+def test_long_items_show_by_their_tails_and_across_borders():
+    r = random.Random(8)
+    for n in (513, 600, 768, 1024, 1100, 1280):
+        text = "".join(r.choice("abcdefghijklmnop") for _ in range(n))
+        items = decontaminate.Items([(7, text)])
+        covered = sorted({i for _, a, b, _ in items.search([text])[0] for i in range(a, b)})
+        assert covered == list(range(n))
+        passages = [text[-512:], *(text[at:at + 512] for at in range(0, n - 511, 256)), "".join(r.choice("xyz") for _ in range(n - 512)) + text[-512:]]
+        for p in passages:
+            assert {s[0] for s in items.search([f"before it {p} after it"])[0]} == {7}, n
+        assert items.search([text[:200]]) == [[]]
