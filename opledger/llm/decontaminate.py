@@ -13,7 +13,8 @@ start every half of it, the last one at the item's end, so that a long item also
 shows by a part of it; each window found is a row, and these may overlap.
 
 Edge cases: null and empty texts match nothing; items too short for a bound
-above zero are matched exactly; repeated items and rows each give their own
+above zero are matched exactly, those under `Q` characters as whole words (in
+scripts without blanks, anywhere); repeated items and rows each give their own
 rows; very long documents are searched whole; an empty table on either side
 gives no row.  The benchmark must be small (`most_bytes`, checked); else ValueError.
 """
@@ -29,6 +30,8 @@ from .common import by_batches, mix
 Q = 8
 RATE = 0.08
 SLOTS = 1 << 22
+# First and last code point of scripts written without blanks.
+UNSPACED = ((0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3005, 0x3007), (0x3040, 0x30FF), (0x3400, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x3FFFF))
 
 
 class _Folding:
@@ -80,6 +83,17 @@ def grams(points: np.ndarray, q: int = Q) -> np.ndarray:
     return mix(h)
 
 
+def borders(points: np.ndarray, firsts: np.ndarray) -> np.ndarray:
+    """Whether a word may start or end before each point, and after the last."""
+    free = points == 0x20
+    for lo, hi in UNSPACED:
+        free |= (points >= lo) & (points <= hi)
+    out = np.ones(len(points) + 1, bool)
+    out[1:-1] = free[1:] | free[:-1]
+    out[firsts] = True
+    return out
+
+
 def banded_edits(item: np.ndarray, text: np.ndarray, most: int) -> tuple[int, int, int]:
     """(edits, start, end) of the best alignment of the whole item to a part of text; edits is most + 1 if there is none.
 
@@ -123,11 +137,15 @@ class Items:
         self.q = q
         self.ids, self.points, self.edits, self.bound = [], [], [], []
         hashes, owners, places = [], [], []
+        #: length -> hash -> (points, ids) of items shorter than q
+        self.short: dict[int, dict[int, list[tuple[np.ndarray, int]]]] = {}
         for number, text in rows:
             whole, _, _, _ = normal([text])
             whole = whole[int(len(whole) > 0 and whole[0] == 0x20):]
             whole = whole[:len(whole) - int(len(whole) > 0 and whole[-1] == 0x20)]
             if len(whole) < q:
+                if len(whole):
+                    self.short.setdefault(len(whole), {}).setdefault(int(grams(whole, len(whole))[0]), []).append((whole, number))
                 continue
             cuts = [*range(0, len(whole) - longest, longest // 2), max(0, len(whole) - longest)]
             for at in cuts:
@@ -155,17 +173,39 @@ class Items:
     def search(self, texts: list[str | None]) -> list[list[tuple[int, int, int, int]]]:
         """(item, start, end, edits) in code points of every leak, by text."""
         out: list[list[tuple[int, int, int, int]]] = [[] for _ in texts]
-        points, places, firsts, begins = normal(texts)
+        folded = normal(texts)
+        self._search_short(*folded, out)
+        self._search_long(*folded, out)
+        return [sorted(x, key=lambda s: (s[1], s[2], s[0] if s[0] is not None else -1)) for x in out]
+
+    def _search_short(self, points, places, firsts, begins, out) -> None:
+        """Adds the exact places of items shorter than q."""
+        if not self.short or not len(points):
+            return
+        edge, upto = borders(points, firsts), np.append(firsts[1:], len(points))
+        for n, known in self.short.items():
+            if len(points) < n:
+                continue
+            at = np.flatnonzero(edge[:len(points) - n + 1] & edge[n:])
+            h = grams(points[at[:, None] + np.arange(n)].ravel(), n)[::n] if len(at) else np.zeros(0, np.uint64)
+            hit = np.isin(h, np.array(list(known), np.uint64))
+            at, h = at[hit], h[hit]
+            for spot, d, x in zip(at.tolist(), (np.searchsorted(firsts, at, side="right") - 1).tolist(), h.tolist()):
+                if spot + n <= upto[d]:
+                    out[d] += [(number, int(places[spot] - begins[d]), int(places[spot + n - 1] - begins[d]) + 1, 0) for item, number in known[x] if np.array_equal(item, points[spot:spot + n])]
+
+    def _search_long(self, points, places, firsts, begins, out) -> None:
+        """Adds the leaks of windows."""
         h = grams(points, self.q)
         if not len(h) or not len(self.hash):
-            return out
+            return
         at = np.flatnonzero(self.slots[(h & np.uint64(SLOTS - 1)).astype(np.int64)])
         lo = np.searchsorted(self.hash, h[at])
         hi = np.searchsorted(self.hash, h[at], side="right")
         n = hi - lo
         at, lo, n = at[n > 0], lo[n > 0], n[n > 0]
         if not len(at):
-            return out
+            return
         which = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
         spot = np.repeat(at, n)
         owner, diagonal = self.owner[which], spot - self.place[which]
@@ -195,7 +235,6 @@ class Items:
                     near.append(span)
         for (d, _), spans in tried.items():
             out[d] += spans
-        return [sorted(x, key=lambda s: (s[1], s[2], s[0] if s[0] is not None else -1)) for x in out]
 
 
 def load(benchmark: DataFrame, most_bytes: int = 64 << 20, item: str = "item_id", text: str = "text") -> Items:

@@ -60,3 +60,11 @@ def test_long_items_show_by_their_tails_and_across_borders():
         for p in passages:
             assert {s[0] for s in items.search([f"before it {p} after it"])[0]} == {7}, n
         assert items.search([text[:200]]) == [[]]
+
+
+def test_short_items_are_matched_exactly_as_words():
+    items = decontaminate.Items([(1, "E=mc2"), (2, "你好吗？"), (3, "Seven"), (4, "!?"), (5, "x"), (6, "seven"), (7, None)])
+    texts = ["so e = MC2.", "he wrote E=mc2!", "他说你好吗然后走了", "seventy", "a SEVEN, b", "", None, "axe", "f(x)", "sev", "en", "seven"]
+    found = [[(s[0], t[s[1]:s[2]]) for s in f] for t, f in zip(texts, items.search(texts))]
+    assert found == [[(1, "e = MC2")], [(1, "E=mc2")], [(2, "你好吗")], [], [(3, "SEVEN"), (6, "SEVEN")], [], [], [], [(5, "x")], [], [], [(3, "seven"), (6, "seven")]]
+    assert items.search([]) == [] and items.search(["", None]) == [[], []]
