@@ -3,10 +3,10 @@
 The trees (numpy, logistic loss, histogram splits) learn from labelled URLs; a
 URL is labelled where a rule fits it.  Features are the lengths, depth, digit
 ratio, entropy and parameter counts of the URL and smoothed block rates of its
-host suffixes, counted over the labelled URLs.
+host suffixes and first path part, counted over all labelled URLs and joined.
 
-The fit uses at most `most_rows` labelled URLs, those with the smallest hash;
-rules and predictions cover every row.
+The trees are fitted on at most `most_rows` labelled URLs, those with the
+smallest hash; counts, rules and predictions cover every row.
 
 Edge cases: a null URL or one without `://` has an empty host and path and goes
 to the trees; without labelled URLs, or with labels of one kind only, every
@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_batches
+from .common import by_batches, kept
 
 #: (verdict, rule): a rule is a host and the start of a path.
 RULES = (
@@ -54,13 +54,30 @@ def rule_of(rules=RULES) -> Column:
     return found
 
 
-def suffixes(host: str) -> tuple[str, str]:
-    labels = host.split(".")
-    return labels[-1], ".".join(labels[-2:])
+def rate_keys() -> list[Column]:
+    """What block rates are counted by: last label, last two labels, first path part, and the first and third together."""
+    last, first = F.substring_index("host", ".", -1), F.regexp_extract("path", r"^/*([^/]*)", 1)
+    return [last, F.substring_index("host", ".", -2), first, F.concat(last, F.lit("/"), first)]
 
 
-def features(url: str | None, host: str, path: str, rates: dict[str, float], prior: float) -> list[float]:
-    """Lexical features of one URL, then the block rates of its last label and last two labels."""
+def with_rates(ruled: DataFrame) -> tuple[DataFrame, int, int]:
+    """Adds rates (an array of smoothed block rates, by rate_keys); the number of labelled URLs and of blocked ones."""
+    keys = rate_keys()
+    each = F.explode(F.array(*[F.struct(F.lit(i).alias("kind"), k.alias("k")) for i, k in enumerate(keys)])).alias("by")
+    labelled = ruled.filter("fit is not null").select(each, (F.col("fit.verdict") == "block").cast("bigint").alias("block"))
+    counts = kept(labelled.groupBy("by.kind", "by.k").agg(F.count("*").alias("seen"), F.sum("block").alias("bad")), "rates")
+    n, bad = counts.filter("kind = 0").agg(F.coalesce(F.sum("seen"), F.lit(0)), F.coalesce(F.sum("bad"), F.lit(0))).first()
+    prior = bad / n if n else 0.0
+    out = ruled.withColumns({f"k{i}": k for i, k in enumerate(keys)})
+    for i in range(len(keys)):
+        rate = (F.col("bad") + 5 * prior) / (F.col("seen") + 5)
+        out = out.join(counts.filter(f"kind = {i}").select(F.col("k").alias(f"k{i}"), rate.alias(f"r{i}")), f"k{i}", "left")
+    names = [f"r{i}" for i in range(len(keys))]
+    return out.withColumn("rates", F.array(*[F.coalesce(r, F.lit(prior)) for r in names])).drop(*names, *[f"k{i}" for i in range(len(keys))]), n, bad
+
+
+def features(url: str | None, host: str, path: str, rates: list[float]) -> list[float]:
+    """Lexical features of one URL, then its block rates."""
     url = url or ""
     query = url.partition("?")[2].partition("#")[0]
     counts = Counter(url)
@@ -68,13 +85,10 @@ def features(url: str | None, host: str, path: str, rates: dict[str, float], pri
     entropy = -sum(c / n * math.log2(c / n) for c in counts.values())
     digits = sum(c.isdigit() for c in url)
     parts = [p for p in path.split("/") if p]
-    last, two = suffixes(host)
-    first = parts[0] if parts else ""
     return [
         len(url), len(host), len(path), len(parts), digits / n, entropy, len([p for p in query.split("&") if p]), len(query),
         host.count("."), url.count("-") + url.count("_"), float(url.startswith("https")), len(parts[-1]) if parts else 0,
-        float("." in (parts[-1] if parts else "")), float(path.endswith("/")),
-        rates.get(last, prior), rates.get(two, prior), rates.get("/" + first, prior), rates.get(f"{last}/{first}", prior),
+        float("." in (parts[-1] if parts else "")), float(path.endswith("/")), *rates,
     ]
 
 
@@ -151,21 +165,14 @@ class Trees:
         return 1 / (1 + np.exp(-(self.start + sum(self._walk(t, b) for t in self.trees))))
 
 
-def fit(labelled: list[tuple]) -> dict:
-    """A model from (url, host, path, verdict) rows: trees, suffix rates and the prior."""
-    y = np.array([v == "block" for *_, v in labelled], float)
-    if len(set(y.tolist())) < 2:
-        return {"trees": None, "prior": float(y[0]) if len(y) else 0.0, "rates": {}}
-    prior, seen, bad = float(y.mean()), Counter(), Counter()
-    for (_, host, path, _), block in zip(labelled, y):
-        last, two = suffixes(host)
-        first = next((p for p in path.split("/") if p), "")
-        for k in (last, two, "/" + first, f"{last}/{first}"):
-            seen[k] += 1
-            bad[k] += block
-    rates = {k: (bad[k] + 5 * prior) / (n + 5) for k, n in seen.items()}
-    x = np.array([features(u, h, p, rates, prior) for u, h, p, _ in labelled], float)
-    return {"trees": Trees().fit(x, y), "prior": prior, "rates": rates}
+def fit(sample: list[tuple], n: int, bad: int) -> dict:
+    """A model from (url, host, path, rates, verdict) rows, of n labelled URLs with bad blocked ones: trees and the prior."""
+    prior = bad / n if n else 0.0
+    if bad in (0, n):
+        return {"trees": None, "prior": prior}
+    y = np.array([v == "block" for *_, v in sample], float)
+    x = np.array([features(*r) for *r, _ in sample], float)
+    return {"trees": Trees().fit(x, y), "prior": prior}
 
 
 def judge(pages: DataFrame, rules=RULES, most_rows: int = 20_000, threshold: float = 0.5, url: str = "url", key: str = "page_id") -> DataFrame:
@@ -173,10 +180,10 @@ def judge(pages: DataFrame, rules=RULES, most_rows: int = 20_000, threshold: flo
 
     most_rows bounds the labelled URLs that the trees are fitted on.
     """
-    ruled = with_parts(pages.select(key, F.col(url).alias("url"))).withColumn("fit", rule_of(rules))
-    known = ruled.filter("fit is not null").select("url", "host", "path", F.col("fit.verdict").alias("verdict"), F.xxhash64("url", key).alias("o"))
+    ruled, n, bad = with_rates(with_parts(pages.select(key, F.col(url).alias("url"))).withColumn("fit", rule_of(rules)))
+    known = ruled.filter("fit is not null").select("url", "host", "path", "rates", F.col("fit.verdict").alias("verdict"), F.xxhash64("url", key).alias("o"))
     sample = known.orderBy("o", "url").limit(most_rows).collect()
-    model = pages.sparkSession.sparkContext.broadcast(fit([(r.url, r.host, r.path, r.verdict) for r in sample]))
+    model = pages.sparkSession.sparkContext.broadcast(fit([(r.url, r.host, r.path, r.rates, r.verdict) for r in sample], n, bad))
 
     def work(batch):
         m = model.value
@@ -184,12 +191,13 @@ def judge(pages: DataFrame, rules=RULES, most_rows: int = 20_000, threshold: flo
         score: list[float | None] = [None if v else m["prior"] for v in cols[4]]
         open_rows = [i for i, v in enumerate(cols[4]) if v is None]
         if m["trees"] is not None and open_rows:
-            x = np.array([features(cols[0][i], cols[1][i], cols[2][i], m["rates"], m["prior"]) for i in open_rows], float)
+            rates = batch.column("rates").to_pylist()
+            x = np.array([features(cols[0][i], cols[1][i], cols[2][i], rates[i]) for i in open_rows], float)
             for i, p in zip(open_rows, m["trees"].probability(x).tolist()):
                 score[i] = p
         verdict = [v or ("block" if s >= threshold and (m["trees"] is not None or s > 0) else "allow") for v, s in zip(cols[4], score)]
         return {key: batch.column(key), "host": cols[1], "path": cols[2], "rule": cols[3], "verdict": verdict, "block_score": score}
 
     kind = dict(pages.dtypes)[key]
-    rows = ruled.select(key, "url", "host", "path", "fit.rule", "fit.verdict")
+    rows = ruled.select(key, "url", "host", "path", "rates", "fit.rule", "fit.verdict")
     return by_batches(rows, work, f"{key} {kind}, host string, path string, rule string, verdict string, block_score double", "url")

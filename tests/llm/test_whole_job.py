@@ -1,10 +1,11 @@
 """Operators do the whole job: nothing is sampled, dropped or cut where the result depends on it."""
 
 import random
+from collections import Counter
 
 import numpy as np
 
-from opledger.llm import decontaminate, lm, secrets
+from opledger.llm import decontaminate, lm, secrets, urls
 
 # 7
 
@@ -46,6 +47,29 @@ def test_prose_in_credential_context_is_left_alone():
         assert len(secrets.spans_of(f"the password is {value} now")[1]) == 1, value
 
 
+# 4
+
+
+def test_block_rates_are_counted_over_all_labelled_urls(spark):
+    made = [(i, f"https://h{i % 40}.{('com/en', 'net/de')[i % 3 > 0]}/{i}") for i in range(400)] + [(400, None), (401, "http://a.xyz//q/r"), (402, "http://com")]
+    pages = spark.createDataFrame(made, "page_id bigint, url string")
+    rules = (("block", "com/en/"), ("allow", "net/de/"))
+    ruled = urls.with_parts(pages).withColumn("fit", urls.rule_of(rules))
+    got, n, bad = urls.with_rates(ruled)
+    rows = got.collect()
+    assert (len(rows), n, bad) == (403, 400, 134)
+    keys = lambda r: (r.host.split(".")[-1], ".".join(r.host.split(".")[-2:]), f := next((p for p in r.path.split("/") if p), ""), f"{r.host.split('.')[-1]}/{f}")
+    seen, blocked = Counter(), Counter()
+    for r in rows:
+        if r.fit:
+            seen.update(enumerate(keys(r)))
+            blocked.update({k: r.fit.verdict == "block" for k in enumerate(keys(r))})
+    for r in rows:
+        assert np.allclose(r.rates, [(blocked[k] + 5 * bad / n) / (seen[k] + 5) for k in enumerate(keys(r))])
+    few = {r.page_id: r for r in urls.judge(pages, rules, most_rows=20).collect()}
+    assert len(few) == 403 and all(few[i].verdict == ("allow" if i % 3 else "block") for i in range(400))
+
+
 # 6
 
 
