@@ -8,8 +8,8 @@ vocabulary (about 27,000 of four letters and more, most of them English), so cle
 `log10_guesses` is a further span of kind `guess`, unless one base span covers it
 wholly; it may overlap base spans.
 
-Edge cases: a null or empty text has no spans; values longer than `longest`
-are priced by pieces of that length, whose costs add up (nothing is cut off);
+Edge cases: a null or empty text has no spans; values of any length are priced
+by one recurrence over the whole value, in linear time;
 repeated rows give repeated rows; other columns are not read.
 """
 
@@ -42,6 +42,8 @@ baseball iloveyou trustno1 superman batman secret changeme default test guest ro
 freedom whatever summer winter spring autumn love star god king queen access database server example your
 none null true false changeit temp demo sample placeholder insert here the and for you with that this from""".split()
 LONGEST_WORD = 20
+#: Repeats start at most so far into a maximal run: later starts never pay.
+DEEPEST = 24
 # Rows of the usual keyboard.
 ROWS = ("1234567890", "qwertyuiop", "asdfghjkl", "zxcvbnm")
 LEET = str.maketrans("430157@$!", "aeoistasi")
@@ -72,23 +74,32 @@ def _spread(part: str) -> int:
     return max(size, 10)
 
 
-def guess_cost(value: str, longest: int = 128) -> tuple[float, list[tuple[str, int, int]]]:
+def guess_cost(value: str) -> tuple[float, list[tuple[str, int, int]]]:
     """log10 of the guesses for a value, and the segments (kind, start, end) of the cheapest cut."""
-    if len(value) > longest:
-        total, parts = 0.0, []
-        for at in range(0, len(value), longest):
-            cost, segments = guess_cost(value[at:at + longest], longest)
-            total += cost
-            parts += [(k, a + at, b + at) for k, a, b in segments]
-        return total, parts
     n, lower, known = len(value), value.lower(), ranks()
     plain = lower.translate(LEET) if len(lower.translate(LEET)) == n else lower
     per_character = math.log10(_spread(value))
     best = [0.0] + [math.inf] * n
     back: list[tuple[str, int]] = [("", 0)] * (n + 1)
-    # repeats: the furthest end of every unit that recurs from i on
     joint = math.log10(2.0)  # each further segment doubles the orders to try
-    for i in range(n):
+    # equal[u][i]: how many characters from i on equal the one u further
+    equal = {u: [0] * (n + 1) for u in (1, 2, 3, 4)}
+    for unit, run in equal.items():
+        for i in range(n - unit - 1, -1, -1):
+            run[i] = run[i + 1] + 1 if value[i] == value[i + unit] else 0
+    deep = dict.fromkeys(equal, 0)
+    walk, walk_from, step = math.inf, 0, math.log10(2.5)  # the cheapest keyboard walk that ends here
+    for i in range(n + 1):
+        if i >= 2:
+            walk = walk + step if lower[i - 2:i] in NEXT else math.inf
+            if i >= 3 and lower[i - 2:i] in NEXT and lower[i - 3:i - 1] in NEXT:
+                start = best[i - 3] + (joint if i > 3 else 0.0) + math.log10(47.0) + 2 * step
+                if start < walk:
+                    walk, walk_from = start, i - 3
+            if walk < best[i]:
+                best[i], back[i] = walk, ("walk", walk_from)
+        if i == n:
+            break
         here = best[i] + (joint if i else 0.0)
         # brute force: one more character, no new segment after another such span
         cost = best[i] + per_character + (joint if i and back[i][0] != "brute" else 0.0)
@@ -110,21 +121,14 @@ def guess_cost(value: str, longest: int = 128) -> tuple[float, list[tuple[str, i
             cost = here + (math.log10(365 * 120.0) if j - i > 4 else math.log10(120.0))
             if cost < best[j]:
                 best[j], back[j] = cost, ("date", i)
-        j = i + 1
-        while j < n and lower[j - 1:j + 1] in NEXT:  # keyboard walks
-            j += 1
-            if j - i >= 3:
-                cost = here + math.log10(47.0) + (j - i - 1) * math.log10(2.5)
-                if cost < best[j]:
-                    best[j], back[j] = cost, ("walk", i)
-        for unit in (1, 2, 3, 4):  # repeats
-            j = i + unit
-            while j + unit <= n and value[j:j + unit] == value[i:i + unit]:
-                j += unit
-                if j - i >= 3:
-                    cost = here + unit * per_character + math.log10((j - i) / unit)
-                    if cost < best[j]:
-                        best[j], back[j] = cost, ("repeat", i)
+        for unit, run in equal.items():  # repeats
+            deep[unit] = deep[unit] + 1 if i and run[i - 1] else 0
+            if deep[unit] < DEEPEST:
+                for j in range(i + 2 * unit, i + unit + run[i] // unit * unit + 1, unit):
+                    if j - i >= 3:
+                        cost = here + unit * per_character + math.log10((j - i) / unit)
+                        if cost < best[j]:
+                            best[j], back[j] = cost, ("repeat", i)
     cuts, at = [], n
     while at:
         kind, start = back[at]

@@ -1,6 +1,7 @@
 """Operators do the whole job: nothing is sampled, dropped or cut where the result depends on it."""
 
 import random
+import time
 from collections import Counter
 
 import numpy as np
@@ -92,3 +93,12 @@ def test_short_items_are_matched_exactly_as_words():
     found = [[(s[0], t[s[1]:s[2]]) for s in f] for t, f in zip(texts, items.search(texts))]
     assert found == [[(1, "e = MC2")], [(1, "E=mc2")], [(2, "你好吗")], [], [(3, "SEVEN"), (6, "SEVEN")], [], [], [], [(5, "x")], [], [], [(3, "seven"), (6, "seven")]]
     assert items.search([]) == [] and items.search(["", None]) == [[], []]
+
+
+def test_long_values_are_priced_as_one():
+    assert secrets.spans_of("pwd: " + "*" * 300)[1] == [] and secrets.guess_cost("*" * 300)[1] == [("repeat", 0, 300)]
+    assert secrets.guess_cost("ab" * 150)[1] == [("repeat", 0, 300)] and secrets.guess_cost("password" + "d" * 300)[0] < 6
+    assert secrets.guess_cost("qazxsw" + "9" * 200)[1] == [("walk", 0, 6), ("repeat", 6, 206)]
+    at = time.process_time()
+    secrets.guess_cost("*" * 50_000 + "qw" * 10_000)
+    assert time.process_time() - at < 20
