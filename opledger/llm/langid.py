@@ -148,8 +148,9 @@ def train(docs: DataFrame, per_language: int = 1500, text: str = "text", lang: s
 def best_path(scores: np.ndarray, penalty: float) -> np.ndarray:
     """The labelling of words with the greatest sum of scores less a penalty for every change.
 
-    Where no run of words gains more than the penalty by another language, the
-    labelling is one language throughout; else the recurrence is run.
+    Where no run of words gains more than half the penalty by another language, the
+    labelling is one language throughout (k such runs in a row pay for k - 1 changes
+    at least); else the recurrence is run.
     """
     n, k = scores.shape
     if n == 0 or k == 1:
@@ -157,7 +158,7 @@ def best_path(scores: np.ndarray, penalty: float) -> np.ndarray:
     main = int(np.argmax(scores.sum(0)))
     gain = np.zeros((n + 1, k))
     np.cumsum(scores - scores[:, main:main + 1], axis=0, out=gain[1:])
-    if (gain - np.minimum.accumulate(gain, axis=0)).max() <= penalty:
+    if (gain - np.minimum.accumulate(gain, axis=0)).max() <= penalty / 2:
         return np.full(n, main)
     best, back = scores[0].astype(float), np.zeros((n, k), np.int8 if k < 128 else np.int16)
     stay = np.arange(k)

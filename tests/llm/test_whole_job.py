@@ -1,12 +1,14 @@
 """Operators do the whole job: nothing is sampled, dropped or cut where the result depends on it."""
 
+import itertools
+import math
 import random
 import time
 from collections import Counter
 
 import numpy as np
 
-from opledger.llm import decontaminate, lm, secrets, urls
+from opledger.llm import decontaminate, langid, lm, secrets, urls
 
 # 7
 
@@ -48,6 +50,17 @@ def test_prose_in_credential_context_is_left_alone():
         assert len(secrets.spans_of(f"the password is {value} now")[1]) == 1, value
 
 
+# 1
+
+
+def test_best_path_with_narrow_scores_is_the_best_of_all():
+    r = np.random.default_rng(1)
+    cases = [np.array([[-1.0, -40, -10], [-40, -1, -10]])] + [r.normal(-10, 6, (5, 3)) for _ in range(300)]
+    for s in cases:
+        value = lambda p: sum(s[i, c] for i, c in enumerate(p)) - 12 * sum(a != b for a, b in zip(p, p[1:]))
+        assert math.isclose(value(langid.best_path(s, 12.0).tolist()), max(map(value, itertools.product(range(3), repeat=len(s)))))
+
+
 # 4
 
 
