@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import gc
+import re
 import shutil
 import tempfile
 import uuid
@@ -14,7 +16,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a Python worker handles at once, give or take one document.
-BATCH_BYTES = 2 << 20
+BATCH_BYTES = 1 << 20
+#: Rows with texts that cross to a Python worker in one Arrow batch, whatever the session says; texts may be long.
+BATCH_ROWS = 512
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,10 +28,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 
-    Only where the session names none (tests on one machine) a temporary one is made.
+    Where the session names none, a run on one machine gets a temporary one; on a cluster that is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="shared-")
         atexit.register(shutil.rmtree, found, True)
         spark.conf.set("spark.checkpoint.dir", found)
@@ -43,7 +49,38 @@ def kept(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """df written to the shared folder and read again: lineage is cut, lost executors lose nothing."""
     spark, path = df.sparkSession, scratch(df.sparkSession, name)
     df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back.kept_path = path
+    return back
+
+
+def discard(*frames: DataFrame) -> None:
+    """Deletes what kept() wrote for these; nothing may read them any more."""
+    for df in frames:
+        spark, path = df.sparkSession, getattr(df, "kept_path", None)
+        if path:
+            jvm = spark.sparkContext._jvm
+            place = jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def swept(spark: SparkSession) -> None:
+    """Lets Spark's cleaner find finished shuffles, whose files stay on the executors' disks until the driver collects garbage."""
+    gc.collect()  # handles of finished plans
+    spark.sparkContext._jvm.System.gc()
+
+
+def bounded(df: DataFrame, most: int = BATCH_ROWS) -> DataFrame:
+    """df, after the session's Arrow batches are set to at most so many rows: mapInArrow has no such parameter of its own."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(df.sparkSession.conf.get(name)) <= most:
+        df.sparkSession.conf.set(name, str(most))
+    return df
+
+
+def sided(keys: DataFrame, most_rows: int = 1_000_000) -> DataFrame:
+    """Key rows (kept) as the side of a join: broadcast where they are counted to be few, else left to a shuffle."""
+    return F.broadcast(keys) if keys.count() <= most_rows else keys
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
@@ -77,7 +114,7 @@ def by_batches(df: DataFrame, work: Callable[[pa.RecordBatch], dict], schema, co
             made = work(part)
             yield pa.RecordBatch.from_arrays([pa.array(made[n], type=arrow.field(n).type) for n in names], schema=arrow)
 
-    return df.mapInArrow(run, typed)
+    return bounded(df).mapInArrow(run, typed)
 
 
 def crc_of_id(column: str | Column) -> Column:

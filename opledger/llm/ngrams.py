@@ -9,23 +9,28 @@ pairs are verified on the sets.
 
 One tree over all points would not scale: points of unrelated texts of like
 length crowd together.  So trees stand in cells that every linked pair shares.
-Sizes are cut into overlapping windows.  In a window two linked sets differ in
-at most k shingles, so of k + 3 groups of shingles at least three hold the same
-shingles in both; a cell is one group with its content.  (Empty groups make no
-cell unless a set has three or more of them.)  There are k / 8 further groups, so
-that as many more are shared; a set with no more crowded cells than that leaves
-them out, for it shares another with each of its partners.  All sets of a cell go to the tree
-of the cell's window and least node.
-
-In a tree of more than two the first round pairs points only with leaders, two
-more pair each point with the best of another component, and the last one tries
-all pairs between what is still apart, in blocks of points; so a group of copies
-costs a few verified pairs for each member.
+Sizes are cut into overlapping windows.  In a window the shingles of a set fall
+into as many groups as linked sets can differ in, an eighth more, and three; a
+cell is a group with its content.  A set of a given size differs from a linked
+one in at most `most` shingles, so they share at least groups - most - empty
+groups cells: what the set `needs`.  A set with fewer
+cells in company than it needs links with nothing.  Any other leaves out its
+most crowded cells, needs - 1 of them: of the cells that two linked sets share,
+the rarest is in both.
+
+All sets of a cell go to the tree of the cell's window and least node, with their
+shingles; larger trees are cut into parts that also hold the least node.  A task
+searches its tree, verifies pairs that no verified links join yet, and gives the
+links.  Where the parts of a tree hold sets that are still apart, those outside
+its largest component then meet every part, and all pairs that pass the bound
+are verified.  So a group of copies costs a few verified pairs for each member.
 
 Edge cases: null, empty or blank texts have no shingle and link with nothing;
 a text with fewer words than a shingle is one shingle; repeated rows and ids
 are kept; a null id never is the name of a component unless all ids of it are
-null; very long texts are used whole; an empty table gives no row.
+null; very long texts are used whole; ties between sets are settled by their
+hashes and change no result; an empty table gives no row; columns other than
+doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -34,22 +39,17 @@ from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import kept, mix, slices, words_of
+from .common import bounded, discard, kept, mix, sided, slices, swept, words_of
 from .graph import components
 
-EMPTY = 2
-HOT = 64
+EXTRA = 3
 WINDOWS = 64
-SMALL = 2
+#: A part of a tree has at most about so many points, and so many bytes of shingles.
 BLOCK = 4096
-MARKS = 1 << 24
-
-
-def spare(most: int) -> int:
-    """How many crowded cells a set may leave out, by the most shingles in which linked sets of its window differ."""
-    return most // 8
+BLOCK_BYTES = 24 << 20
 
 
 class Rule:
@@ -63,10 +63,7 @@ class Rule:
         return -((-self.num * (a + b)) // (self.num + self.den))
 
     def windows(self, size: int) -> list[tuple[int, int, int]]:
-        """(number, most shingles by which linked sets differ, coordinates) of the windows of sizes that hold this size.
-
-        A point has about a coordinate for every four shingles: fewer would not
-        keep unrelated long texts apart.
+        """(number, greatest size, most shingles by which linked sets differ) of the windows of sizes that hold this size.
 
         For the greater set of any linked pair, the first window that holds it also holds the smaller one.
         """
@@ -75,21 +72,14 @@ class Rule:
             hi += 1
         while lo <= size:
             if size <= hi:
-                out.append((number, self._most(hi), min(4096, 1 << max(5, (hi // 4).bit_length()))))
+                out.append((number, hi, self._most(hi)))
             number, lo = number + 1, -((-self.num * (hi + 1)) // self.den)
             hi = max(2 * lo, hi + 1)
         return out
 
-    def all_windows(self) -> list[tuple[int, int]]:
-        """(number, most) of every window that a number of WINDOWS can name."""
-        out, lo, hi = [], 1, 1
-        while self._most(hi + 1) == 0:
-            hi += 1
-        for number in range(WINDOWS):
-            out.append((number, self._most(hi)))
-            lo = -((-self.num * (hi + 1)) // self.den)
-            hi = max(2 * lo, hi + 1)
-        return out
+    def differ(self, size: int, hi: int) -> int:
+        """Most shingles by which a set of this size differs from a linked one of at most hi shingles."""
+        return (size + min(hi, size * self.den // self.num)) * (self.den - self.num) // (self.den + self.num)
 
     def _most(self, size: int) -> int:
         return 2 * size * (self.den - self.num) // (self.den + self.num)
@@ -121,28 +111,34 @@ def node_of(shingles: np.ndarray) -> int:
     return int(mix(np.array([mix(shingles ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64) + np.uint64(len(shingles))]))[0].astype(np.int64))
 
 
-def cells_and_point(shingles: np.ndarray, rule: Rule) -> tuple[np.ndarray, np.ndarray]:
-    """Names of the cells of a set (their last bits are the window's number), and its count vector at the finest width.
+def cells_of(shingles: np.ndarray, rule: Rule) -> list[tuple[int, np.ndarray]]:
+    """(needs, names of the cells) of a set in each of its windows; the last bits of a name are the window's number.
 
-    Widths are powers of two and a coordinate is a hash modulo the width, so a
-    vector is folded to a smaller width by sums.
+    Empty groups are cells only of sets that could share nothing else.
     """
-    windows = rule.windows(len(shingles))
-    width = windows[-1][2]
-    point = np.bincount((mix(shingles + np.uint64(0x1234567)) & np.uint64(width - 1)).astype(np.int64), minlength=width)
-    out = [np.zeros(0, np.uint64)]
+    out = []
     spread, content = mix(shingles ^ np.uint64(0xA5A5A5A5)), mix(shingles + np.uint64(0xC0FFEE))
-    for number, most, _ in windows:
+    for number, hi, most in rule.windows(len(shingles)):
         if most == 0:
             continue  # here only equal sets link
-        groups = most + 1 + EMPTY + spare(most)
+        groups = most + EXTRA + most // 8
         g = (spread % np.uint64(groups)).astype(np.int64)
         sums, counts = np.zeros(groups, np.uint64), np.bincount(g, minlength=groups)
         np.add.at(sums, g, content)
         names = mix(sums * np.uint64(0x9E3779B97F4A7C15) + np.uint64(number * 1_000_003) + np.arange(groups, dtype=np.uint64))
         names = names & np.uint64(2**64 - WINDOWS) | np.uint64(number % WINDOWS)
-        out.append(names if (counts == 0).sum() > EMPTY else names[counts > 0])
-    return np.concatenate(out), point
+        needs = groups - rule.differ(len(shingles), hi) - int((counts == 0).sum())
+        out.append((needs, names[counts > 0]) if needs > 0 else (1, names))
+    return out
+
+
+def points_of(sets: list[np.ndarray]) -> np.ndarray:
+    """The count vectors of sets: about a coordinate for every four shingles of the largest, for fewer would not keep long texts apart."""
+    sizes = np.array([len(s) for s in sets])
+    width = min(4096, 1 << max(5, (int(sizes.max()) // 4).bit_length()))
+    place = (mix(np.concatenate(sets) + np.uint64(0x1234567)) & np.uint64(width - 1)).astype(np.int64)
+    place += np.repeat(np.arange(len(sets)) * width, sizes)
+    return np.bincount(place, minlength=len(sets) * width).reshape(len(sets), width).astype(np.uint32)
 
 
 class RTree:
@@ -201,238 +197,217 @@ class RTree:
         return rows[np.minimum(self.points[rows], point).sum(1, dtype=np.int64) >= need]
 
 
-def features(docs: DataFrame, k: int, rule: Rule) -> DataFrame:
-    """doc_id, n_shingles, node; for the first row of a node in a task also its cells and point."""
+def features(docs: DataFrame, k: int) -> DataFrame:
+    """doc_id, digest of the text, n_shingles and node of every row."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in slices(batches, "text"):
+            sets = list(shingle_sets(batch.column("text").to_pylist(), k))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("digest"), pa.array([len(s) for s in sets], pa.int64()), pa.array([node_of(s) if len(s) else None for s in sets], pa.int64())], names=["doc_id", "digest", "n_shingles", "node"])
+
+    text = F.col("text").cast("string")
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(text).alias("digest"), text.alias("text"))
+    return bounded(rows).mapInArrow(run, "doc_id bigint, digest bigint, n_shingles bigint, node bigint")
+
+
+def cells(docs: DataFrame, k: int, rule: Rule) -> DataFrame:
+    """node, needs, cell: all cells of every node, once for each task that meets it."""
 
     def run(batches):
         import pyarrow as pa
 
         seen: set[int] = set()
         for batch in slices(batches, "text"):
-            ns, nodes, cells, points = [], [], [], []
+            rows: list[tuple[int, int, np.ndarray]] = []
             for s in shingle_sets(batch.column("text").to_pylist(), k):
-                ns.append(len(s))
                 node = node_of(s) if len(s) else None
-                nodes.append(node)
-                if node is None or node in seen:
-                    cells.append(None)
-                    points.append(None)
-                else:
+                if node is not None and node not in seen:
                     seen.add(node)
-                    c, p = cells_and_point(s, rule)
-                    cells.append(c.view(np.int64))
-                    points.append(p.astype("<u2").tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ns, pa.int64()), pa.array(nodes, pa.int64()), pa.array(cells, pa.list_(pa.int64())), pa.array(points, pa.binary())], names=["doc_id", "n_shingles", "node", "cells", "point"])
-
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id bigint, n_shingles bigint, node bigint, cells array<bigint>, point binary")
-
+                    rows += [(node, needs, names.view(np.int64)) for needs, names in cells_of(s, rule)]
+            if rows:
+                node, needs, names = zip(*rows)
+                yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(needs, pa.int32()), pa.array(names, pa.list_(pa.int64()))], names=["node", "needs", "cells"])
 
-def _trees(keys: list[str], rule: Rule, apart: bool, best: bool = False):
-    """Work on rows sorted by keys: an R-tree per key; yields candidate pairs (a, b).
+    rows = docs.select(F.col("text").cast("string").alias("text"))
+    return bounded(rows).mapInArrow(run, "node bigint, needs int, cells array<bigint>").select("node", "needs", F.explode("cells").alias("cell"))
 
-    apart: only pairs of different components, all of them, or with best only the
-    one of each point with the greatest bound.  Else small trees give
-    all pairs that pass the bound, large ones a pair of each point and its best leader.
-    """
 
-    def pairs(node, point, size, comp):
-        order = np.unique(node, return_index=True)[1]
-        node, point, size = node[order], point[order], size[order]
-        comp = comp[order] if comp is not None else None
-        if len(node) < 2:
-            return [], []
-        if not apart and len(node) > SMALL:
-            return _leaders(node, point, size, rule)
-        tree = RTree(point, size, rule)
-        ask = np.arange(len(node))
-        if apart:
-            names, counts = np.unique(comp, return_counts=True)
-            ask = np.flatnonzero(comp != names[np.argmax(counts)])
-            rank = np.full(len(node), -1)
-            rank[ask] = np.arange(len(ask))
-        left, right = [], []
-        for i in ask.tolist():
-            found = tree.search(i)
-            if apart and best:
-                found = found[comp[found] != comp[i]]
-                if len(found) > 1:
-                    bound = np.minimum(point[found], point[i]).sum(1, dtype=np.int64)
-                    found = found[np.argmax(bound - rule.least_overlap(size[found], int(size[i])))][None]
-            elif apart:
-                found = found[(comp[found] != comp[i]) & (rank[found] < rank[i])]
-            else:
-                found = found[found > i]
-            left += [node[i]] * len(found)
-            right += node[found].tolist()
-        return left, right
+def shingles_of(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
+    """node, shingles of the wanted nodes (node, rep), from the texts of their representatives."""
+    ids = sided(kept(wanted.select("rep").distinct(), "ids"))
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = rows.join(ids, rows.doc_id.eqNullSafe(ids.rep), "left_semi").select("text")
 
     def run(batches):
         import pyarrow as pa
 
-        held: list[pa.RecordBatch] = []
-
-        def work(rows: pa.Table):
-            if rows.num_rows < 2:
-                return None
-            key = np.stack([rows.column(k).to_numpy() for k in keys])
-            cuts = [0, *(np.flatnonzero((key[:, 1:] != key[:, :-1]).any(0)) + 1).tolist(), rows.num_rows]
-            node, size = rows.column("node").to_numpy(), rows.column("n_shingles").to_numpy()
-            raw = rows.column("point").to_pylist()
-            comp = rows.column("component").to_numpy() if apart else None
-            left, right = [], []
-            for a, b in zip(cuts, cuts[1:]):
-                if b - a > 1:
-                    points = [np.frombuffer(r, "<u2") for r in raw[a:b]]
-                    width = min(map(len, points))
-                    point = np.stack([p if len(p) == width else p.reshape(-1, width).sum(0, dtype=np.uint16) for p in points])
-                    x, y = pairs(node[a:b], point, size[a:b], comp[a:b] if apart else None)
-                    left += x
-                    right += y
-            if left:
-                l, r = np.array(left, np.int64), np.array(right, np.int64)
-                return pa.RecordBatch.from_arrays([pa.array(np.minimum(l, r)), pa.array(np.maximum(l, r))], names=["a", "b"])
-            return None
-
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            held.append(batch)
-            t = pa.Table.from_batches(held)
-            last = [t.column(k)[t.num_rows - 1].as_py() for k in keys]
-            same = np.ones(t.num_rows, bool)
-            for k, v in zip(keys, last):
-                same &= t.column(k).to_numpy() == v
-            whole = int(np.argmax(same))  # rows are sorted: from here on it is the last key, which may go on
-            if whole:
-                got = work(t.slice(0, whole))
-                if got is not None:
-                    yield got
-            held = t.slice(whole).combine_chunks().to_batches()
-        if held:
-            got = work(pa.Table.from_batches(held))
-            if got is not None:
-                yield got
-
-    return run
+        for part in slices(batches, "text"):
+            sets = [s for s in shingle_sets(part.column("text").to_pylist(), k) if len(s)]
+            yield pa.RecordBatch.from_arrays([pa.array([node_of(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "shingles"])
 
+    return bounded(rows).mapInArrow(run, "node bigint, shingles binary").join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"])
 
-def _leaders(node, point, size, rule):
-    """Each point with its best leader by the bound; points that reach none become leaders.
 
-    Greater sets come first.  One tree holds all points; a flag tells leaders.
-    """
-    tree, leads = RTree(point, size, rule), np.zeros(len(node), bool)
-    left, right = [], []
-    for i in np.argsort(-size, kind="stable").tolist():
-        found = tree.search(i)
-        found = found[leads[found]]
-        if len(found):
-            best = found[np.argmax(np.minimum(point[found], point[i]).sum(1, dtype=np.int64) - rule.least_overlap(size[found], int(size[i])))]
-            left.append(node[i])
-            right.append(node[best])
-        else:
-            leads[i] = True
-    return left, right
+def shared(a: np.ndarray, b: np.ndarray) -> int:
+    """Size of the intersection of two sorted sets."""
+    if len(a) > len(b):
+        a, b = b, a
+    at = np.searchsorted(b, a)
+    at[at == len(b)] = 0
+    return int((b[at] == a).sum())
 
 
-def verify(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, k: int, rule: Rule) -> DataFrame:
-    """The pairs (a, b) of nodes whose sets link, decided on the sets themselves.
+def links_of(sets: list[np.ndarray], rule: Rule, label: np.ndarray, asking: np.ndarray) -> list[tuple[int, int]]:
+    """Links that join all that is linked: pairs (row, row) of sets.
 
-    Only texts whose id may be wanted are cut into shingles again; a bitmap of
-    fixed size, built by the executors, says which.
+    label: components known before.  Only pairs with an asking row are looked at.
+    A pair that passes the tree's bound is verified unless links join it already.
     """
-    spark = docs.sparkSession
-    wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    ids = nodes.join(wanted, "node").select("node", "rep")
-    place = F.pmod(F.xxhash64("rep"), F.lit(MARKS))
-    bits = ids.groupBy(F.bitmap_bucket_number(place + 1).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place + 1)).alias("bits"))  # both count from one
-    marks = np.zeros(MARKS // 8, np.uint8)
-    for r in bits.collect():  # at most 512 rows of 4 KB
-        marks[(r.k - 1) * 4096:r.k * 4096] = np.frombuffer(bytes(r.bits), np.uint8)
-    shared = spark.sparkContext.broadcast(np.unpackbits(marks, bitorder="little").astype(bool))
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.pmod(F.xxhash64(F.col("doc_id").cast("bigint")), F.lit(MARKS)).alias("at"), F.col("text").cast("string").alias("text"))
+    if len(sets) < 2:
+        return []
+    sizes = np.array([len(s) for s in sets], np.int64)
+    points = points_of(sets)
+    tree, label, out = RTree(points, sizes, rule), label.copy(), []
+    order = np.argsort(-sizes, kind="stable")
+    order = order[asking[order]]
+    turn = np.full(len(sets), -1)
+    turn[order] = np.arange(len(order))
+    for i in order.tolist():
+        found = tree.search(i)
+        found = found[(label[found] != label[i]) & (turn[found] < turn[i])]
+        if len(found) > 1:
+            slack = np.minimum(points[found], points[i]).sum(1, dtype=np.int64) - rule.least_overlap(sizes[found], int(sizes[i]))
+            found = found[np.argsort(-slack, kind="stable")]
+        while len(found):
+            j, found = int(found[0]), found[1:]
+            if shared(sets[i], sets[j]) >= rule.least_overlap(int(sizes[j]), int(sizes[i])):
+                out.append((i, j))
+                label[label == label[j]] = label[i]
+                found = found[label[found] != label[i]]
+    return out
+
+
+def _trees(keys: list[str], rule: Rule):
+    """Work on rows (keys, node, shingles, component, asks) sorted by keys: the links (a, b) that a tree per key gives."""
+
+    def linked(rows) -> tuple[np.ndarray, np.ndarray]:
+        node, asks = rows.column("node").to_numpy(), rows.column("asks").to_numpy(zero_copy_only=False).astype(bool)
+        order = np.lexsort((~asks, node))
+        first = order[np.flatnonzero(np.diff(node[order], prepend=node[order[0]] - 1))]
+        raw = rows.column("shingles")
+        sets = [np.frombuffer(raw[i].as_buffer(), np.uint64) for i in first.tolist()]
+        label = np.unique(rows.column("component").to_numpy()[first], return_inverse=True)[1]
+        pairs = np.array(links_of(sets, rule, label, asks[first]), np.int64).reshape(-1, 2)
+        return node[first[pairs[:, 0]]], node[first[pairs[:, 1]]]
 
     def run(batches):
         import pyarrow as pa
 
-        for batch in batches:
-            batch = batch.filter(pa.array(shared.value[batch.column("at").to_numpy()]))
-            for part in slices([batch], "text"):
-                ids, names, sets = [], [], []
-                for i, s in zip(part.column("doc_id").to_pylist(), shingle_sets(part.column("text").to_pylist(), k)):
-                    if len(s):
-                        ids.append(i)
-                        names.append(node_of(s))
-                        sets.append(s.tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(names, pa.int64()), pa.array(sets, pa.binary())], names=["rep", "node", "shingles"])
-
-    found = rows.mapInArrow(run, "rep bigint, node bigint, shingles binary")
-    same = (found.node == ids.node) & found.rep.eqNullSafe(ids.rep)
-    sets = kept(found.join(ids, same, "left_semi").select("node", "shingles").dropDuplicates(["node"]), "sets")
-    left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
-    right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
-
-    def check(batches):
-        import pyarrow as pa
+        def whole(rows):
+            a, b = linked(rows)
+            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b), pa.int64()), pa.array(np.maximum(a, b), pa.int64())], names=["a", "b"])
 
+        held, last = [], None
         for batch in batches:
-            ok = []
-            for x, y in zip(batch.column("x"), batch.column("y")):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = len(x) + len(y) - len(np.union1d(x, y))
-                ok.append(rule.den * both >= rule.num * (len(x) + len(y) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+            if batch.num_rows == 0:
+                continue
+            key = np.stack([batch.column(k).to_numpy() for k in keys])
+            cuts = [0, *(np.flatnonzero((key[:, 1:] != key[:, :-1]).any(0)) + 1).tolist(), batch.num_rows]
+            for lo, hi in zip(cuts, cuts[1:]):
+                if held and last != key[:, lo].tolist():
+                    yield whole(pa.Table.from_batches(held).combine_chunks())
+                    held = []
+                held.append(batch.slice(lo, hi - lo))
+                last = key[:, lo].tolist()
+        if held:
+            yield whole(pa.Table.from_batches(held).combine_chunks())
+
+    return run
+
 
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(check, "a bigint, b bigint")
+def _searched(rows: DataFrame, keys: list[str], rule: Rule, name: str) -> DataFrame:
+    dealt = rows.repartition(*keys).sortWithinPartitions(*keys)
+    return kept(bounded(dealt).mapInArrow(_trees(keys, rule), "a bigint, b bigint").distinct(), name)
+
+
+def stars(docs: DataFrame, k: int, rule: Rule) -> DataFrame:
+    """least, window, node (kept): which sets meet in which tree."""
+    rows = cells(docs, k, rule)
+    counts = kept(rows.groupBy("cell").agg(F.min("node").alias("least"), F.max("node").alias("most"), F.count("*").alias("n")).filter("least <> most").select("cell", "n"), "counts")
+    swept(docs.sparkSession)
+    met = kept(rows.join(counts.hint("shuffle_hash"), "cell").select("node", F.col("cell").bitwiseAND(WINDOWS - 1).cast("int").alias("window"), "needs", "n", "cell"), "met")
+    discard(counts)
+    swept(docs.sparkSession)
+    own = W.partitionBy("node", "window")
+    ranked = met.repartition("node").dropDuplicates(["node", "cell"]).withColumns({"have": F.count("*").over(own), "rank": F.row_number().over(own.orderBy("n", "cell"))})
+    stay = kept(ranked.filter("have >= needs and rank <= have - needs + 1").select("node", "window", "cell"), "stay")
+    discard(met)
+    least = stay.groupBy("cell").agg(F.min("node").alias("least"), F.count("*").alias("n")).filter("n > 1").select("cell", "least")
+    out = kept(stay.join(least, "cell").select("least", "window", "node").distinct(), "stars")
+    discard(stay)
+    swept(docs.sparkSession)
+    return out
+
+
+def link(docs: DataFrame, nodes: DataFrame, k: int, rule: Rule) -> DataFrame:
+    """node, component of every node (node, n_shingles, rep) that links with another."""
+    spark = docs.sparkSession
+    met = stars(docs, k, rule)
+    wanted = kept(nodes.join(met.select("node").distinct(), "node", "left_semi"), "wanted")
+    sets = kept(shingles_of(docs, wanted, k), "sets")
+    key = ["least", "window"]
+    blocks = lambda n, held: F.ceil(F.greatest(n / BLOCK, held * 8 / BLOCK_BYTES)).cast("int")
+    sized = met.join(wanted.select("node", "n_shingles"), "node")
+    sizes = sized.groupBy(*key).agg(F.count("*").alias("n"), F.sum("n_shingles").alias("held"))
+    large = kept(sizes.select(*key, blocks(F.col("n"), F.col("held")).alias("parts")).filter("parts > 1"), "large")
+    placed = met.join(large, key, "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    own = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
+    every = F.sequence(F.lit(0), F.col("parts") - 1)
+    dealt = placed.select(*key, "node", F.explode(F.when((F.col("node") == F.col("least")) & (F.col("parts") > 1), every).otherwise(F.array(own))).alias("part"))
+    first = dealt.join(sets, "node").select(*key, "part", "node", "shingles", F.col("node").alias("component"), F.lit(True).alias("asks"))
+    links = _searched(first, [*key, "part"], rule, "links")
+    named = components(links)
+    if not large.isEmpty():
+        # the parts of a tree: sets outside its largest component meet every part
+        split = sized.join(large, key).join(named, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        counts = split.groupBy(*key, "component").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("held"))
+        main = counts.groupBy(*key).agg(F.max(F.struct("n", "component", "held")).alias("top"), F.sum("n").alias("n"), F.sum("held").alias("held"))
+        main = main.select(*key, F.col("top.component").alias("main"), blocks(F.col("n") - F.col("top.n"), F.col("held") - F.col("top.held")).alias("asking"))
+        apart = kept(split.join(main.filter("asking > 0"), key).withColumn("part", own), "apart")
+        if not apart.isEmpty():
+            turn = F.pmod(F.xxhash64("node", F.lit(7)), F.col("asking")).cast("int")
+            asks = apart.filter("component <> main").select(*key, F.explode(every).alias("part"), turn.alias("turn"), "node", "component", F.lit(True).alias("asks"))
+            holds = apart.select(*key, "part", F.explode(F.sequence(F.lit(0), F.col("asking") - 1)).alias("turn"), "node", "component", F.lit(False).alias("asks"))
+            second = asks.unionByName(holds).join(sets, "node").select(*key, "part", "turn", "node", "shingles", "component", "asks")
+            more = _searched(second, [*key, "part", "turn"], rule, "links")
+            if not more.isEmpty():
+                discard(named)
+                named = components(links.unionByName(more))
+            discard(more)
+        discard(apart)
+    discard(links, large, sets, met, wanted)
+    swept(spark)
+    return named
+
+
+def classes(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """doc_id, digest (of the text), n_shingles, component and component_id of every row.
+
+    component names the linked sets and is null without shingles; component_id is the smallest id reachable by links.
+    """
+    rule = Rule(num, den)
+    feats = kept(features(docs, k), "features")
+    nodes = kept(feats.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n_shingles")), "nodes")
+    named = link(docs, nodes, k, rule)
+    every = nodes.select("node", "rep").join(named, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    heads = every.groupBy("component").agg(F.min("rep").alias("component_id"))
+    final = kept(every.join(heads, "component").select("node", "component", "component_id"), "classes")
+    discard(named, nodes)
+    return feats.join(final, "node", "left").select("doc_id", "digest", "n_shingles", "component", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest id reachable by links) of every document."""
-    rule = Rule(num, den)
-    feats = kept(features(docs, k, rule), "features")
-    nodes = kept(feats.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n_shingles"), F.first("point", True).alias("point")), "nodes")
-    cells = feats.select(F.explode("cells").alias("cell"), "node")
-    from pyspark.sql import Window as W
-
-    whole = W.partitionBy("cell")
-    window = F.col("cell").bitwiseAND(WINDOWS - 1)
-    met = cells.withColumns({"least": F.min("node").over(whole), "most": F.max("node").over(whole), "n": F.count("*").over(whole), "window": window})
-    met = kept(met.filter("least <> most").select("least", "window", "node", (F.col("n") > HOT).alias("hot")), "met")
-    spares = F.create_map(*[F.lit(x) for number, most in rule.all_windows() for x in (number, spare(most))])
-    crowded = met.filter("hot").groupBy("node", "window").agg(F.count("*").alias("n")).filter(F.col("n") > F.element_at(spares, F.col("window").cast("int"))).select("node", "window")
-    stay = met.filter("not hot").select("least", "window", "node").unionByName(met.filter("hot").join(crowded, ["node", "window"], "left_semi").select("least", "window", "node"))
-    stars = stay.distinct()
-    points = nodes.select("node", "n_shingles", "point")
-    members = kept(stars.join(points, "node"), "members")
-    sizes = members.groupBy("least", "window").agg(F.count("*").alias("n"))
-    large = kept(sizes.filter(F.col("n") > BLOCK).withColumn("parts", F.ceil(F.col("n") / BLOCK).cast("int")).select("least", "window", "parts"), "large")
-    dealt = members.join(large, ["least", "window"], "left").withColumn("part", F.pmod(F.hash("node"), F.coalesce("parts", F.lit(1))).cast("bigint"))
-    first = dealt.repartition("least", "window", "part").sortWithinPartitions("least", "window", "part")
-    pairs = kept(first.mapInArrow(_trees(["least", "window", "part"], rule, False), "a bigint, b bigint").distinct(), "pairs")
-    links = kept(verify(docs, pairs, nodes, k, rule), "links")
-    named = components(links)
-    # what large trees, or the parts of one, have left apart: twice the best pair of each point, then every pair
-    big = sizes.filter(F.col("n") > SMALL).select("least", "window")
-    large_ones = dealt.join(big, ["least", "window"], "left_semi")
-    tested = pairs
-    for best in (True, True, False):
-        placed = large_ones.join(named, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        mixed = placed.groupBy("least", "window").agg((F.min("component") != F.max("component")).alias("m")).filter("m").select("least", "window")
-        rest = kept(placed.join(mixed, ["least", "window"], "left_semi"), "apart")
-        if rest.isEmpty():
-            break
-        other = F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("other")
-        blocks = rest.select("*", other).withColumns({"i": F.least("part", F.col("other").cast("bigint")), "j": F.greatest("part", F.col("other").cast("bigint"))})
-        again = blocks.drop("parts", "part", "other").repartition("least", "window", "i", "j").sortWithinPartitions("least", "window", "i", "j")
-        more = again.mapInArrow(_trees(["least", "window", "i", "j"], rule, True, best), "a bigint, b bigint").distinct()
-        more = kept(more.join(tested, ["a", "b"], "left_anti"), "pairs")
-        if more.isEmpty():
-            continue
-        tested = tested.unionByName(more)
-        links = kept(links.unionByName(verify(docs, more, nodes, k, rule)), "links")
-        named = components(links)
-    classes = nodes.select("node", "rep").join(named, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    heads = classes.groupBy("component").agg(F.min("rep").alias("component_id"))
-    final = kept(classes.join(heads, "component").select("node", "component_id"), "classes")
-    return feats.select("doc_id", "n_shingles", "node").join(final, "node", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return classes(docs, k, num, den).select("doc_id", "n_shingles", "component_id")
