@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from opledger.llm import decontaminate, langid, ngrams, packing, secrets
-from opledger.llm.common import kept, table
+from opledger.llm.common import discard, kept, sided, table
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,16 +20,27 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked ones stays: the one with the smallest id (five words, similarity 0.8).
+    """One row of each group of linked ones stays: that with the smallest id, then the smallest hash of its text (five words, similarity 0.8).
 
-    Of rows with that same id one stays, the first by its text.
+    A group is a set of texts, so rows of one id may belong to several and each
+    group keeps its own; of rows with the same id and text one stays, that with
+    the least other columns.  Texts without a word are linked with nothing and stay.
     """
-    joined = ngrams.join(docs, k=5, num=80, den=100)
-    heads = kept(joined.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count("*").alias("n")), "heads")
-    stay = docs.join(heads, docs.doc_id.eqNullSafe(heads.doc_id), "left_semi")
-    if heads.filter("n > 1").isEmpty():
-        return stay
-    return stay.groupBy("doc_id").agg(F.min(F.struct("text", *[c for c in docs.columns if c not in ("doc_id", "text")])).alias("first")).select(*[F.col("doc_id") if c == "doc_id" else F.col("first")[c].alias(c) for c in docs.columns])
+    rows = kept(ngrams.classes(docs, k=5, num=80, den=100).filter("component is not null").select("component", "doc_id", "digest"), "classes")
+    order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "digest")
+    heads = rows.groupBy("component").agg(F.min(order).alias("head")).select(F.col("head.doc_id").alias("own_id"), F.col("head.digest").alias("own_digest"))
+    texts = rows.groupBy("doc_id", "digest").agg(F.count("*").alias("n"))
+    same = texts.doc_id.eqNullSafe(heads.own_id) & (texts.digest == heads.own_digest)
+    marked = kept(texts.join(heads, same, "left").select(texts.doc_id.alias("own_id"), texts.digest.alias("own_digest"), "n", heads.own_digest.isNotNull().alias("head")), "marked")
+    own = docs.doc_id.cast("bigint").eqNullSafe(F.col("own_id")) & (F.xxhash64(docs.text.cast("string")) == F.col("own_digest"))
+    lost, repeated = (kept(marked.filter(which).select("own_id", "own_digest"), name) for which, name in (("not head", "lost"), ("head and n > 1", "repeated")))
+    stay = docs.join(sided(lost), own, "left_anti")
+    if not repeated.isEmpty():
+        again, names = sided(repeated), [c for c in docs.columns if c not in ("doc_id", "text")]
+        first = stay.join(again, own, "left_semi").groupBy("doc_id", "text").agg(F.min(F.struct(*names)).alias("first"))
+        stay = stay.join(again, own, "left_anti").unionByName(first.select("doc_id", "text", *[F.col("first")[c].alias(c) for c in names]).select(*docs.columns))
+    discard(rows, marked)
+    return stay
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
