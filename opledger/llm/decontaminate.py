@@ -1,35 +1,44 @@
 """Benchmark decontamination: q-gram lemma filtering in diagonal bands, then banded alignment.
 
 Texts are normalised (lower case; runs of other characters than letters and
-digits become one blank).  An item of m characters that lies in a document with
-at most e = floor(rate * m) edits shares at least m + 1 - q * (e + 1) of its
-q-grams with it, and these lie within e diagonals of each other.  So shared
-q-grams are counted in overlapping bands of 2 * (e + 1) diagonals, a band
-starting every e + 1; bands that reach the bound are regions, and a region
-is a leak where an alignment within its band has at most e edits.
+digits become one blank).  An item of m characters may differ by
+e = min(floor(rate * m), floor(m / q) - 1) edits, the second being all that the
+lemma can bound.  Where it lies in a document with at most e edits, they share at
+least m + 1 - q * (e + 1) of its q-grams, and the alignment keeps to e + 1
+neighbouring diagonals.  So shared q-grams are counted in overlapping bands of
+2 * (e + 1) diagonals, a band starting every e + 1; bands that reach the bound
+are regions, and a region is a leak where an alignment within its band has at
+most e edits.
 
 Items longer than `longest` characters are cut to windows of that length that
 start every half of it, the last one at the item's end, so that a long item also
 shows by a part of it; each window found is a row, and these may overlap.
 
-Edge cases: null and empty texts match nothing; items too short for a bound
-above zero are matched exactly, those under `Q` characters as whole words (in
-scripts without blanks, anywhere); repeated items and rows each give their own
-rows; very long documents are searched whole; an empty table on either side
-gives no row.  The benchmark must be small (`most_bytes`, checked); else ValueError.
+Edge cases: null and empty texts match nothing; items of under 13 characters
+are matched exactly (no edit is within the rate), those under `Q` characters as
+whole words (in scripts without blanks, anywhere); repeated items and rows each
+give their own rows; of overlapping matches of one window that with fewest edits is
+kept, of equally good ends the first; very long documents are searched whole; an empty
+table on either side gives no row; further columns of any name are not read by
+leaks and kept by clean.  A benchmark of more than `most_bytes` is searched in blocks.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_batches, mix
+from .common import by_batches, discard, kept, mix
 
 Q = 8
 RATE = 0.08
 SLOTS = 1 << 22
+#: Shared q-grams that are counted at once, and bands that are aligned at once.
+HITS = 1 << 21
+BANDS = 256
 # First and last code point of scripts written without blanks.
 UNSPACED = ((0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3005, 0x3007), (0x3040, 0x30FF), (0x3400, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x3FFFF))
 
@@ -94,40 +103,46 @@ def borders(points: np.ndarray, firsts: np.ndarray) -> np.ndarray:
     return out
 
 
-def banded_edits(item: np.ndarray, text: np.ndarray, most: int) -> tuple[int, int, int]:
-    """(edits, start, end) of the best alignment of the whole item to a part of text; edits is most + 1 if there is none.
+def banded_edits(item: np.ndarray, text: np.ndarray, starts: np.ndarray, most: int, first: np.ndarray, upto: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(edits, start, end) of the best alignment of the whole item to a part of text[first[k]:upto[k]], for each band k; edits is most + 1 if there is none.
 
-    Row by row over the item; every place of the text may start or end the match.
-    Deletions along a row are settled by a running minimum.
+    A band is 2 * (most + 1) diagonals from starts[k] on; a diagonal is the place in
+    the text less the place in the item.  Only its cells are computed, row by row
+    over the item and for all bands at once; a match starts at any diagonal, and
+    insertions along a row are settled by a running minimum.  Of equal costs the
+    first end counts.
     """
-    n = len(text)
-    exact = text.tobytes().find(item.tobytes())
-    if exact >= 0 and exact % item.itemsize == 0:
-        return 0, exact // item.itemsize, exact // item.itemsize + len(item)
-    far = most + 1
-    cost, begin = np.zeros(n + 1, np.int32), np.arange(n + 1)
-    along = np.arange(n + 1, dtype=np.int32)
-    for i, c in enumerate(item.tolist()):
-        new, origin = np.empty(n + 1, np.int32), np.empty(n + 1, np.int64)
-        new[0], origin[0] = i + 1, 0
-        swap = cost[:-1] + (text != c)
-        drop = cost[1:] + 1
+    width, far, first, upto = 2 * (most + 1), most + 1, first[:, None], upto[:, None]
+    along = np.arange(width, dtype=np.int32)
+    place = starts[:, None] + along  # place in the text of the next character, on each diagonal
+    never = np.int32(1 << 20)
+    cost = np.where((place >= first) & (place <= upto), 0, never).astype(np.int32)
+    begin = place.copy()
+    padded = np.append(text, np.zeros(1, text.dtype))
+    for c in item.tolist():
+        inside = (place >= first) & (place < upto)
+        swap = cost + (padded[np.where(inside, place, len(text))] != c) + np.where(inside, 0, never)
+        drop = np.full_like(cost, never)  # the item's character is left out: one diagonal lower
+        drop[:, :-1] = cost[:, 1:] + 1
+        other = np.zeros_like(begin)
+        other[:, :-1] = begin[:, 1:]
+        place = place + 1
         better = swap <= drop
-        new[1:] = np.where(better, swap, drop)
-        origin[1:] = np.where(better, begin[:-1], begin[1:])
-        shifted = new - along
-        low = np.minimum.accumulate(shifted)
-        moved = low < shifted
+        cost, begin = np.where(better, swap, drop).astype(np.int32), np.where(better, begin, other)
+        cost[(place < first) | (place > upto)] = never
+        shifted = cost - along
+        low = np.minimum.accumulate(shifted, axis=1)
+        moved = (low < shifted) & (place <= upto) & (place >= first)
         if moved.any():
-            # the place each running minimum came from
-            source = np.maximum.accumulate(np.where(shifted == low, along, 0))
-            origin = np.where(moved, origin[source], origin)
-            new = low + along
-        cost, begin = new, origin
+            source = np.maximum.accumulate(np.where(shifted == low, along, 0), axis=1)
+            begin = np.where(moved, np.take_along_axis(begin, source, 1), begin)
+            cost = np.where(moved, low + along, cost)
         if cost.min() > most:
-            return far, 0, 0
-    end = int(np.argmin(cost))
-    return int(cost[end]), int(begin[end]), end
+            break
+    at = cost.argmin(1)
+    rows = np.arange(len(starts))
+    edits = np.minimum(cost[rows, at], far)
+    return edits, np.where(edits < far, begin[rows, at], 0), np.where(edits < far, place[rows, at], 0)
 
 
 class Items:
@@ -151,9 +166,7 @@ class Items:
             for at in cuts:
                 p = whole[at:at + longest] if len(whole) > longest else whole
                 m = len(p)
-                e = int(rate * m)
-                while e and m + 1 - q * (e + 1) < max(2, m // 5):
-                    e -= 1
+                e = min(int(rate * m), m // q - 1)
                 g = grams(p, q)
                 hashes.append(g)
                 owners.append(np.full(len(g), len(self.ids)))
@@ -206,68 +219,125 @@ class Items:
         at, lo, n = at[n > 0], lo[n > 0], n[n > 0]
         if not len(at):
             return
-        which = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
-        spot = np.repeat(at, n)
-        owner, diagonal = self.owner[which], spot - self.place[which]
-        doc = np.searchsorted(firsts, spot, side="right") - 1
-        width = self.edit[owner] + 1
-        base = diagonal + 4096
-        found = []
-        for shift in (0, 1):  # two families of bands of twice the width, half a band apart
-            band = (base // width + shift) // 2
-            key = (doc.astype(np.int64) * len(self.ids) + owner) << np.int64(32) | band
-            names, first, counts = np.unique(key, return_index=True, return_counts=True)
-            ok = counts >= self.least[owner[first]]
-            found += [(int(doc[f]), int(owner[f]), int(b)) for f, b in zip(first[ok], ((2 * (names[ok] & 0xFFFFFFFF) - shift) * width[first[ok]] - 4096).tolist())]
-        tried: dict[tuple[int, int], list] = {}
-        upto = np.append(firsts[1:], len(points))
-        for d, o, low in sorted(set(found)):
-            item, most = self.points[o], self.edits[o]
-            a = max(int(firsts[d]), low - most - 1)
-            b = min(int(upto[d]), low + 2 * (most + 1) + len(item) + most + 1)
-            if b <= a:
+        doc = np.searchsorted(firsts, at, side="right") - 1
+        bands = len(points) + 8194
+        if len(firsts) * len(self.ids) * bands >= 1 << 62:
+            raise ValueError("too many texts and items for one batch")
+        ends, counted = np.cumsum(n), ([], [])
+        cuts = [0, *np.flatnonzero(np.diff(ends // HITS)).tolist(), len(n)]
+        for a, b in zip(cuts, cuts[1:]):  # so many shared q-grams at once
+            if a == b:
                 continue
-            edits, s, e = banded_edits(item, points[a:b], most)
-            if edits <= most and e > s:
-                span = (self.ids[o], int(places[a + s] - begins[d]), int(places[a + e - 1] - begins[d]) + 1, edits)
-                near = tried.setdefault((d, o), [])
-                if not any(x[1] < span[2] and span[1] < x[2] for x in near):
-                    near.append(span)
-        for (d, _), spans in tried.items():
-            out[d] += spans
-
-
-def load(benchmark: DataFrame, most_bytes: int = 64 << 20, item: str = "item_id", text: str = "text") -> Items:
-    """The benchmark's items, after their size is checked."""
-    size = benchmark.agg(F.coalesce(F.sum(F.octet_length(F.col(text))), F.lit(0))).first()[0]
-    if size > most_bytes:
-        raise ValueError(f"the benchmark holds {size} bytes; at most {most_bytes} are searched at once")
-    rows = benchmark.select(F.col(item).cast("bigint"), F.col(text)).collect()
-    return Items(sorted(((r[0], r[1]) for r in rows), key=lambda r: (r[0] is not None, r[0] or 0, r[1] or "")))
-
-
-def leaks(docs: DataFrame, items: Items, text: str = "text", key: str = "doc_id") -> DataFrame:
+            m = n[a:b]
+            which = np.arange(int(m.sum())) - np.repeat(np.cumsum(m) - m, m) + np.repeat(lo[a:b], m)
+            owner, spot = self.owner[which], np.repeat(at[a:b], m)
+            base, width = spot - self.place[which] + 4096, self.edit[owner] + 1
+            pair = (np.repeat(doc[a:b], m) * len(self.ids) + owner) * bands
+            for shift in (0, 1):  # two families of bands of twice the width, half a band apart
+                counted[shift].append(np.unique(pair + (base // width + shift) // 2, return_counts=True))
+        regions = []
+        for shift, parts in enumerate(counted):
+            names, where = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+            total = np.bincount(where, np.concatenate([c for _, c in parts]), len(names))
+            owner = names // bands % len(self.ids)
+            ok = total >= self.least[owner]
+            names, owner = names[ok], owner[ok]
+            low = (2 * (names % bands) - shift) * (self.edit[owner] + 1) - 4096
+            regions.append(np.stack([owner, names // bands // len(self.ids), low], 1))
+        found = np.unique(np.concatenate(regions), axis=0)
+        upto = np.append(firsts[1:], len(points))
+        marks = np.flatnonzero(np.diff(found[:, 0], prepend=-1))
+        for a, b in zip(marks.tolist(), [*marks[1:].tolist(), len(found)]):
+            o, d = int(found[a, 0]), found[a:b, 1]
+            for doc, edits, s, e in self._verified(o, points, d, firsts[d], upto[d], found[a:b, 2]):
+                out[doc].append((self.ids[o], int(places[s] - begins[doc]), int(places[e - 1] - begins[doc]) + 1, edits))
+
+    def _verified(self, o: int, points, docs, first, upto, starts) -> list[tuple[int, int, int, int]]:
+        """(document, edits, start, end) of matches of a window within bands of documents; of those that overlap, the one with fewest edits, then the first."""
+        item, most = self.points[o], self.edits[o]
+        spans, rest, raw, size = [], [], item.tobytes(), item.itemsize
+        for i, (d, lo, hi, low) in enumerate(zip(docs.tolist(), first.tolist(), upto.tolist(), starts.tolist())):
+            a, b = max(lo, low), min(hi, low + 2 * (most + 1) + len(item) - 1)
+            part = points[a:b].tobytes() if b > a else b""
+            at = part.find(raw)
+            while at > 0 and at % size:
+                at = part.find(raw, at + 1)
+            if at >= 0:  # an exact match needs no alignment
+                spans.append((d, 0, a + at // size, a + at // size + len(item)))
+            else:
+                rest.append(i)
+        for at in range(0, len(rest), BANDS):
+            own = np.array(rest[at:at + BANDS], np.int64)
+            got = banded_edits(item, points, starts[own], most, first[own], upto[own])
+            spans += [(int(d), int(x), int(y), int(z)) for d, x, y, z in zip(docs[own], *got) if x <= most and z > y]
+        out: dict[int, list[tuple[int, int, int, int]]] = {}
+        for d, edits, s, e in sorted(set(spans)):
+            near = out.setdefault(d, [])
+            if not any(x[2] < e and s < x[3] for x in near):
+                near.append((d, edits, s, e))
+        return [x for near in out.values() for x in near]
+
+
+class Benchmark:
+    """A benchmark's items, in blocks of bounded size."""
+
+    def __init__(self, rows: DataFrame, blocks: int):
+        self.rows, self.blocks = rows, blocks
+
+    def items(self, block: int) -> Items:
+        own = F.pmod(F.xxhash64("item_id", "text"), F.lit(self.blocks)) == block
+        found = [(r[0], r[1]) for r in self.rows.filter(own).collect()]
+        return Items(sorted(found, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or "")))
+
+
+def load(benchmark: DataFrame, most_bytes: int = 16 << 20, item: str = "item_id", text: str = "text") -> Benchmark:
+    """The benchmark's items in blocks of about most_bytes of text, each small enough to be sent to all executors."""
+    rows = benchmark.select(F.col(item).cast("bigint").alias("item_id"), F.col(text).cast("string").alias("text"))
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    return Benchmark(rows, max(1, -(-size // most_bytes)))
+
+
+def leaks(docs: DataFrame, items: Benchmark, text: str = "text", key: str = "doc_id") -> DataFrame:
     """One row per leak: key, item_id, start, end (code points of the text), edits."""
-    shared = docs.sparkSession.sparkContext.broadcast(items)
+    context, names = docs.sparkSession.sparkContext, ("key_", "item_id", "start", "end", "edits")
 
-    def work(batch):
-        found = shared.value.search(batch.column("text_").to_pylist())
-        keys = batch.column(key).to_pylist()
-        rows = [(keys[i], *s) for i, spans in enumerate(found) for s in spans]
-        return dict(zip((key, "item_id", "start", "end", "edits"), zip(*rows))) if rows else {c: [] for c in (key, "item_id", "start", "end", "edits")}
+    def found(block: int) -> DataFrame:
+        shared = context.broadcast(items.items(block))
 
-    return by_batches(docs.select(key, F.col(text).alias("text_")), work, f"`{key}` {dict(docs.dtypes)[key]}, item_id bigint, start bigint, end bigint, edits bigint", "text_")
+        def work(batch):
+            by_text = shared.value.search(batch.column("text_").to_pylist())
+            keys = batch.column("key_").to_pylist()
+            rows = [(keys[i], *s) for i, spans in enumerate(by_text) for s in spans]
+            return dict(zip(names, zip(*rows))) if rows else {c: [] for c in names}
 
+        kind = dict(docs.dtypes)[key]
+        out = by_batches(docs.select(F.col(key).alias("key_"), F.col(text).cast("string").alias("text_")), work, f"key_ {kind}, item_id bigint, start bigint, end bigint, edits bigint", "text_")
+        if items.blocks > 1:  # one block at a time
+            out = kept(out, "leaks")
+            shared.destroy()
+        return out
 
-def clean(docs: DataFrame, items: Items) -> DataFrame:
-    """documents without those that hold a leak."""
-    shared, names = docs.sparkSession.sparkContext.broadcast(items), docs.columns
-
-    def work(batch):
-        import pyarrow as pa
+    return reduce(DataFrame.unionByName, [found(b) for b in range(items.blocks)]).withColumnRenamed("key_", key)
 
-        found = shared.value.search(batch.column("text").to_pylist())
-        left = batch.filter(pa.array([not f for f in found], pa.bool_()))
-        return {c: left.column(c) for c in names}
 
-    return by_batches(docs, work, docs.schema, "text")
+def clean(docs: DataFrame, items: Benchmark) -> DataFrame:
+    """documents without those that hold a leak."""
+    context, names = docs.sparkSession.sparkContext, docs.columns
+    for block in range(items.blocks):
+        shared = context.broadcast(items.items(block))
+
+        def work(batch, shared=shared):
+            import pyarrow as pa
+
+            found = shared.value.search(batch.column("text").to_pylist())
+            left = batch.filter(pa.array([not f for f in found], pa.bool_()))
+            return {c: left.column(c) for c in names}
+
+        rest = by_batches(docs, work, docs.schema, "text")
+        if items.blocks > 1:  # one block at a time
+            rest = kept(rest, "clean")
+            shared.destroy()
+            if block:
+                discard(docs)
+        docs = rest
+    return docs
