@@ -9,8 +9,10 @@ vocabulary (about 27,000 of four letters and more, most of them English), so cle
 wholly; it may overlap base spans.
 
 Edge cases: a null or empty text has no spans; values of any length are priced
-by one recurrence over the whole value, in linear time;
-repeated rows give repeated rows; other columns are not read.
+by one recurrence over the whole value, in linear time, and the cost is the least
+of all cuts; of cuts of one cost any may be named; repeated rows give repeated
+rows; an empty table gives no row; scan reads only key and text, redact keeps
+all columns.
 """
 
 from __future__ import annotations
@@ -79,8 +81,10 @@ def guess_cost(value: str) -> tuple[float, list[tuple[str, int, int]]]:
     n, lower, known = len(value), value.lower(), ranks()
     plain = lower.translate(LEET) if len(lower.translate(LEET)) == n else lower
     per_character = math.log10(_spread(value))
-    best = [0.0] + [math.inf] * n
+    # cheapest cuts of the first i characters, by whether their last segment is brute force: only such a one goes on at no further segment
+    best, brute = [0.0] + [math.inf] * n, [math.inf] * (n + 1)
     back: list[tuple[str, int]] = [("", 0)] * (n + 1)
+    brute_from = [0] * (n + 1)
     joint = math.log10(2.0)  # each further segment doubles the orders to try
     # equal[u][i]: how many characters from i on equal the one u further
     equal = {u: [0] * (n + 1) for u in (1, 2, 3, 4)}
@@ -93,18 +97,16 @@ def guess_cost(value: str) -> tuple[float, list[tuple[str, int, int]]]:
         if i >= 2:
             walk = walk + step if lower[i - 2:i] in NEXT else math.inf
             if i >= 3 and lower[i - 2:i] in NEXT and lower[i - 3:i - 1] in NEXT:
-                start = best[i - 3] + (joint if i > 3 else 0.0) + math.log10(47.0) + 2 * step
+                start = min(best[i - 3], brute[i - 3]) + (joint if i > 3 else 0.0) + math.log10(47.0) + 2 * step
                 if start < walk:
                     walk, walk_from = start, i - 3
             if walk < best[i]:
                 best[i], back[i] = walk, ("walk", walk_from)
         if i == n:
             break
-        here = best[i] + (joint if i else 0.0)
-        # brute force: one more character, no new segment after another such span
-        cost = best[i] + per_character + (joint if i and back[i][0] != "brute" else 0.0)
-        if cost < best[i + 1]:
-            best[i + 1], back[i + 1] = cost, ("brute", i if back[i][0] != "brute" else back[i][1])
+        here = min(best[i], brute[i]) + (joint if i else 0.0)
+        begun = best[i] + (joint if i else 0.0)
+        brute[i + 1], brute_from[i + 1] = (brute[i] + per_character, brute_from[i]) if brute[i] <= begun else (begun + per_character, i)
         for j in range(i + 3, min(n, i + LONGEST_WORD) + 1):  # words
             rank = known.get(lower[i:j])
             extra = 0.0
@@ -129,12 +131,15 @@ def guess_cost(value: str) -> tuple[float, list[tuple[str, int, int]]]:
                         cost = here + unit * per_character + math.log10((j - i) / unit)
                         if cost < best[j]:
                             best[j], back[j] = cost, ("repeat", i)
-    cuts, at = [], n
+    cuts, at, least = [], n, min(best[n], brute[n])
     while at:
-        kind, start = back[at]
+        kind, start = ("brute", brute_from[at]) if brute[at] < best[at] else back[at]
         cuts.append((kind, start, at))
         at = start
-    return best[n], cuts[::-1]
+        if kind == "brute" and at:  # a new span of brute force only follows another kind
+            cuts.append((*back[at], at))
+            at = back[at][1]
+    return least, cuts[::-1]
 
 
 def spans_of(text: str | None, log10_guesses: float = 10.0) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
