@@ -1,13 +1,15 @@
 """Packing of token sequences: first fit decreasing over a tournament tree of bin capacities.
 
-Documents are dealt into randomised groups, and each group is packed alone.
-Pieces longer than a sequence are cut first.  After first fit the emptiest
+Documents are cut to pieces of at most a sequence, these are dealt into randomised
+groups, and each group is packed alone.  After first fit the emptiest
 sequences are cut up to fill the gaps of the others, and the one that remains
 is cut at powers of two, which need no padding.
 
 Edge cases: a null or empty text is one piece that holds only the end id;
 repeated rows are packed each; a very long document is spread over many
-sequences; an empty table gives no row.
+sequences and groups; pieces of one length go in the order in which the group
+holds them, which changes no total; an empty table gives no row; columns other
+than doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -110,38 +112,46 @@ def pack(lengths: list[int], length: int = LENGTH) -> list[list[tuple[int, int,
     return packed
 
 
-def encode_documents(docs: DataFrame, path: str | None = None, end_id: int = 1, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
-    """keep columns and ids (two bytes each, end id included) of each text."""
+def encode_pieces(docs: DataFrame, path: str | None = None, length: int = LENGTH, end_id: int = 1, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, start, doc_tokens and ids (two bytes each) of every piece of at most `length` ids, the end id included."""
     path = path or vocabulary_path()
 
     def work(batch):
         tail = np.array([end_id], "<u2").tobytes()
-        return {c: batch.column(c) for c in keep} | {"ids": [x + tail for x in encoder(path).encode(batch.column("text_").to_pylist())]}
+        out: dict[str, list] = {c: [] for c in ("key_", "start", "doc_tokens", "ids")}
+        for k, x in zip(batch.column("key_").to_pylist(), encoder(path).encode(batch.column("text_").to_pylist())):
+            x += tail
+            for at in range(0, len(x), 2 * length):
+                for c, v in zip(out, (k, at // 2, len(x) // 2, x[at:at + 2 * length])):
+                    out[c].append(v)
+        return out
 
-    kinds = dict(docs.dtypes)
-    return by_batches(docs.select(*keep, F.col(text).alias("text_")), work, ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", ids binary", "text_")
+    rows = docs.select(F.col(key).cast("bigint").alias("key_"), F.col(text).cast("string").alias("text_"))
+    return by_batches(rows, work, "key_ bigint, start bigint, doc_tokens bigint, ids binary", "text_")
 
 
 def pack_documents(docs: DataFrame, path: str | None = None, length: int = LENGTH, group: int = GROUP, end_id: int = 1, seed: int = 17) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset and the ids themselves.
 
-    Groups are drawn at random per row, so that no key or source makes a group large.
+    Documents are cut to pieces of at most `length` ids where they are read; groups
+    of about `group` pieces are drawn at random for each, so that neither a key, a
+    source nor a very long document makes a group large.
     """
-    groups = max(1, -(-docs.count() // group))
-    coded = encode_documents(docs.select("doc_id", "text"), path, end_id)
-    dealt = coded.withColumn("g", F.floor(F.rand(seed) * groups).cast("bigint"))
+    n, size = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(F.col("text").cast("string"))), F.lit(0))).first()
+    groups = max(1, -(-n // group), -(-size // (2 * group * length)))  # an id stands for two bytes or more of most texts
+    dealt = encode_pieces(docs, path, length, end_id).withColumn("g", F.floor(F.rand(seed) * groups).cast("bigint"))
 
     def run(table):
         import pyarrow as pa
 
-        ids, keys = table.column("ids").to_pylist(), table.column("doc_id").to_pylist()
+        ids, keys, begins, totals = (table.column(c).to_pylist() for c in ("ids", "key_", "start", "doc_tokens"))
         base = table.column("g")[0].as_py() << 32
         out: dict[str, list] = {c: [] for c in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids")}
         for s, pieces in enumerate(pack([len(x) // 2 for x in ids], length)):
             at = 0
             for i, start, n in pieces:
                 own = np.frombuffer(ids[i], "<u2", n, 2 * start)
-                for c, v in zip(out, (keys[i], start, n, zlib.crc32(own.astype("<u4").tobytes()), len(ids[i]) // 2, base + s, at, own.tobytes())):
+                for c, v in zip(out, (keys[i], begins[i] + start, n, zlib.crc32(own.astype("<u4").tobytes()), totals[i], base + s, at, own.tobytes())):
                     out[c].append(v)
                 at += n
         return pa.table({c: pa.array(v, pa.binary() if c == "ids" else pa.int64()) for c, v in out.items()})
