@@ -10,14 +10,17 @@ text and a running number, so that repeated ids keep all their rows.
 
 Edge cases: a null id sorts before all others; a null text is the empty text,
 which holds only the end id; rows with the same id stand in the order of their
-text hashes; an empty table gives no shard and no row.
+text hashes; repeated rows are entries each; a very long text is one entry, and
+its block is as large as it; ids that are looked up and not there give no row;
+an empty table gives no shard and no row; columns other than key and text are
+not read.
 """
 
 from __future__ import annotations
 
 import struct
 import zlib
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import kept, scratch, slices
+from .common import bounded, kept, scratch, slices
 from .files import Writer, open_file, read_range
 from .subwords import encoder, vocabulary_path
 
@@ -189,7 +192,7 @@ def write_shards(docs: DataFrame, folder: str, path: str | None = None, end_id:
         from pyspark import TaskContext
 
         task = TaskContext.get()
-        at, writer, n = task.partitionId(), None, 0
+        at, writer, n, nulls, first, last = task.partitionId(), None, 0, 0, None, None
         uri = f"{folder}/part-{at:06d}-{task.taskAttemptId()}.sst"
         encode = encoder(path).encode
         tail = np.array([end_id], "<u2").tobytes()
@@ -198,11 +201,15 @@ def write_shards(docs: DataFrame, folder: str, path: str | None = None, end_id:
             for i, h, ids in zip(batch.column("id").to_pylist(), batch.column("h").to_pylist(), encode(batch.column("text").to_pylist())):
                 writer.add(id_key(i) + (h + (1 << 63)).to_bytes(8, "big") + n.to_bytes(6, "big"), ids + tail, len(ids) // 2 + 1)
                 n += 1
+                if i is None:
+                    nulls += 1
+                else:
+                    first, last = i if first is None else first, i
         if writer:
-            size = writer.close()
-            yield pa.RecordBatch.from_pydict({"shard": pa.array([at], pa.int64()), "uri": [uri], "n_docs": pa.array([writer.count], pa.int64()), "n_ids": pa.array([writer.ids], pa.int64()), "bytes": pa.array([size], pa.int64())})
+            made = {"shard": at, "n_docs": writer.count, "n_ids": writer.ids, "bytes": writer.close(), "null_ids": nulls, "first_id": first, "last_id": last}
+            yield pa.RecordBatch.from_pydict({"uri": [uri]} | {c: pa.array([v], pa.int64()) for c, v in made.items()})
 
-    return kept(rows.mapInArrow(run, "shard bigint, uri string, n_docs bigint, n_ids bigint, bytes bigint"), "manifest")
+    return kept(bounded(rows).mapInArrow(run, "uri string, shard bigint, n_docs bigint, n_ids bigint, bytes bigint, null_ids bigint, first_id bigint, last_id bigint"), "manifest")
 
 
 def read_shards(manifest: DataFrame) -> DataFrame:
@@ -232,26 +239,40 @@ def read_shards(manifest: DataFrame) -> DataFrame:
 
 
 def lookup(manifest: DataFrame, ids: DataFrame) -> DataFrame:
-    """All token lists of the ids asked for (column doc_id), by filter, index search and single block reads."""
-    asked = ids.select(F.col("doc_id").cast("bigint")).distinct()
-    uris = [r.uri for r in manifest.select("uri", "shard").orderBy("shard").collect()]  # one row per shard: a few thousand at most
+    """All token lists of the ids asked for (column doc_id), by key ranges, filter, index search and single block reads.
+
+    The manifest's least and greatest ids (one row per shard: a few thousand) tell
+    which shards may hold an id; each shard is opened by the task of its ids.
+    """
+    spans = manifest.select("uri", "null_ids", "first_id", "last_id").orderBy("shard").collect()
+    known = [r for r in spans if r.first_id is not None]
+    # shards follow each other by id: of neighbours only the ends may be equal
+    firsts, lasts = [r.first_id for r in known], [r.last_id for r in known]
+    nulls, uris = [r.uri for r in spans if r.null_ids], [r.uri for r in known]
+
+    def place(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            rows = [(i, u) for i in batch.column("doc_id").to_pylist() for u in (nulls if i is None else uris[bisect_left(lasts, i):bisect_right(firsts, i)])]
+            yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows], pa.int64()), pa.array([u for _, u in rows], pa.string())], names=["doc_id", "uri"])
 
     def run(batches):
         import pyarrow as pa
 
-        opened: dict[str, Shard] = {}
+        uri, shard = None, None
         for batch in batches:
             ids, tokens = [], []
-            for doc_id in batch.column("doc_id").to_pylist():
-                for uri in uris:
-                    if uri not in opened:
-                        opened[uri] = Shard(uri)
-                    for v in opened[uri].get(doc_id):
-                        ids.append(doc_id)
-                        tokens.append(np.frombuffer(v, "<u2").astype(np.int32).tolist())
+            for doc_id, own in zip(batch.column("doc_id").to_pylist(), batch.column("uri").to_pylist()):
+                if own != uri:
+                    uri, shard = own, Shard(own)
+                for v in shard.get(doc_id):
+                    ids.append(doc_id)
+                    tokens.append(np.frombuffer(v, "<u2").astype(np.int32).tolist())
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(tokens, pa.list_(pa.int32()))], names=["doc_id", "tokens"])
 
-    return asked.mapInArrow(run, "doc_id bigint, tokens array<int>")
+    asked = ids.select(F.col("doc_id").cast("bigint")).distinct().mapInArrow(place, "doc_id bigint, uri string")
+    return asked.repartition("uri").sortWithinPartitions("uri", "doc_id").mapInArrow(run, "doc_id bigint, tokens array<int>")
 
 
 def round_trip(spark: SparkSession, docs: DataFrame, path: str | None = None) -> DataFrame:
