@@ -8,8 +8,10 @@ the records.
 
 Edge cases: a null html is an empty payload; payloads under `least_bytes` are
 always responses; rows that repeat the smallest id of their payload are all
-responses; a null URL leaves the target header out; line breaks and blanks of a
-URL are written as %XX; an empty table gives no archive and no row.
+responses; a null id revisits unless all ids of its payload are null, and then
+is a response; a null URL leaves the target header out; line breaks and blanks
+of a URL are written as %XX; a very long payload is one record; an empty table
+gives no archive and no row; columns other than id, URL and html are not read.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ import zlib
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import kept, slices
+from .common import bounded, kept, sided, slices
 from .files import Writer, open_file, read_range
 
 GAP = 64 << 10
@@ -32,12 +34,17 @@ INDEX = "archive string, offset bigint, length bigint, url string, digest string
 
 
 def decide(pages: DataFrame, least_bytes: int = 100, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
-    """page_id, url, html, digest, refers_to (null for responses).  Copies are counted before anything moves."""
-    rows = pages.select(F.col(key).cast("bigint").alias("page_id"), F.col(url).alias("url"), F.col(html).alias("html"), F.sha2(F.coalesce(F.col(html), F.lit("")).cast("binary"), 256).alias("digest"))
-    large = rows.filter(F.octet_length("html") >= least_bytes)
-    repeated = large.groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).filter("n > 1").select("digest", "first_id")
-    own = F.coalesce(F.col("page_id") == F.col("first_id"), F.col("first_id").isNull())
-    return rows.join(repeated, "digest", "left").select("page_id", "url", "html", "digest", F.when(~own, F.col("first_id")).alias("refers_to"))
+    """page_id, url, html, digest, refers_to (null for responses).
+
+    Copies are decided on ids and digests alone; the payloads only meet the list of
+    revisits, which is broadcast where it is counted to be short.
+    """
+    rows = pages.select(F.col(key).cast("bigint").alias("page_id"), F.col(url).cast("string").alias("url"), F.col(html).cast("string").alias("html"), F.sha2(F.coalesce(F.col(html), F.lit("")).cast("binary"), 256).alias("digest"))
+    large = rows.filter(F.octet_length("html") >= least_bytes).select("page_id", "digest")
+    first = large.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).filter("n > 1").select("digest", "refers_to")
+    again = kept(large.join(first, "digest").filter(~F.col("page_id").eqNullSafe(F.col("refers_to"))).select(F.col("page_id").alias("own_id"), F.col("digest").alias("own"), "refers_to").distinct(), "revisits")
+    met = F.col("page_id").eqNullSafe(F.col("own_id")) & (F.col("digest") == F.col("own"))
+    return rows.join(sided(again), met, "left").select("page_id", "url", "html", "digest", "refers_to")
 
 
 def record(page_id, url, payload: bytes, digest: str, refers_to) -> bytes:
@@ -92,7 +99,7 @@ def write_archives(decided: DataFrame, folder: str) -> DataFrame:
         if out is not None:
             out.close()
 
-    return kept(decided.mapInArrow(run, INDEX), "index")
+    return kept(bounded(decided).mapInArrow(run, INDEX), "index")
 
 
 def read_records(index: DataFrame, gap: int = GAP, span: int = SPAN) -> DataFrame:
