@@ -8,7 +8,11 @@ by histogram differences against a threshold that adapts to the frames before.
 
 Edge cases: a null or empty payload is one row of zeros; the last frame is
 filled with zeros, and the INFO list holds the true length; a file without an
-index is walked chunk by chunk; a damaged file raises ValueError.
+index is walked chunk by chunk; a damaged file raises ValueError; very long
+payloads have as many frames as they need and are decoded whole, some at a time;
+repeated rows give repeated rows, and equal payloads equal files; of equal
+histograms no shot begins; an empty table gives no row; columns other than the
+key and the text are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -419,3 +423,9 @@ def read_features(media: DataFrame, key: str = "doc_id") -> DataFrame:
 
     schema = f"`{key}` {dict(media.dtypes)[key]}, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string, clips array<struct<first:bigint,last:bigint,start_s:double,end_s:double>>"
     return by_batches(media, work, schema, "media", 1 << 20)
+
+
+def clips(features: DataFrame, key: str = "doc_id") -> DataFrame:
+    """One row per clip of what read_features gives: key, clip (from 0), first and last frame, start_s and end_s."""
+    rows = features.select(F.col(key).alias("key_"), F.posexplode("clips").alias("clip", "c"))
+    return rows.select(F.col("key_").alias(key), F.col("clip").cast("bigint"), "c.first", "c.last", "c.start_s", "c.end_s")
