@@ -5,12 +5,14 @@ letter trigrams; a Viterbi pass with a switching penalty labels spans.  A text
 gets the language that holds most of its letters.
 
 Training counts trigrams of labelled texts on the executors.  The fit takes about
-`per_language` texts of each language, chosen by a hash of the key (a documented
-bound); predictions read whole texts.
+`per_language` texts of each of the `most_languages` most frequent labels, chosen
+by a hash of key and text (documented bounds); predictions read whole texts.
 
 Edge cases: a null text, an empty one or one without a letter is `und` with
 score 0; ties go to the first language in alphabetical order; without labelled
-rows every text is `und`.  Very long texts are labelled whole.
+rows every text is `und`; very long texts are labelled whole; repeated rows give
+repeated rows; an empty table gives no row; other columns, whatever their names,
+are not read by identify and kept by accept.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_batches
+from .common import bounded, by_batches
 
 UNKNOWN = "und"
 BUCKETS = 1 << 15
@@ -103,16 +105,16 @@ def trigrams(points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[
     return (h >> np.uint32(17)).astype(np.int32), first
 
 
-def train(docs: DataFrame, per_language: int = 1500, text: str = "text", lang: str = "lang", key: str = "doc_id") -> dict:
-    """Trigram and script counts of about per_language texts of each labelled language."""
-    known = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    sizes = {r[0]: r[1] for r in known.groupBy(lang).count().collect()}
+def train(docs: DataFrame, per_language: int = 1500, most_languages: int = 256, text: str = "text", lang: str = "lang", key: str = "doc_id") -> dict:
+    """Trigram and script counts of about per_language texts of each labelled language, for the most_languages most frequent labels."""
+    known = docs.select(F.col(key).alias("key_"), F.col(text).alias("text_"), F.col(lang).alias("lang_")).filter("lang_ is not null and text_ is not null")
+    sizes = {r[0]: r[1] for r in known.groupBy("lang_").agg(F.count("*").alias("n_")).orderBy(F.desc("n_"), "lang_").limit(most_languages).collect()}
     empty = {"languages": [], "score": np.zeros((BUCKETS, 0), np.float32), "script": np.zeros((len(NAMES), 0), bool)}
     if not sizes:
         return empty
     names = sorted(sizes)
-    share = F.coalesce(*[F.when(F.col(lang) == n, F.lit(min(1.0, per_language / sizes[n]))) for n in names])
-    unit = F.pmod(F.xxhash64(F.col(key)), F.lit(1 << 30)) / float(1 << 30)
+    share = F.coalesce(*[F.when(F.col("lang_") == n, F.lit(min(1.0, per_language / sizes[n]))) for n in names])
+    unit = F.pmod(F.xxhash64("key_", "text_"), F.lit(1 << 30)) / float(1 << 30)
     number = {n: i for i, n in enumerate(names)}
 
     def count(batches):
@@ -132,8 +134,8 @@ def train(docs: DataFrame, per_language: int = 1500, text: str = "text", lang: s
             found, n = np.unique(both, return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(n.astype(np.int64))], names=["cell", "n"])
 
-    rows = known.filter(unit < share).select(F.col(text).alias("text"), F.col(lang).alias("lang"))
-    cells = rows.mapInArrow(count, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    rows = known.filter(unit < share).select(F.col("text_").alias("text"), F.col("lang_").alias("lang"))
+    cells = bounded(rows).mapInArrow(count, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
     width = BUCKETS + len(NAMES)
     flat = np.zeros(len(names) * width)
     if cells.num_rows:
