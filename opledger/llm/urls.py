@@ -3,26 +3,27 @@
 The trees (numpy, logistic loss, histogram splits) learn from labelled URLs; a
 URL is labelled where a rule fits it.  Features are the lengths, depth, digit
 ratio, entropy and parameter counts of the URL and smoothed block rates of its
-host suffixes and first path part, counted over all labelled URLs and joined.
+host suffixes and first path part, counted over all labelled URLs.  While the
+trees are fitted, the rates of a URL leave out the fold of its host.
 
 The trees are fitted on at most `most_rows` labelled URLs, those with the
 smallest hash; counts, rules and predictions cover every row.
 
 Edge cases: a null URL or one without `://` has an empty host and path and goes
 to the trees; without labelled URLs, or with labels of one kind only, every
-other URL gets that one kind, or `allow`.  Repeated rows give repeated rows.
+other URL gets that one kind, or `allow`; of equally good splits the first is
+taken, and a score at the threshold blocks; repeated rows give repeated rows;
+very long URLs are used whole; an empty table gives no row; columns other than
+key and URL are not read, whatever their names.
 """
 
 from __future__ import annotations
 
-import math
-from collections import Counter
-
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_batches, kept
+from .common import by_batches, discard, kept
 
 #: (verdict, rule): a rule is a host and the start of a path.
 RULES = (
@@ -33,6 +34,7 @@ RULES = (
     ("block", "org/es/"),
 )
 NUMERIC = 14
+FOLDS = 5
 
 
 def with_parts(df: DataFrame, url: str = "url") -> DataFrame:
@@ -60,36 +62,69 @@ def rate_keys() -> list[Column]:
     return [last, F.substring_index("host", ".", -2), first, F.concat(last, F.lit("/"), first)]
 
 
-def with_rates(ruled: DataFrame) -> tuple[DataFrame, int, int]:
-    """Adds rates (an array of smoothed block rates, by rate_keys); the number of labelled URLs and of blocked ones."""
-    keys = rate_keys()
-    each = F.explode(F.array(*[F.struct(F.lit(i).alias("kind"), k.alias("k")) for i, k in enumerate(keys)])).alias("by")
-    labelled = ruled.filter("fit is not null").select(each, (F.col("fit.verdict") == "block").cast("bigint").alias("block"))
-    counts = kept(labelled.groupBy("by.kind", "by.k").agg(F.count("*").alias("seen"), F.sum("block").alias("bad")), "rates")
+def fold() -> Column:
+    """The fold of a URL, by its host, so that the pages of one host are held out together."""
+    return F.pmod(F.xxhash64("host"), F.lit(FOLDS)).cast("int")
+
+
+def _by_key() -> Column:
+    return F.explode(F.array(*[F.struct(F.lit(i).alias("kind"), k.alias("k")) for i, k in enumerate(rate_keys())])).alias("by")
+
+
+def rate_counts(ruled: DataFrame) -> tuple[DataFrame, int, int]:
+    """kind, k, fold, seen, bad (kept) over all labelled URLs; the number of these and of the blocked ones."""
+    labelled = ruled.filter("fit is not null").select(_by_key(), fold().alias("fold"), (F.col("fit.verdict") == "block").cast("bigint").alias("block"))
+    counts = kept(labelled.groupBy("by.kind", "by.k", "fold").agg(F.count("*").alias("seen"), F.sum("block").alias("bad")), "rates")
     n, bad = counts.filter("kind = 0").agg(F.coalesce(F.sum("seen"), F.lit(0)), F.coalesce(F.sum("bad"), F.lit(0))).first()
-    prior = bad / n if n else 0.0
-    out = ruled.withColumns({f"k{i}": k for i, k in enumerate(keys)})
-    for i in range(len(keys)):
-        rate = (F.col("bad") + 5 * prior) / (F.col("seen") + 5)
-        out = out.join(counts.filter(f"kind = {i}").select(F.col("k").alias(f"k{i}"), rate.alias(f"r{i}")), f"k{i}", "left")
-    names = [f"r{i}" for i in range(len(keys))]
-    return out.withColumn("rates", F.array(*[F.coalesce(r, F.lit(prior)) for r in names])).drop(*names, *[f"k{i}" for i in range(len(keys))]), n, bad
+    return counts, n, bad
 
 
-def features(url: str | None, host: str, path: str, rates: list[float]) -> list[float]:
-    """Lexical features of one URL, then its block rates."""
-    url = url or ""
-    query = url.partition("?")[2].partition("#")[0]
-    counts = Counter(url)
-    n = len(url) or 1
-    entropy = -sum(c / n * math.log2(c / n) for c in counts.values())
-    digits = sum(c.isdigit() for c in url)
-    parts = [p for p in path.split("/") if p]
-    return [
-        len(url), len(host), len(path), len(parts), digits / n, entropy, len([p for p in query.split("&") if p]), len(query),
-        host.count("."), url.count("-") + url.count("_"), float(url.startswith("https")), len(parts[-1]) if parts else 0,
-        float("." in (parts[-1] if parts else "")), float(path.endswith("/")), *rates,
-    ]
+def _rate(prior: float) -> Column:
+    return (F.coalesce("bad", F.lit(0)) + 5 * prior) / (F.coalesce("seen", F.lit(0)) + 5)
+
+
+def with_rates(rows: DataFrame, counts: DataFrame, prior: float) -> DataFrame:
+    """Adds rates: smoothed block rates by rate_keys, of all labelled URLs."""
+    keys, total = rate_keys(), counts.groupBy("kind", "k").agg(F.sum("seen").alias("seen"), F.sum("bad").alias("bad"))
+    out = rows.withColumns({f"k{i}": k for i, k in enumerate(keys)})
+    for i in range(len(keys)):
+        out = out.join(total.filter(f"kind = {i}").select(F.col("k").alias(f"k{i}"), _rate(prior).alias(f"r{i}")), f"k{i}", "left")
+    names = [f"r{i}" for i in range(len(keys))]
+    return out.withColumn("rates", F.array(*[F.coalesce(r, F.lit(prior)) for r in names])).drop(*names, *[f"k{i}" for i in range(len(keys))])
+
+
+def with_rates_of_others(sample: DataFrame, counts: DataFrame, prior: float) -> DataFrame:
+    """Adds rates that leave out the URL's own fold, so that no label is among its own features (columns url, host, path)."""
+    each = sample.select("url", "host", "path").distinct().select("url", fold().alias("own"), _by_key()).select("url", "own", "by.kind", "by.k")
+    met = each.join(counts, ["kind", "k"], "left")
+    other = F.col("fold") != F.col("own")
+    sums = met.groupBy("url", "kind").agg(F.sum(F.when(other, F.col("seen"))).alias("seen"), F.sum(F.when(other, F.col("bad"))).alias("bad"))
+    rates = sums.groupBy("url").agg(F.array_sort(F.collect_list(F.struct("kind", _rate(prior).alias("rate")))).alias("r"))
+    return sample.join(rates.select("url", F.col("r.rate").alias("rates")), "url")
+
+
+def features(urls: list[str | None], hosts: list[str], paths: list[str], rates: list[list[float]]) -> np.ndarray:
+    """Lexical features of URLs, then their block rates; one row each."""
+    urls = [u or "" for u in urls]
+    n, out = len(urls), np.zeros((len(urls), NUMERIC))
+    size = np.array([len(u) for u in urls], np.int64)
+    points = np.frombuffer("".join(urls).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    owner = np.repeat(np.arange(n), size)
+    held = np.maximum(size, 1)
+    cell, count = np.unique(owner << 21 | points, return_counts=True)
+    share = count / held[cell >> 21]
+    queries = [u.partition("?")[2].partition("#")[0] for u in urls]
+    lasts = [p.rstrip("/").rpartition("/")[2] for p in paths]
+    of = lambda values: np.fromiter(values, float, n)
+    for j, column in enumerate((
+        size, of(len(h) for h in hosts), of(len(p) for p in paths), of(sum(x != "" for x in p.split("/")) for p in paths),
+        np.bincount(owner, (points >= 48) & (points <= 57), n) / held, -np.bincount(cell >> 21, share * np.log2(share), n),
+        of(sum(x != "" for x in q.split("&")) for q in queries), of(len(q) for q in queries), of(h.count(".") for h in hosts),
+        np.bincount(owner, (points == 45) | (points == 95), n), of(u.startswith("https") for u in urls), of(len(x) for x in lasts),
+        of("." in x for x in lasts), of(p.endswith("/") for p in paths),
+    )):
+        out[:, j] = column
+    return np.concatenate([out, np.array(rates, float).reshape(n, -1)], 1)
 
 
 class Trees:
@@ -170,9 +205,18 @@ def fit(sample: list[tuple], n: int, bad: int) -> dict:
     prior = bad / n if n else 0.0
     if bad in (0, n):
         return {"trees": None, "prior": prior}
-    y = np.array([v == "block" for *_, v in sample], float)
-    x = np.array([features(*r) for *r, _ in sample], float)
-    return {"trees": Trees().fit(x, y), "prior": prior}
+    *columns, verdicts = zip(*sample)
+    return {"trees": Trees().fit(features(*map(list, columns)), np.array([v == "block" for v in verdicts], float)), "prior": prior}
+
+
+def learn(ruled: DataFrame, most_rows: int = 20_000) -> tuple[dict, DataFrame]:
+    """The model and the counts of block rates, from rows with url, host, path and fit."""
+    counts, n, bad = rate_counts(ruled)
+    order = F.xxhash64("url")
+    sample = kept(ruled.filter("fit is not null").select("url", "host", "path", F.col("fit.verdict").alias("verdict")).orderBy(order, "url").limit(most_rows), "sample")
+    rows = with_rates_of_others(sample, counts, bad / n if n else 0.0).orderBy(order, "url").collect()
+    discard(sample)
+    return fit([(r.url, r.host, r.path, r.rates, r.verdict) for r in rows], n, bad), counts
 
 
 def judge(pages: DataFrame, rules=RULES, most_rows: int = 20_000, threshold: float = 0.5, url: str = "url", key: str = "page_id") -> DataFrame:
@@ -180,24 +224,20 @@ def judge(pages: DataFrame, rules=RULES, most_rows: int = 20_000, threshold: flo
 
     most_rows bounds the labelled URLs that the trees are fitted on.
     """
-    ruled, n, bad = with_rates(with_parts(pages.select(key, F.col(url).alias("url"))).withColumn("fit", rule_of(rules)))
-    known = ruled.filter("fit is not null").select("url", "host", "path", "rates", F.col("fit.verdict").alias("verdict"), F.xxhash64("url", key).alias("o"))
-    sample = known.orderBy("o", "url").limit(most_rows).collect()
-    model = pages.sparkSession.sparkContext.broadcast(fit([(r.url, r.host, r.path, r.rates, r.verdict) for r in sample], n, bad))
+    ruled = with_parts(pages.select(F.col(key).alias("key_"), F.col(url).cast("string").alias("url"))).withColumn("fit", rule_of(rules))
+    made, counts = learn(ruled, most_rows)
+    model = pages.sparkSession.sparkContext.broadcast(made)
+    kind = dict(pages.dtypes)[key]
 
     def work(batch):
         m = model.value
-        cols = [batch.column(c).to_pylist() for c in ("url", "host", "path", "rule", "verdict")]
-        score: list[float | None] = [None if v else m["prior"] for v in cols[4]]
-        open_rows = [i for i, v in enumerate(cols[4]) if v is None]
-        if m["trees"] is not None and open_rows:
-            rates = batch.column("rates").to_pylist()
-            x = np.array([features(cols[0][i], cols[1][i], cols[2][i], rates[i]) for i in open_rows], float)
-            for i, p in zip(open_rows, m["trees"].probability(x).tolist()):
-                score[i] = p
-        verdict = [v or ("block" if s >= threshold and (m["trees"] is not None or s > 0) else "allow") for v, s in zip(cols[4], score)]
-        return {key: batch.column(key), "host": cols[1], "path": cols[2], "rule": cols[3], "verdict": verdict, "block_score": score}
-
-    kind = dict(pages.dtypes)[key]
-    rows = ruled.select(key, "url", "host", "path", "rates", "fit.rule", "fit.verdict")
-    return by_batches(rows, work, f"{key} {kind}, host string, path string, rule string, verdict string, block_score double", "url")
+        urls, hosts, paths, rates = (batch.column(c).to_pylist() for c in ("url", "host", "path", "rates"))
+        score = m["trees"].probability(features(urls, hosts, paths, rates)).tolist() if m["trees"] is not None else [m["prior"]] * len(urls)
+        block = [s >= threshold and (m["trees"] is not None or s > 0) for s in score]
+        return {"key_": batch.column("key_"), "host": hosts, "path": paths, "verdict": ["block" if b else "allow" for b in block], "block_score": score}
+
+    open_ = with_rates(ruled.filter("fit is null").select("key_", "url", "host", "path"), counts, made["prior"])
+    judged = by_batches(open_, work, f"key_ {kind}, host string, path string, verdict string, block_score double", "url")
+    sure = ruled.filter("fit is not null").select("key_", "host", "path", F.col("fit.rule").alias("rule"), F.col("fit.verdict").alias("verdict"), F.lit(None).cast("double").alias("block_score"))
+    both = sure.unionByName(judged.withColumn("rule", F.lit(None).cast("string")))
+    return both.select(F.col("key_").alias(key), "host", "path", "rule", "verdict", "block_score")
