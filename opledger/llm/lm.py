@@ -10,13 +10,16 @@ from the subword's smoothed share of all training texts.  Classes are runs of
 subwords by falling count and grow in size, so that frequent ones are cheap.
 Long texts are scored in overlapping windows: every subword once, with at least
 `OVERLAP` subwords of context where there are any.  Network weights start from a
-fit on about `sample` training texts chosen by a hash; then every window of every
-training text is learnt from once, in at most `SHARDS` shards on the executors,
-whose weights are averaged by their numbers of windows.
+fit on about `sample` training texts chosen by a hash of id and text; then every
+window of every training text is learnt from once, in shards of about
+`SHARD_BYTES` of ids on the executors, whose weights are averaged by their
+numbers of windows.  Neither depends on how rows are partitioned.
 
 Edge cases: a null or empty text is the end token alone; without training texts
 all counts are 0 and the network is left at its first state; repeated rows are
-scored each; very long texts are scored whole.
+scored each; tokens of equal count are ranked by id; very long texts are scored
+whole; an empty table gives no row; columns other than doc_id and text are not
+read, but for those of the held-out condition.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_batches, kept, slices, words_of
+from .common import BATCH_BYTES, bounded, by_batches, discard, kept, slices, words_of
 from .subwords import encoder, vocabulary_path
 
 WINDOW = 32
@@ -35,7 +38,9 @@ CLASSES = 32
 #: Each class of subwords is larger than the one before by this factor.
 GROWTH = 1.22
 BATCH = 128
-SHARDS = 48
+#: Bytes of ids that one shard learns from, and networks that are averaged at once.
+SHARD_BYTES = 8 << 20
+MEANS = 64
 ROWS = 2048
 IDS = 1 << 16
 #: The end token of the count model, as a number beside the hashes of words.
@@ -275,7 +280,7 @@ def _count_words(rows: DataFrame) -> DataFrame:
             for at in range(0, len(found), 100_000):
                 yield batch_of(found[at:at + 100_000], n[at:at + 100_000])
 
-    return rows.mapInArrow(run, "token bigint, n bigint").groupBy("token").agg(F.sum("n").alias("n"))
+    return bounded(rows).mapInArrow(run, "token bigint, n bigint").groupBy("token").agg(F.sum("n").alias("n"))
 
 
 def _count_ids(rows: DataFrame) -> np.ndarray:
@@ -333,8 +338,33 @@ def fit_shard(net: Attention, batches, place: np.ndarray, classes: np.ndarray, e
     return seen
 
 
-def fit_all(rows: DataFrame, net: Attention, place: np.ndarray, classes: np.ndarray, end_id: int, shards: int = SHARDS) -> tuple[Attention, int]:
-    """The network after a pass over all texts (column ids), and the windows learnt from: weights of shards, averaged by their windows."""
+def _texts_of_shards(batches, most: int = BATCH_BYTES):
+    """(shard, its texts in lists of about `most` bytes) from batches sorted by shard; lists do not depend on how rows are batched."""
+    shard, texts, size, lists = None, [], 0, []
+    for batch in batches:
+        for s, ids in zip(batch.column("shard").to_pylist(), batch.column("ids").to_pylist()):
+            if s != shard:
+                if texts:
+                    lists.append(texts)
+                if lists:
+                    yield shard, lists
+                shard, texts, size, lists = s, [], 0, []
+            texts.append(ids)
+            size += len(ids)
+            if size >= most:
+                lists.append(texts)
+                texts, size = [], 0
+    if texts:
+        lists.append(texts)
+    if lists:
+        yield shard, lists
+
+
+def fit_all(rows: DataFrame, net: Attention, place: np.ndarray, classes: np.ndarray, end_id: int, shards: int) -> tuple[Attention, int]:
+    """The network after a pass over all texts (columns key, ids), and the windows learnt from: weights of shards, averaged by their windows.
+
+    Texts go to shards and stand in them by their keys, so the result does not depend on how rows are partitioned.
+    """
     shared = rows.sparkSession.sparkContext.broadcast((net, place, classes, end_id))
     names = sorted(net.w)
 
@@ -344,34 +374,44 @@ def fit_all(rows: DataFrame, net: Attention, place: np.ndarray, classes: np.ndar
         import pyarrow as pa
 
         first, place, classes, end_id = shared.value
-        own = copy.deepcopy(first)
-        n = fit_shard(own, (b.column("ids").to_pylist() for b in slices(batches, "ids")), place, classes, end_id)
-        if n:
-            yield pa.RecordBatch.from_arrays([pa.array(names), pa.array([n] * len(names)), pa.array([own.w[k].tobytes() for k in names], pa.binary())], names=["name", "n", "w"])
+        for shard, lists in _texts_of_shards(batches):
+            own = copy.deepcopy(first)
+            n = fit_shard(own, lists, place, classes, end_id)
+            yield pa.RecordBatch.from_arrays([pa.array([shard] * len(names), pa.int64()), pa.array(names), pa.array([n] * len(names), pa.int64()), pa.array([own.w[k].tobytes() for k in names], pa.binary())], names=["shard", "name", "n", "w"])
 
     def mean(table):
         import pyarrow as pa
 
-        n = table.column("n").to_numpy()
-        total = sum(np.frombuffer(w, np.float32) * (float(k) / n.sum()) for w, k in zip(table.column("w").to_pylist(), n))
-        return pa.table({"name": [table.column("name")[0].as_py()], "n": [int(n.sum())], "w": pa.array([total.astype(np.float32).tobytes()], pa.binary())})
-
-    schema, seen = "name string, n bigint, w binary", 0
-    for r in rows.coalesce(shards).mapInArrow(run, schema).groupBy("name").applyInArrow(mean, schema).collect():
+        order = np.argsort(table.column("shard").to_numpy(), kind="stable")
+        n, w = table.column("n").to_numpy()[order], table.column("w").to_pylist()
+        total = sum(np.frombuffer(w[i], np.float32) * (float(k) / n.sum()) for i, k in zip(order.tolist(), n))
+        return pa.table({"shard": pa.array([int(table.column("shard")[0].as_py()) // MEANS], pa.int64()), "name": [table.column("name")[0].as_py()], "n": pa.array([int(n.sum())], pa.int64()), "w": pa.array([total.astype(np.float32).tobytes()], pa.binary())})
+
+    schema, seen, left = "shard bigint, name string, n bigint, w binary", 0, shards
+    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards))).repartition(shards, "shard").sortWithinPartitions("shard", "key", "ids")
+    found = kept(bounded(dealt.select("shard", "ids")).mapInArrow(run, schema), "weights")
+    while True:  # so many networks at once meet in a task
+        met = found.groupBy("name", F.floor(F.col("shard") / MEANS).alias("m")).applyInArrow(mean, schema)
+        left = -(-left // MEANS)
+        if left == 1:
+            break
+        found = kept(met, "weights")
+    for r in met.collect():  # one network
         net.w[r.name] = np.frombuffer(r.w, np.float32).reshape(net.w[r.name].shape).copy()
         seen = r.n
+    discard(found)
     return net, seen
 
 
 def score(docs: DataFrame, held_out: Column, path: str | None = None, sample: int = 1500, hot: int = 500_000) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row (columns doc_id, text)."""
     path, spark = path or vocabulary_path(), docs.sparkSession
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("bigint").alias("doc_id"), held_out.alias("held_out"), F.col("text").cast("string").alias("text"))
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("bigint").alias("doc_id"), held_out.alias("held_out"), F.xxhash64(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).alias("key"), F.col("text").cast("string").alias("text"))
 
     def encode(batch):
-        return {c: batch.column(c) for c in ("row", "doc_id", "held_out", "text")} | {"ids": encoder(path).encode(batch.column("text").to_pylist())}
+        return {c: batch.column(c) for c in ("row", "doc_id", "held_out", "key", "text")} | {"ids": encoder(path).encode(batch.column("text").to_pylist())}
 
-    coded = kept(by_batches(rows, encode, "row bigint, doc_id bigint, held_out boolean, text string, ids binary", "text"), "coded")
+    coded = kept(by_batches(rows, encode, "row bigint, doc_id bigint, held_out boolean, key bigint, text string, ids binary", "text"), "coded")
     train = coded.filter("not held_out")
     counts = kept(_count_words(train.select("text")), "counts")
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
@@ -392,9 +432,10 @@ def score(docs: DataFrame, held_out: Column, path: str | None = None, sample: in
     id_counts[end_id] += n_docs
     place, begins, classes, share = class_table(id_counts, end_id + 1)
     part = min(1.0, sample / max(1, n_docs))
-    chosen = train.filter(F.pmod(F.xxhash64("doc_id", "row"), F.lit(1 << 30)) < int(part * (1 << 30))).select("ids").toArrow()["ids"].to_pylist()
-    net = Attention().with_subwords(begins, share, int((id_counts > 0).sum()))
-    net, _ = fit_all(train.select("ids"), fit(net, chosen, place, classes, end_id), place, classes, end_id)
+    chosen = train.filter(F.pmod(F.xxhash64("key"), F.lit(1 << 30)) < int(part * (1 << 30))).select("key", "ids").orderBy("key", "ids").toArrow()["ids"].to_pylist()
+    net = fit(Attention().with_subwords(begins, share, int((id_counts > 0).sum())), chosen, place, classes, end_id)
+    if n_docs:
+        net, _ = fit_all(train.select("key", "ids"), net, place, classes, end_id, max(1, -(-2 * int(id_counts.sum()) // SHARD_BYTES)))
     model = spark.sparkContext.broadcast({
         "token": often["token"].to_numpy().view(np.uint64)[order], "n": often["n"].to_numpy()[order],
         "net": net, "classes": classes, "place": place, "end": end_id, "log": float(np.log10(n_train + n_types + 1)),
