@@ -232,20 +232,75 @@ def test_leaks_are_found_and_clean_texts_left(spark, data, table):
     assert query == found
 
 
-def test_banded_edits_equal_plain_edits():
-    def plain(a, b):
-        rows = [0] * (len(b) + 1)
-        for i, x in enumerate(a):
-            new = [i + 1]
-            for j, y in enumerate(b):
-                new.append(min(rows[j] + (x != y), rows[j + 1] + 1, new[-1] + 1))
-            rows = new
-        return min(rows)
+def plain_edits(a, b):
+    """Fewest edits between a and any part of b."""
+    rows = [0] * (len(b) + 1)
+    for i, x in enumerate(a):
+        new = [i + 1]
+        for j, y in enumerate(b):
+            new.append(min(rows[j] + (x != y), rows[j + 1] + 1, new[-1] + 1))
+        rows = new
+    return min(rows)
+
 
+def test_banded_edits_equal_plain_edits():
     r = np.random.default_rng(9)
-    for _ in range(200):
+    for _ in range(300):  # a band as wide as everything
         a, b = r.integers(0, 3, r.integers(1, 9)).astype(np.uint32), r.integers(0, 3, r.integers(1, 14)).astype(np.uint32)
-        assert decontaminate.banded_edits(a, b, 99)[0] == plain(a.tolist(), b.tolist())
+        got, s, e = decontaminate.banded_edits(a, b, np.array([-30]), 40, np.array([0]), np.array([len(b)]))
+        assert got[0] == plain_edits(a.tolist(), b.tolist()) == plain_edits(a.tolist(), b[s[0]:e[0]].tolist())
+    for _ in range(300):  # a band that is just wide enough for a planted match
+        m, most = int(r.integers(20, 40)), int(r.integers(1, 4))
+        item = r.integers(0, 20, m).astype(np.uint32)
+        copy = item.tolist()
+        for _ in range(int(r.integers(0, most + 1))):
+            at = int(r.integers(0, len(copy)))
+            copy[at:at + int(r.integers(0, 2))] = [int(r.integers(0, 20))][:int(r.integers(0, 2))]
+        lead = r.integers(30, 40, 7).tolist()
+        text = np.array([*lead, *copy, *r.integers(30, 40, 9).tolist()], np.uint32)
+        bands = np.array([7 - 2 * most - 1, 7 - most])
+        edits, _, _ = decontaminate.banded_edits(item, text, bands, most, np.array([0, 0]), np.array([len(text)] * 2))
+        assert edits.min() == min(plain_edits(item.tolist(), text.tolist()), most + 1) or plain_edits(item.tolist(), text.tolist()) > most
+
+
+def test_near_matches_at_every_edit_count():
+    r = random.Random(21)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    for m in (13, 15, 16, 24, 25, 26, 40, 63, 100, 187, 300):
+        item = "".join(r.choice(letters) for _ in range(m))
+        items = decontaminate.Items([(1, item)])
+        allowed = min(int(decontaminate.RATE * m), m // decontaminate.Q - 1)
+        assert items.edits == [allowed]
+        for k in range(allowed + 1):
+            for _ in range(6):
+                text = list(item)
+                for at in sorted(r.sample(range(m), k), reverse=True):
+                    text[at:at + r.randrange(2)] = r.choice(["", "A", "7"])
+                body = "".join(text)
+                if plain_edits(item, body.lower()) <= allowed:
+                    found = items.search([f"Before it 1 2 3 {body} 4 5 6 and after."])[0]
+                    assert found and found[0][0] == 1 and found[0][3] <= allowed, (m, k, body)
+        far = "".join(c if i % 6 else "#" + c for i, c in enumerate(item))
+        if plain_edits(item, re.sub("#", " ", far)) > allowed:
+            assert items.search([far]) == [[]]
+
+
+def test_many_shared_grams_are_counted_in_parts(monkeypatch):
+    r = random.Random(2)
+    texts = ["".join(r.choice("ab ") for _ in range(400)) + "the passage that all of them share, word by word" for _ in range(6)]
+    rows = [(i, "the passage that all of them share, word by word" + c) for i, c in enumerate("xyz")]
+    whole = decontaminate.Items(rows).search(texts)
+    monkeypatch.setattr(decontaminate, "HITS", 7)
+    monkeypatch.setattr(decontaminate, "BANDS", 2)
+    assert decontaminate.Items(rows).search(texts) == whole and all(len(f) == 3 for f in whole)
+
+
+def test_benchmark_in_blocks_gives_the_same(spark, data):
+    docs, benchmark = spark.read.parquet(f"{data}/documents.parquet"), spark.read.parquet(f"{data}/benchmark.parquet")
+    one, many = decontaminate.load(benchmark), decontaminate.load(benchmark, most_bytes=9000)
+    assert one.blocks == 1 and many.blocks > 1
+    assert sorted(map(tuple, decontaminate.leaks(docs, one).collect())) == sorted(map(tuple, decontaminate.leaks(docs, many).collect()))
+    assert {r.doc_id for r in decontaminate.clean(docs, one).collect()} == {r.doc_id for r in decontaminate.clean(docs, many).collect()}
 
 
 # 7
@@ -368,7 +423,7 @@ def test_join_equals_brute_force(spark, table, k, num, den):
 
 
 def test_large_trees_in_parts(spark, monkeypatch):
-    """Blocks of few points: leaders and the pairs between parts still give all components."""
+    """Parts of few points: those left apart meet every part, and all components are found."""
     monkeypatch.setattr(ngrams, "BLOCK", 20)
     r = random.Random(3)
     base = [f"v{i}" for i in range(60)]

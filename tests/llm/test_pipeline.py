@@ -55,3 +55,14 @@ def test_pack_covers_every_id_once():
             for i, s, k in pieces:
                 seen[i][s:s + k] += 1
         assert all((x == 1).all() for x in seen) and padding == 0
+
+
+def test_repeated_ids_with_different_texts_lose_no_text(spark):
+    a, z = (" ".join(f"{c}{i}" for i in range(30)) for c in "az")
+    near = a + " more"
+    made = [(4, a, "en"), (4, z, "en"), (5, a, "en"), (5, near, "en"), (6, z, "de"), (6, z, "en"), (4, z, "aa"), (4, z, "bb"), (None, a, "en"), (None, "only here " + a[::-1], "en"), (None, None, "en"), (7, "", "en"), (7, "", "en")]
+    docs = spark.createDataFrame(made, "doc_id bigint, text string, lang string").repartition(5)
+    got = corpus_pipeline.near_duplicates(spark, docs, "").collect()
+    found = sorted(((r.doc_id, r.text, r.lang) for r in got), key=str)
+    assert found == sorted([(4, a, "en"), (4, z, "aa"), (None, "only here " + a[::-1], "en"), (None, None, "en"), (7, "", "en"), (7, "", "en")], key=str)
+    assert corpus_pipeline.near_duplicates(spark, docs.limit(0), "").count() == 0
