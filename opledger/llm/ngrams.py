@@ -11,9 +11,11 @@ One tree over all points would not scale: points of unrelated texts of like
 length crowd together.  So trees stand in cells that every linked pair shares.
 Sizes are cut into overlapping windows.  In a window the shingles of a set fall
 into as many groups as linked sets can differ in, an eighth more, and three; a
-cell is a group with its content.  A set of a given size differs from a linked
-one in at most `most` shingles, so they share at least groups - most - empty
-groups cells: what the set `needs`.  A set with fewer
+cell is a group with its content.  A set that can differ from a linked one in d
+shingles has its first d + n cells that are not empty, n being that eighth and
+three.  Of two linked sets take the one whose cells end at the lower group: at
+most d of these differ, so the two share n cells or more: what they `need`.  (A
+set with fewer groups that are not empty needs as many less.)  A set with fewer
 cells in company than it needs links with nothing.  Any other leaves out its
 most crowded cells, needs - 1 of them: of the cells that two linked sets share,
 the rarest is in both.
@@ -127,8 +129,9 @@ def cells_of(shingles: np.ndarray, rule: Rule) -> list[tuple[int, np.ndarray]]:
         np.add.at(sums, g, content)
         names = mix(sums * np.uint64(0x9E3779B97F4A7C15) + np.uint64(number * 1_000_003) + np.arange(groups, dtype=np.uint64))
         names = names & np.uint64(2**64 - WINDOWS) | np.uint64(number % WINDOWS)
-        needs = groups - rule.differ(len(shingles), hi) - int((counts == 0).sum())
-        out.append((needs, names[counts > 0]) if needs > 0 else (1, names))
+        full, differ = np.flatnonzero(counts), rule.differ(len(shingles), hi)
+        own = full[:differ + EXTRA + most // 8]
+        out.append((len(own) - differ, names[own]) if len(own) > differ else (1, names))
     return out
 
 
