@@ -52,10 +52,10 @@ def valid_operation(columns: set[str] | None = None) -> Column:
 
 
 def checked(log: DataFrame) -> DataFrame:
-    """The log; reading a row that is not well formed raises an error that names it."""
+    """The log; reading the kind of a row that is not well formed raises an error that names it."""
     place = F.concat_ws("/", "history_id", "patch_seq", "op_seq")
-    known = set(log.columns)
-    return log.filter(F.when(valid_operation(known), True).otherwise(F.raise_error(F.concat(F.lit("bad operation at "), place)).cast("boolean")))
+    bad = F.raise_error(F.concat(F.lit("bad operation at "), place)).cast("string")
+    return log.withColumn("op", F.when(valid_operation(set(log.columns)), F.col("op")).otherwise(bad))
 
 
 def path_key(path: Column) -> Column:

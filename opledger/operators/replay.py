@@ -53,6 +53,17 @@ def assigned_rows(base: DataFrame, position: str, log: DataFrame, index: str, pl
     return joined.select(*[F.when(F.col("index_").isNotNull(), F.col(f"new_{c}")).otherwise(F.col(c)).alias(c) if c in fields else F.col(c) for c in base.columns])
 
 
+def merged_objects(log: DataFrame, owner: list[str], text: str, place: list[str]) -> DataFrame:
+    """owner, object (JSON text, keys sorted): assigned objects of any keys merged, the last write of every (owner, key)."""
+    each = log.select(*owner, *place, F.explode(F.from_json(text, "map<string,variant>")).alias("key_", "value_"))
+    last = last_writes(each.withColumn("value_", F.to_json("value_")), [*owner, "key_"], place, ["value_"])
+    pairs = F.array_sort(F.collect_list(F.struct("key_", "value_")))
+    parts = F.transform(pairs, lambda p: F.concat(F.to_json(F.array(p["key_"])), F.lit(":"), p["value_"]))
+    # the key stands in a one-element array text: its brackets go
+    parts = F.transform(parts, lambda x: F.regexp_replace(x, r'^\[("(?:[^"\\]|\\.)*")\]', "$1"))
+    return last.groupBy(*owner).agg(F.concat(F.lit("{"), F.array_join(parts, ","), F.lit("}")).alias(text))
+
+
 def outside(base: DataFrame, position: str, log: DataFrame, index: str) -> DataFrame:
     """Operations whose row does not exist."""
     return log.join(base.select(F.col(position).alias(index)), index, "left_anti")

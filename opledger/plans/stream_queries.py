@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -13,7 +14,11 @@ from .registry import query, table
 
 
 def _folder(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="stream-")
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and re.match(r"local(\[|$)", spark.sparkContext.master):
+        base = tempfile.mkdtemp(prefix="stream-")
+    if not base:
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return f"{base}/stream-{uuid.uuid4().hex}"
 
 
