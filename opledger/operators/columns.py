@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from ..functions import encodings as enc
 
+#: A run of fewer consecutive indexes is no chunk of its own.
+LEAST_RUN = 4
 INTEGERS = ("tinyint", "smallint", "int", "bigint")
 
 
@@ -57,15 +59,55 @@ def elias_fano(df: DataFrame, key: str, index: str) -> DataFrame:
     return rows.select(key, index, (v % unit).alias("low_part"), (F.floor(v / unit) + F.col("pos")).alias("high_bit"))
 
 
-def index_choice(deltas: DataFrame, key: str, index: str, delta: str) -> DataFrame:
-    """key, n, delta_bytes, elias_fano_bytes and the encoding that a list gets."""
+def chunks(lists: DataFrame, key: str, index: str) -> DataFrame:
+    """key, first_id, length, run, bytes: increasing lists cut to runs of four or more consecutive indexes and what lies between them."""
+    by = W.partitionBy(key)
+    rows = lists.select(key, index, F.lag(index).over(by.orderBy(index)).alias("before"), (F.col(index) - F.row_number().over(by.orderBy(index))).alias("island"))
+    island = W.partitionBy(key, "island")
+    sized = rows.select(key, index, "before", F.count("*").over(island).alias("held"), F.min(index).over(island).alias("a"))
+    begins = ((F.col("held") >= LEAST_RUN) & (F.col(index) == F.col("a"))).cast("bigint")
+    placed = sized.withColumn("longs", F.sum(begins).over(by.orderBy(index))).withColumn("run", F.col("held") >= LEAST_RUN)
+    placed = placed.withColumn("chunk", F.when(F.col("run"), F.col("a")).otherwise(-1 - F.col("longs")))
+    whole = placed.withColumn("first_id", F.min(index).over(W.partitionBy(key, "chunk")))
+    steps = F.sum(F.when(~F.col("run") & (F.col(index) > F.col("first_id")), enc.varint_length(F.col(index) - F.col("before"))).otherwise(0))
+    found = whole.groupBy(key, "chunk", "first_id", "run").agg(F.count("*").alias("length"), steps.alias("steps"))
+    return found.select(key, "first_id", "length", "run", (1 + enc.varint_length(F.col("length")) + enc.varint_length(F.col("first_id")) + F.col("steps")).alias("bytes"))
+
+
+def index_choice(lists: DataFrame, key: str, index: str) -> DataFrame:
+    """key, n, the bytes of three encodings (tag and length included; null where one does not apply) and the encoding that an increasing list gets."""
     n, lo, hi = F.col("n"), F.col("a"), F.col("b")
-    sizes = deltas.groupBy(key).agg(F.count("*").alias("n"), F.min(index).alias("a"), F.max(index).alias("b"), F.sum(enc.varint_length(F.col(delta))).alias("delta_bytes"))
-    sized = sizes.withColumn("elias_fano_bytes", enc.elias_fano_bytes(n, lo, hi))
-    saves = F.col("delta_bytes") - F.col("elias_fano_bytes") > 16
+    step = F.col(index) - F.lag(index).over(W.partitionBy(key).orderBy(index))
+    sizes = lists.select(key, index, step.alias("step")).groupBy(key).agg(
+        F.count("*").alias("n"), F.min(index).alias("a"), F.max(index).alias("b"), F.min("step").alias("least"), F.max("step").alias("most"),
+        F.sum(enc.varint_length(F.coalesce("step", index))).alias("deltas"),
+    )
+    cut = chunks(lists, key, index).groupBy(key).agg(F.count("*").alias("pieces"), F.sum("bytes").alias("pieces_bytes"))
+    chunked = F.when((n >= 8) & (F.col("pieces") > 1), 1 + enc.varint_length(n) + enc.varint_length(F.col("pieces")) + F.col("pieces_bytes"))
+    fano = F.when((n >= 32) & (enc.elias_fano_low_bits(n, hi - lo) <= 24), 1 + enc.elias_fano_bytes(n, lo, hi))
+    sized = sizes.join(cut, key).select("*", (1 + enc.varint_length(n) + F.col("deltas")).alias("delta_bytes"), chunked.alias("chunked_bytes"), fano.alias("elias_fano_bytes"))
     choice = (
-        F.when((n > 1) & (hi - lo + 1 == n), "RUN")
-        .when((n >= 32) & saves & (enc.elias_fano_low_bits(n, hi - lo) <= 24), "ELIAS_FANO")
-        .when(n > 2, "DELTA").otherwise("RAW")
+        F.when((n > 1) & (hi - lo + 1 == n), "RUN").when((n > 2) & (F.col("least") == F.col("most")) & (F.col("least") > 1), "ARITHMETIC").when(n <= 2, "RAW")
+        .when(F.col("chunked_bytes") < F.col("delta_bytes"), "CHUNKED").when(F.col("chunked_bytes").isNull() & (F.col("elias_fano_bytes") + 16 < F.col("delta_bytes")), "ELIAS_FANO")
+        .otherwise("DELTA")
+    )
+    return sized.select(key, "n", "delta_bytes", "chunked_bytes", "elias_fano_bytes", choice.alias("encoding"))
+
+
+def history_index_form(a: Column) -> Column:
+    """The form of an index list inside a history: RUN, BITMAP, DELTA or RAW, by its order and greatest member."""
+    steps = F.zip_with(F.slice(a, 2, F.greatest(F.size(a) - 1, F.lit(0))), F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0))), lambda x, y: x - y)
+    every = lambda f: F.forall(steps, f)
+    return (
+        F.when((F.size(a) >= 4) & every(lambda s: s == 1), "RUN").when((F.size(a) >= 8) & every(lambda s: s > 0) & (F.element_at(a, -1) < 64) & (F.get(a, F.lit(0)) >= 0), "BITMAP")
+        .when((F.size(a) >= 4) & every(lambda s: s >= 0), "DELTA").otherwise("RAW")
+    )
+
+
+def uint_form(a: Column) -> Column:
+    """The form of a list of unsigned numbers: PERIODIC, ARITHMETIC, DELTA or RAW; the first that fits."""
+    steps = F.zip_with(F.slice(a, 2, F.greatest(F.size(a) - 1, F.lit(0))), F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0))), lambda x, y: x - y)
+    return (
+        F.when((F.size(a) >= 8) & enc.shortest_period(a).isNotNull(), "PERIODIC").when((F.size(a) >= 2) & (F.size(F.array_distinct(steps)) == 1) & (F.get(steps, F.lit(0)) >= 0), "ARITHMETIC")
+        .when(F.forall(steps, lambda s: s >= 0), "DELTA").otherwise("RAW")
     )
-    return sized.select(key, "n", "delta_bytes", "elias_fano_bytes", choice.alias("encoding"))

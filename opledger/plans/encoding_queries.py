@@ -41,20 +41,6 @@ def column_const(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "lineitem").groupBy("l_orderkey").agg(same("l_linestatus").alias("status_constant"), same("l_quantity").alias("quantity_constant"), F.count("*").alias("n"))
 
 
-@query("""SELECT user_id, first_value, step, bool_and(event_id = first_value + step * pos) AS arithmetic, count(*) AS n FROM (
- SELECT user_id, event_id, row_number() OVER w - 1 AS pos, first(event_id) OVER w AS first_value, coalesce(nth_value(event_id, 2) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING), 0) - first(event_id) OVER w AS step
- FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)) GROUP BY ALL""")
-def column_arithmetic(spark: SparkSession, d: str) -> DataFrame:
-    """Whether each user's ids are first + step * place."""
-    w = W.partitionBy("user_id").orderBy("event_id")
-    whole = w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    rows = table(spark, d, "events").select(
-        "user_id", "event_id", (F.row_number().over(w) - 1).alias("pos"), F.min("event_id").over(W.partitionBy("user_id")).alias("first_value"),
-        F.coalesce(F.nth_value("event_id", 2).over(whole), F.lit(0)).alias("second"),
-    ).withColumn("step", F.col("second") - F.col("first_value"))
-    return rows.groupBy("user_id", "first_value", "step").agg(F.every(F.col("event_id") == F.col("first_value") + F.col("step") * F.col("pos")).alias("arithmetic"), F.count("*").alias("n"))
-
-
 @query("""SELECT unnest([{'field': 'n_nationkey', 'mode': CASE WHEN min(n_nationkey) = max(n_nationkey) THEN 'CONST' ELSE 'INT' END},
  {'field': 'n_name', 'mode': CASE WHEN min(n_name) = max(n_name) THEN 'CONST' ELSE 'STRING' END}, {'field': 'n_regionkey', 'mode': CASE WHEN min(n_regionkey) = max(n_regionkey) THEN 'CONST' ELSE 'INT' END}], recursive := true) FROM nation""")
 def column_profile(spark: SparkSession, d: str) -> DataFrame:
@@ -69,6 +55,22 @@ def value_at(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").groupBy("user_id", "event_type").agg(F.max("event_id").alias("last_id"), at)
 
 
+#: Index lists made of each user's events: scattered, consecutive, in steps, in runs with gaps, or the shortest ones.
+_LISTS = """(SELECT user_id, CASE user_id % 5 WHEN 0 THEN event_id WHEN 1 THEN first_id + place WHEN 2 THEN first_id + 3 * place WHEN 3 THEN first_id + place + 100 * (place // 5) ELSE event_id END AS idx
+FROM (SELECT user_id, event_id, row_number() OVER w - 1 AS place, min(event_id) OVER w AS first_id FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)) WHERE user_id % 5 < 4 OR place < 2 + user_id % 3)"""
+
+
+def _lists(spark: SparkSession, d: str) -> DataFrame:
+    w, u, place = W.partitionBy("user_id").orderBy("event_id"), F.col("user_id") % 5, F.col("place")
+    rows = table(spark, d, "events").select("user_id", "event_id", (F.row_number().over(w) - 1).cast("bigint").alias("place"), F.min("event_id").over(w).alias("first_id"))
+    idx = F.when(u == 1, F.col("first_id") + place).when(u == 2, F.col("first_id") + 3 * place).when(u == 3, F.col("first_id") + place + 100 * F.floor(place / 5)).otherwise(F.col("event_id"))
+    return rows.filter((u < 4) | (place < 2 + F.col("user_id") % 3)).select("user_id", idx.cast("bigint").alias("idx"))
+
+
+def _vl(x: str) -> str:
+    return f"greatest(1, ceil(length(ltrim(bin({x}), '0')) / 7.0))::BIGINT"
+
+
 _DELTA = "SELECT user_id, event_id, event_id - lag(event_id, 1, 0) OVER (PARTITION BY user_id ORDER BY event_id) AS delta FROM events"
 
 
@@ -77,6 +79,20 @@ def _deltas(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select("user_id", "event_id", (F.col("event_id") - F.lag("event_id", 1, 0).over(w)).alias("delta"))
 
 
+@query(f"""SELECT user_id, first_value, step, bool_and(idx = first_value + step * pos) AS arithmetic, count(*) AS n FROM (
+ SELECT user_id, idx, row_number() OVER w - 1 AS pos, first(idx) OVER w AS first_value, coalesce(nth_value(idx, 2) OVER (PARTITION BY user_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING), 0) - first(idx) OVER w AS step
+ FROM {_LISTS} WINDOW w AS (PARTITION BY user_id ORDER BY idx)) GROUP BY ALL""")
+def column_arithmetic(spark: SparkSession, d: str) -> DataFrame:
+    """Whether each user's numbers are first + step * place."""
+    w = W.partitionBy("user_id").orderBy("idx")
+    whole = w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    rows = _lists(spark, d).select(
+        "user_id", "idx", (F.row_number().over(w) - 1).alias("pos"), F.min("idx").over(W.partitionBy("user_id")).alias("first_value"),
+        F.coalesce(F.nth_value("idx", 2).over(whole), F.lit(0)).alias("second"),
+    ).withColumn("step", F.col("second") - F.col("first_value"))
+    return rows.groupBy("user_id", "first_value", "step").agg(F.every(F.col("idx") == F.col("first_value") + F.col("step") * F.col("pos")).alias("arithmetic"), F.count("*").alias("n"))
+
+
 @query(_DELTA)
 def value_delta(spark: SparkSession, d: str) -> DataFrame:
     return _deltas(spark, d)
@@ -165,20 +181,16 @@ def numeric_suffix_rejects(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "customer").agg(F.count(F.when(enc.numeric_suffix(F.col("c_name"))[0] != "", 1)).alias("factored"), F.count("*").alias("n"))
 
 
-_LIST = "SELECT user_id, count(*) AS n, min(event_id) AS first_id, max(event_id) AS last_id"
-
-
-@query(f"{_LIST}, max(event_id) - min(event_id) + 1 = count(*) AND count(*) > 1 AS run FROM events GROUP BY 1")
+@query(f"SELECT user_id, count(*) AS n, min(idx) AS first_id, max(idx) AS last_id, max(idx) - min(idx) + 1 = count(*) AND count(*) > 1 AS run FROM {_LISTS} GROUP BY 1")
 def index_run(spark: SparkSession, d: str) -> DataFrame:
-    n, lo, hi = F.count("*"), F.min("event_id"), F.max("event_id")
-    return table(spark, d, "events").groupBy("user_id").agg(n.alias("n"), lo.alias("first_id"), hi.alias("last_id"), ((hi - lo + 1 == n) & (n > 1)).alias("run"))
+    n, lo, hi = F.count("*"), F.min("idx"), F.max("idx")
+    return _lists(spark, d).groupBy("user_id").agg(n.alias("n"), lo.alias("first_id"), hi.alias("last_id"), ((hi - lo + 1 == n) & (n > 1)).alias("run"))
 
 
-@query(f"SELECT user_id, count(*) > 2 AND count(DISTINCT delta) FILTER (event_id > first_id) = 1 AS arithmetic FROM (SELECT *, min(event_id) OVER (PARTITION BY user_id) AS first_id FROM ({_DELTA})) GROUP BY 1")
+@query(f"SELECT user_id, count(*) > 2 AND count(DISTINCT step) = 1 AND min(step) > 1 AS arithmetic FROM (SELECT user_id, idx - lag(idx) OVER (PARTITION BY user_id ORDER BY idx) AS step FROM {_LISTS}) GROUP BY 1")
 def index_arith(spark: SparkSession, d: str) -> DataFrame:
-    rows = _deltas(spark, d).withColumn("first_id", F.min("event_id").over(W.partitionBy("user_id")))
-    steps = F.count_distinct(F.when(F.col("event_id") > F.col("first_id"), F.col("delta")))
-    return rows.groupBy("user_id").agg(((F.count("*") > 2) & (steps == 1)).alias("arithmetic"))
+    step = F.col("idx") - F.lag("idx").over(W.partitionBy("user_id").orderBy("idx"))
+    return _lists(spark, d).select("user_id", step.alias("step")).groupBy("user_id").agg(((F.count("*") > 2) & (F.min("step") == F.max("step")) & (F.min("step") > 1)).alias("arithmetic"))
 
 
 @query("""SELECT user_id, sum(greatest(1, ceil(length(ltrim(bin(delta), '0')) / 7.0)))::BIGINT AS delta_bytes FROM (%s) GROUP BY 1""" % _DELTA)
@@ -196,11 +208,17 @@ def index_islands(spark: SparkSession, d: str) -> DataFrame:
     return columns.runs(table(spark, d, "events"), "user_id", "event_id")
 
 
-@query(f"""SELECT user_id, count(*) FILTER (length >= 4) AS runs, coalesce(sum(length) FILTER (length >= 4), 0)::BIGINT AS in_runs, sum(length)::BIGINT AS n FROM (SELECT user_id, min(event_id) AS first_id, count(*) AS length FROM ({_ISLANDS}) GROUP BY user_id, island) GROUP BY 1""")
+_CHUNKS = f"""i AS (SELECT user_id, idx, lag(idx) OVER w AS prev, idx - row_number() OVER w AS island FROM {_LISTS} WINDOW w AS (PARTITION BY user_id ORDER BY idx)),
+l AS (SELECT *, count(*) OVER (PARTITION BY user_id, island) AS held, min(idx) OVER (PARTITION BY user_id, island) AS a FROM i),
+m AS (SELECT *, sum(CASE WHEN held >= 4 AND idx = a THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY idx) AS longs FROM l),
+p AS (SELECT *, CASE WHEN held >= 4 THEN a ELSE -1 - longs END AS chunk FROM m), q AS (SELECT *, min(idx) OVER (PARTITION BY user_id, chunk) AS first_id FROM p),
+c AS (SELECT user_id, first_id, count(*) AS length, held >= 4 AS run, (1 + {_vl("count(*)")} + {_vl("first_id")} + coalesce(sum({_vl("idx - prev")}) FILTER (held < 4 AND idx > first_id), 0))::BIGINT AS bytes FROM q GROUP BY user_id, chunk, first_id, held >= 4)"""
+
+
+@query(f"WITH {_CHUNKS} SELECT user_id, first_id, length, run, bytes FROM c")
 def index_chunks(spark: SparkSession, d: str) -> DataFrame:
-    """How much of each list goes to run chunks of four or more."""
-    long_ = F.when(F.col("length") >= 4, F.col("length"))
-    return columns.runs(table(spark, d, "events"), "user_id", "event_id").groupBy("user_id").agg(F.count(long_).alias("runs"), F.coalesce(F.sum(long_), F.lit(0)).alias("in_runs"), F.sum("length").alias("n"))
+    """Lists cut to runs of four or more and what lies between them, with the bytes of each chunk."""
+    return columns.chunks(_lists(spark, d), "user_id", "idx")
 
 
 @query("""WITH s AS (SELECT user_id, count(*) AS n, min(event_id) AS a, max(event_id) AS b FROM events GROUP BY 1),
@@ -211,14 +229,43 @@ def index_elias_fano(spark: SparkSession, d: str) -> DataFrame:
     return columns.elias_fano(table(spark, d, "events"), "user_id", "event_id")
 
 
-@query("""WITH d AS (%s), x AS (SELECT user_id, count(*) AS n, min(event_id) AS a, max(event_id) AS b, sum(greatest(1, ceil(length(ltrim(bin(delta), '0')) / 7.0)))::BIGINT AS delta_bytes FROM d GROUP BY 1),
-l AS (SELECT *, CASE WHEN (b - a) // n < 1 THEN 0 ELSE length(ltrim(bin((b - a) // n), '0')) - 1 END AS low FROM x),
-h AS (SELECT *, ceil((n + (b - a) // (1::BIGINT << low::INT) + 1) / 8.0)::BIGINT AS high_bytes FROM l),
-y AS (SELECT *, (greatest(1, ceil(length(ltrim(bin(n), '0')) / 7.0)) + greatest(1, ceil(length(ltrim(bin(a), '0')) / 7.0)) + 1 + ceil(n * low / 8.0) + high_bytes + greatest(1, ceil(length(ltrim(bin(high_bytes), '0')) / 7.0)))::BIGINT AS elias_fano_bytes FROM h)
-SELECT user_id, n, delta_bytes, elias_fano_bytes, CASE WHEN n > 1 AND b - a + 1 = n THEN 'RUN' WHEN n >= 32 AND delta_bytes - elias_fano_bytes > 16 AND low <= 24 THEN 'ELIAS_FANO' WHEN n > 2 THEN 'DELTA' ELSE 'RAW' END AS encoding FROM y""" % _DELTA)
+@query(f"""WITH {_CHUNKS}, k AS (SELECT user_id, count(*) AS pieces, sum(bytes) AS pb FROM c GROUP BY 1),
+x AS (SELECT user_id, count(*) AS n, min(idx) AS a, max(idx) AS b, min(idx - prev) AS lo, max(idx - prev) AS hi, sum({_vl("coalesce(idx - prev, idx)")}) AS s FROM i GROUP BY 1),
+w AS (SELECT *, CASE WHEN (b - a) // n < 1 THEN 0 ELSE length(ltrim(bin((b - a) // n), '0')) - 1 END AS low FROM x), h AS (SELECT *, ceil((n + (b - a) // (1::BIGINT << low::INT) + 1) / 8.0)::BIGINT AS hb FROM w),
+y AS (SELECT user_id, n, a, b, lo, hi, (1 + {_vl("n")} + s)::BIGINT AS delta_bytes, CASE WHEN n >= 8 AND pieces > 1 THEN (1 + {_vl("n")} + {_vl("pieces")} + pb)::BIGINT END AS chunked_bytes,
+ CASE WHEN n >= 32 AND low <= 24 THEN (1 + {_vl("n")} + {_vl("a")} + 1 + ceil(n * low / 8.0) + hb + {_vl("hb")})::BIGINT END AS elias_fano_bytes FROM h JOIN k USING (user_id))
+SELECT user_id, n, delta_bytes, chunked_bytes, elias_fano_bytes, CASE WHEN n > 1 AND b - a + 1 = n THEN 'RUN' WHEN n > 2 AND lo = hi AND lo > 1 THEN 'ARITHMETIC' WHEN n <= 2 THEN 'RAW'
+ WHEN chunked_bytes < delta_bytes THEN 'CHUNKED' WHEN chunked_bytes IS NULL AND elias_fano_bytes + 16 < delta_bytes THEN 'ELIAS_FANO' ELSE 'DELTA' END AS encoding FROM y""")
 def index_cost_choice(spark: SparkSession, d: str) -> DataFrame:
-    """The cheapest encoding of each list, by computed sizes."""
-    return columns.index_choice(_deltas(spark, d), "user_id", "event_id", "delta")
+    """The encoding of each list, of six, by its shape and by computed sizes."""
+    return columns.index_choice(_lists(spark, d), "user_id", "idx")
+
+
+_SHORT = "(SELECT l_orderkey, list(CASE l_orderkey % 4 WHEN 0 THEN l_linenumber WHEN 1 THEN l_linenumber * (1 + l_orderkey % 3) WHEN 2 THEN l_linenumber * l_linenumber ELSE l_suppkey END::BIGINT ORDER BY l_linenumber, l_partkey, l_suppkey) AS a FROM lineitem GROUP BY 1)"
+
+
+def _short_lists(spark: SparkSession, d: str) -> DataFrame:
+    o, n = F.col("l_orderkey") % 4, F.col("l_linenumber")
+    v = F.when(o == 0, n).when(o == 1, n * (1 + F.col("l_orderkey") % 3)).when(o == 2, n * n).otherwise(F.col("l_suppkey")).cast("bigint")
+    rows = F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", v.alias("v"))))
+    return table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.transform(rows, lambda x: x["v"]).alias("a"))
+
+
+_STEPS = "len(list_filter(range(1, len(a)), lambda i: {}))"
+
+
+@query(f"""SELECT l_orderkey, len(a) AS n, CASE WHEN len(a) >= 4 AND {_STEPS.format("a[i + 1] - a[i] <> 1")} = 0 THEN 'RUN' WHEN len(a) >= 8 AND {_STEPS.format("a[i + 1] <= a[i]")} = 0 AND a[len(a)] < 64 THEN 'BITMAP'
+ WHEN len(a) >= 4 AND {_STEPS.format("a[i + 1] < a[i]")} = 0 THEN 'DELTA' ELSE 'RAW' END AS form FROM {_SHORT}""")
+def index_history_form(spark: SparkSession, d: str) -> DataFrame:
+    """The form that each order's list of indexes gets inside a history."""
+    return _short_lists(spark, d).select("l_orderkey", F.size("a").cast("bigint").alias("n"), columns.history_index_form(F.col("a")).alias("form"))
+
+
+@query(f"""SELECT l_orderkey, CASE WHEN len(a) >= 8 AND len(list_filter(range(1, len(a)), lambda p: len(list_filter(range(p + 1, len(a) + 1), lambda i: a[i] <> a[i - p])) = 0)) > 0 THEN 'PERIODIC'
+ WHEN len(a) >= 2 AND {_STEPS.format("a[i + 1] - a[i] <> a[2] - a[1]")} = 0 AND a[2] >= a[1] THEN 'ARITHMETIC' WHEN {_STEPS.format("a[i + 1] < a[i]")} = 0 THEN 'DELTA' ELSE 'RAW' END AS form FROM {_SHORT}""")
+def uint_form(spark: SparkSession, d: str) -> DataFrame:
+    """The form of each order's list of unsigned numbers."""
+    return _short_lists(spark, d).select("l_orderkey", columns.uint_form(F.col("a")).alias("form"))
 
 
 @query("SELECT l_orderkey, bit_or(1::BIGINT << l_linenumber) AS bits, bit_count(bit_or(1::BIGINT << l_linenumber))::BIGINT AS n FROM lineitem GROUP BY 1")
