@@ -37,13 +37,18 @@ def move(a: Column, source, target) -> Column:
     return F.when((_int(source) >= 0) & (_int(source) < F.size(a)) & (_int(target) >= 0), moved).otherwise(a)
 
 
-def assign(a: Column, indexes: Column, values: Column) -> Column:
-    """values[i] at indexes[i]; of repeated indexes the last one counts."""
-    def at(x, i):
-        last = F.array_max(F.transform(indexes, lambda v, p: F.when(v == i, p)))
-        return F.when(last.isNull(), x).otherwise(F.get(values, last))
+def _last(pairs: Column) -> Column:
+    """A map of array of struct(key, value) in which the last of repeated keys counts."""
+    back = F.reverse(pairs)
+    first = F.filter(back, lambda p, i: F.array_position(F.transform(back, lambda q: q["key"]), p["key"]) == i + 1)
+    return F.map_from_entries(first)
+
 
-    return F.transform(a, at)
+def assign(a: Column, indexes: Column, values: Column) -> Column:
+    """values[i] at indexes[i]; of repeated indexes the last one counts.  One lookup for each element."""
+    pairs = F.transform(indexes, lambda v, p: F.struct(v.cast("bigint").alias("key"), F.get(values, p).alias("value")))
+    last = _last(pairs)
+    return F.transform(a, lambda x, i: F.when(F.map_contains_key(last, i.cast("bigint")), F.try_element_at(last, i.cast("bigint"))).otherwise(x))
 
 
 def tuple_assign(a: Column, indexes: Column, fields: Column, values: Column) -> Column:
@@ -65,15 +70,27 @@ def two_field_insert(a: Column, start, first: Column, second: Column, names: tup
 
 
 def text_splice(text: Column, start, removed, inserted) -> Column:
-    """text[:start] + inserted + text[start + removed:]."""
-    return F.overlay(text, _int(inserted), F.least(_int(start), F.length(text)) + 1, _int(removed))
+    """text[:start] + inserted + text[start + removed:]; numbers below 0 count as 0."""
+    at = F.least(F.greatest(_int(start), F.lit(0)), F.length(text))
+    return F.overlay(text, _int(inserted), at + 1, F.greatest(_int(removed), F.lit(0)))
 
 
 def text_copy(text: Column, target, source, length) -> Column:
-    """Inserts text[source:source + length] at `target`."""
-    return text_splice(text, target, 0, F.substring(text, _int(source) + 1, _int(length)))
+    """Inserts text[source:source + length] at `target`; numbers below 0 count as 0."""
+    return text_splice(text, target, 0, F.substring(text, F.greatest(_int(source), F.lit(0)) + 1, F.greatest(_int(length), F.lit(0))))
 
 
 def text_replay(text: Column, operations: Column) -> Column:
     """Splices in order: array of struct(start, removed, inserted)."""
     return F.aggregate(operations, text, lambda t, o: text_splice(t, o["start"], o["removed"], o["inserted"]))
+
+
+def field_cells(idx: Column, fields: Column, values: Column) -> Column:
+    """array of struct(idx, field, value) of row-major values: values[r * fields + f] goes to field f of row idx[r]."""
+    n = F.size(fields)
+    return F.transform(values, lambda v, p: F.struct(F.get(idx, F.floor(p / n).cast("int")).alias("idx"), F.get(fields, p % n).alias("field"), v.alias("value")))
+
+
+def scalars(values: Column, scalar) -> Column:
+    """SCALAR_ARRAY_REPLACE: the new array, of scalars (by a test of one); null where a value is none."""
+    return F.when(F.forall(values, scalar), values)

@@ -63,7 +63,8 @@ def tuple_assign(spark: SparkSession, d: str) -> DataFrame:
 @query(_sql("[vec_id, label::BIGINT, 0]"))
 def scalar_replace(spark: SparkSession, d: str) -> DataFrame:
     """SCALAR_ARRAY_REPLACE: a new array in the old one's place."""
-    return _ints(spark, d).select("vec_id", _text(F.array(F.col("vec_id"), F.col("label").cast("bigint"), F.lit(0).cast("bigint"))))
+    new = F.array(F.col("vec_id"), F.col("label").cast("bigint"), F.lit(0).cast("bigint"))
+    return _ints(spark, d).select("vec_id", _text(arrays.scalars(new, lambda x: x.isNotNull())))
 
 
 @query("""SELECT vec_id, array_to_string([z.k || ':' || z.v for z in list_concat(list_concat([{'k': a[1], 'v': a[2]}], [{'k': a[3], 'v': a[5]}, {'k': a[4], 'v': a[6]}]), [{'k': a[7], 'v': a[8]}])], ',') AS a
@@ -83,14 +84,16 @@ def array_object_field_assign(spark: SparkSession, d: str) -> DataFrame:
         "event_id", F.array(F.col("event_id") % 50, (F.col("event_id") + 1) % 50).alias("idx"), F.array(F.lit("score"), F.lit("rank")).alias("fields"),
         F.array(*[F.col("value") + i for i in range(4)]).alias("values"),
     )
-    cells = log.select("event_id", "idx", "fields", F.posexplode("values").alias("p", "value"))
-    n = F.size("fields")
-    placed = cells.select("event_id", "p", F.get("idx", F.floor(F.col("p") / n).cast("int")).alias("idx"), F.get("fields", F.col("p") % n).alias("field"), "value")
+    placed = log.select("event_id", F.posexplode(arrays.field_cells(F.col("idx"), F.col("fields"), F.col("values"))).alias("p", "c")).select("event_id", "p", "c.*")
     return placed.groupBy("idx", "field").agg(F.max_by("value", F.struct("event_id", "p")).alias("value"))
 
 
-@query("SELECT vec_id, len(list_distinct(a)) = 1 AS repeated, bool_and_all AS ints FROM (SELECT vec_id, [floor(x::DOUBLE * 1)::BIGINT for x in embedding] AS a, len(list_filter(embedding, lambda x: x <> floor(x))) = 0 AS bool_and_all FROM embeddings)")
+@query("""SELECT vec_id, len(a) >= 4 AND len(list_distinct(a)) = 1 AS repeated, len(list_filter(a, lambda x: x <> floor(x))) = 0 AS ints
+FROM (SELECT vec_id, [CASE label % 3 WHEN 0 THEN floor(x::DOUBLE) WHEN 1 THEN round(x::DOUBLE, 1) ELSE x::DOUBLE END for x in embedding[1:3 + label % 2]] AS a FROM embeddings)""")
 def repeat_array(spark: SparkSession, d: str) -> DataFrame:
-    """Arrays of one repeated scalar, and arrays of integers only."""
-    a = F.transform("embedding", lambda x: F.floor(x.cast("double")))
-    return table(spark, d, "embeddings").select("vec_id", (F.size(F.array_distinct(a)) == 1).alias("repeated"), F.forall("embedding", lambda x: x == F.floor(x)).alias("ints"))
+    """Arrays of one repeated scalar, and arrays of integers only, among rounded and unrounded vectors."""
+    x3 = F.col("label") % 3
+    part = F.slice("embedding", F.lit(1), (F.lit(3) + F.col("label") % 2).cast("int"))
+    a = F.transform(part, lambda x: F.when(x3 == 0, F.floor(x.cast("double")).cast("double")).when(x3 == 1, F.round(x.cast("double"), 1)).otherwise(x.cast("double")))
+    rows = table(spark, d, "embeddings").select("vec_id", a.alias("a"))
+    return rows.select("vec_id", ((F.size("a") >= 4) & (F.size(F.array_distinct("a")) == 1)).alias("repeated"), F.forall("a", lambda x: x == F.floor(x)).alias("ints"))

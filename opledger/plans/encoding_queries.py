@@ -149,11 +149,14 @@ def int_array_mode(spark: SparkSession, d: str) -> DataFrame:
     return _small_lists(spark, d).select("l_orderkey", mode.alias("mode"))
 
 
-@query("""SELECT event_type, count(*) AS n, count(DISTINCT json_keys(props)::VARCHAR) = 1 AND count(*) >= 4 AS record_shape FROM events GROUP BY 1""")
+@query("""SELECT user_id, count(*) AS n, count(DISTINCT event_id % 2 = 0 OR user_id % 3 > 0) = 1 AND count(*) >= 4 AS record_shape FROM events GROUP BY 1""")
 def record_columns(spark: SparkSession, d: str) -> DataFrame:
-    """Whether all objects of a list have the same keys in the same order."""
-    keys = F.to_json(F.json_object_keys("props"))
-    return table(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("n"), ((F.count_distinct(keys) == 1) & (F.count("*") >= 4)).alias("record_shape"))
+    """Whether all objects of a user's list have the same keys in the same order; in every third list some have another order."""
+    k, v = F.get_json_object("props", "$.k"), F.col("event_id").cast("string")
+    one, two = F.concat(F.lit('{"k":'), k, F.lit(',"id":'), v, F.lit("}")), F.concat(F.lit('{"id":'), v, F.lit(',"k":'), k, F.lit("}"))
+    rows = table(spark, d, "events").select("user_id", F.when((F.col("event_id") % 2 == 0) | (F.col("user_id") % 3 > 0), one).otherwise(two).alias("object"))
+    keys = F.to_json(F.json_object_keys("object"))
+    return rows.groupBy("user_id").agg(F.count("*").alias("n"), ((F.count_distinct(keys) == 1) & (F.count("*") >= 4)).alias("record_shape"))
 
 
 @query("SELECT doc_id // 8 AS byte_no, sum(CASE WHEN toxic = 1 THEN 1 << (doc_id % 8)::INT ELSE 0 END)::BIGINT AS bits FROM labels GROUP BY 1")

@@ -58,10 +58,10 @@ def replay_row_objects(spark: SparkSession, d: str) -> DataFrame:
     return replay.assigned_rows(base, "o_orderkey", log, "idx", ["event_id"], {"o_orderstatus": "event_type", "o_totalprice": "value"})
 
 
-@query("SELECT event_id, event_id % 40000 AS idx FROM events WHERE event_id % 40000 NOT IN (SELECT o_orderkey FROM orders)")
+@query("SELECT event_id, event_id * 3 AS idx FROM events WHERE event_id * 3 NOT IN (SELECT o_orderkey FROM orders)")
 def replay_row_bounds(spark: SparkSession, d: str) -> DataFrame:
     """Assignments to rows that do not exist."""
-    log = table(spark, d, "events").select("event_id", (F.col("event_id") % 40000).alias("idx"))
+    log = table(spark, d, "events").select("event_id", (F.col("event_id") * 3).alias("idx"))
     return replay.outside(table(spark, d, "orders"), "o_orderkey", log, "idx").select("event_id", "idx")
 
 

@@ -48,3 +48,22 @@ def test_text_splices(spark):
         assert row.s == t[:2] + "XY" + t[4:]
         assert row.c == t[:1] + t[0:2] + t[1:]
         assert row.r == "z" + t[1:]
+
+
+def test_negative_numbers_are_clamped(spark):
+    t = F.lit("abcdef")
+    row = spark.range(1).select(
+        arrays.text_splice(t, -2, 1, "X").alias("a"), arrays.text_splice(t, 2, -1, "X").alias("b"), arrays.text_splice(t, 99, 5, "X").alias("c"),
+        arrays.text_copy(t, 1, -3, 2).alias("d"), arrays.text_copy(t, 1, 2, -2).alias("e"), arrays.text_copy(t, -1, 4, 9).alias("f"),
+    ).first()
+    assert tuple(row) == ("Xbcdef", "abXcdef", "abcdefX", "aabbcdef", "abcdef", "efabcdef")
+
+
+def test_assign_with_repeated_and_outer_indexes(spark):
+    a, idx = F.array(*map(F.lit, (1, 2, 3))), F.array(*map(F.lit, (1, 7, 1, -1))).cast("array<bigint>")
+    row = spark.range(1).select(arrays.assign(a, idx, F.array(F.lit(5), F.lit(6), F.lit(None), F.lit(8))).alias("a"), arrays.assign(a, F.array().cast("array<bigint>"), F.array().cast("array<int>")).alias("b")).first()
+    assert row.a == [1, None, 3] and row.b == [1, 2, 3]
+    cells = spark.range(1).select(arrays.field_cells(F.array(F.lit(4), F.lit(9)), F.array(F.lit("x"), F.lit("y")), F.array(*map(F.lit, range(4)))).alias("c")).first().c
+    assert [tuple(c) for c in cells] == [(4, "x", 0), (4, "y", 1), (9, "x", 2), (9, "y", 3)]
+    both = spark.range(1).select(arrays.scalars(F.array(F.lit("1"), F.lit("[2]")), lambda v: ~v.rlike(r"^[\[{]")).alias("n"), arrays.scalars(F.array(F.lit("1")), lambda v: ~v.rlike(r"^[\[{]")).alias("s")).first()
+    assert both.n is None and both.s == ["1"]

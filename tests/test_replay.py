@@ -53,18 +53,29 @@ def test_log_files_round_trip(spark, tmp_path):
 
 
 def test_history_modes(spark):
-    def history(name, n, op, **more):
-        base = {"history_id": name, "op": op, "path_key": "p", "keys": None, "n_keys": 1, "integers": False, "start": None, "removed": None, "inserted": None}
-        return [base | {"patch_seq": i} | {k: v(i) if callable(v) else v for k, v in more.items()} for i in range(n)]
-
+    def history(name, n, *ops):
+        made = []
+        for i in range(n):
+            for k, op in enumerate(ops):
+                row = dict.fromkeys(model.LOG.names) | {"history_id": name, "patch_seq": i, "op_seq": k, "path": ["p"]} | {c: v(i) if callable(v) else v for c, v in op.items()}
+                made.append([row[c] for c in model.LOG.names])
+        return made
+
+    put, append = {"op": "SET", "value": "1"}, {"op": "STRING_SPLICE", "start": lambda i: 4 + 2 * i, "removed": 0, "text": "ab"}
+    ints, objects = ({"op": "ARRAY_OBJECT_ASSIGN", "idx": [0, 4], "values": ['{"a":1,"b":%s}' % v, '{"b":3,"a":4}']} for v in ("2", '"x"'))
+    fields = {"op": "ARRAY_OBJECT_FIELD_ASSIGN", "idx": [1, 2], "fields": ["x"], "values": ["1", "2"]}
     rows = (
-        history("few", 7, "SET") + history("set", 8, "SET") + history("paths", 9, "SET", path_key=lambda i: str(i))
-        + history("append", 9, "STRING_SPLICE", start=lambda i: 4 + 2 * i, removed=0, inserted=2) + history("splice", 9, "STRING_SPLICE", start=lambda i: 4 + 2 * i, removed=1, inserted=2)
-        + history("ints", 8, "ARRAY_OBJECT_ASSIGN", keys="ab", n_keys=2, integers=True) + history("objects", 8, "ARRAY_OBJECT_ASSIGN", keys="ab", n_keys=2)
+        history("few", 7, put) + history("set", 8, put) + history("columns", 8, put, put | {"path": ["q", "r"]}) + history("paths", 9, put | {"path": lambda i: [str(i)]})
+        + history("assign", 8, {"op": "ASSIGN", "fields": lambda i: ["b", "a"] if i % 2 else ["a", "b"], "values": ["1", "2"]}) + history("keys", 8, {"op": "ASSIGN", "fields": lambda i: [str(i)], "values": ["1"]})
+        + history("append", 9, append) + history("splice", 9, append | {"removed": 1}) + history("two", 9, append, put) + history("ints", 8, ints) + history("objects", 8, objects)
+        + history("fields", 8, fields, put | {"path": ["last"]}) + history("uneven", 8, fields | {"values": ["1"]}) + history("trailing", 8, fields, append)
     )
-    log = spark.createDataFrame(rows, "history_id string, op string, path_key string, keys string, n_keys int, integers boolean, start bigint, removed bigint, inserted bigint, patch_seq bigint")
+    log = spark.createDataFrame(rows, model.LOG)
     got = {r.history_id: r.mode for r in layouts.history_modes(log).collect()}
-    assert got == {"few": "GENERIC", "set": "SET_COLUMNS", "paths": "GENERIC", "append": "STRING_APPEND", "splice": "STRING_SPLICE", "ints": "ROW_OBJECT_ASSIGN_INTEGERS", "objects": "ROW_OBJECT_ASSIGN"}
+    assert got == {
+        "few": "GENERIC", "set": "SET_COLUMNS", "columns": "SET_COLUMNS", "paths": "GENERIC", "assign": "ASSIGN_COLUMNS", "keys": "GENERIC", "append": "STRING_APPEND", "splice": "STRING_SPLICE", "two": "GENERIC",
+        "ints": "ROW_OBJECT_ASSIGN_INTEGERS", "objects": "ROW_OBJECT_ASSIGN", "fields": "ROW_FIELD_ASSIGN", "uneven": "GENERIC", "trailing": "GENERIC",
+    }
 
 
 def test_builder_demotes_for_good(spark, tmp_path):
