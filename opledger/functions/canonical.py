@@ -82,8 +82,22 @@ def canonical_text(value, most_depth: int = 512, interchange: bool = False, path
     return "{" + ",".join(canonical_text(k, most_depth, interchange, path) + ":" + canonical_text(value[k], most_depth, interchange, f"{path}.{k}", depth + 1) for k in keys) + "}"
 
 
+def _plain(text: Column, most_depth: int) -> Column:
+    """Whether the engine's own parser and writer give the canonical text.
+
+    So it is for printable ASCII without escapes, fractions, exponents, negative
+    zeros or integers of more than 15 digits, and with fewer brackets than levels
+    allowed.  (Objects come back with sorted keys.)
+    """
+    brackets = F.length(text) - F.length(F.translate(text, "[{", ""))
+    return text.rlike(r"^[ -\[\]-~]*$") & ~text.rlike(r"[0-9][.eE]|-0|[0-9]{16}") & (brackets <= most_depth)
+
+
 def canonical_json(text: Column, most_depth: int = 512, interchange: bool = False) -> Column:
-    """struct(text, error) for JSON texts of any shape, in Arrow batches; null stays null."""
+    """struct(text, error) for JSON texts of any shape; null stays null.
+
+    Most texts stay in the engine; the others go to Python in Arrow batches.
+    """
 
     @F.pandas_udf("text string, error string")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -96,7 +110,8 @@ def canonical_json(text: Column, most_depth: int = 512, interchange: bool = Fals
                     rows.append((None, str(e)))
             yield pd.DataFrame(rows, columns=["text", "error"])
 
-    return run(text)
+    own = F.when(F.coalesce(_plain(text, most_depth), F.lit(False)), F.to_json(F.try_parse_json(text)))
+    return F.when(own.isNotNull(), F.struct(own.alias("text"), F.lit(None).cast("string").alias("error"))).otherwise(run(F.when(own.isNull(), text)))
 
 
 def fnv1a64(text: Column) -> Column:

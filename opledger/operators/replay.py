@@ -22,8 +22,18 @@ def until(log: DataFrame, place: str | Column, bound: int | None) -> DataFrame:
 
 
 def numbered(log: DataFrame, *order: str, name: str = "place") -> DataFrame:
-    """Places 0, 1, ... by a total order, without one task that sees all rows: ranges, then row numbers within them."""
-    dealt = log.repartitionByRange(*order).withColumn("_range", F.spark_partition_id())
+    """Places 0, 1, ... by a total order, without one task that sees all rows: ranges, then row numbers within them.
+
+    The range of a row is a column, found by quantiles of the first order column (numbers, dates and times), so that all
+    branches of the plan agree on it however partitions are merged; without such a column one window numbers all.
+    """
+    first, kind = order[0], dict(log.dtypes)[order[0]]
+    if kind not in ("tinyint", "smallint", "int", "bigint", "float", "double", "date", "timestamp", "timestamp_ntz"):
+        return log.withColumn(name, F.row_number().over(W.orderBy(*order)) - 1)
+    stamp = F.unix_micros(F.col(first).cast("timestamp")) if kind in ("date", "timestamp", "timestamp_ntz") else F.col(first)
+    parts = int(log.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cuts = log.select(F.percentile_approx(stamp.cast("double"), [i / parts for i in range(1, parts)] or [1.0], 10_000).alias("c")).first().c or []
+    dealt = log.withColumn("_range", F.coalesce(F.size(F.filter(F.array(*map(F.lit, cuts)) if cuts else F.array().cast("array<double>"), lambda c: c < stamp.cast("double"))), F.lit(0)))
     sizes = dealt.groupBy("_range").agg(F.count("*").alias("_n"))
     before = sizes.withColumn("_base", F.coalesce(F.sum("_n").over(W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
     inside = F.row_number().over(W.partitionBy("_range").orderBy(*order))

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import documents, replay
+from ..operators import documents, framed, replay
 from ..operators.model import LOG, checked
+from .frame_queries import SCHEMA_ID
 from .registry import query, table
 
 BASE = '{"list":[],"nested":{},"text":""}'
@@ -135,3 +136,17 @@ def replay_row_merge(spark: SparkSession, d: str) -> DataFrame:
 def replay_assign_open(spark: SparkSession, d: str) -> DataFrame:
     """ASSIGN history whose keys are not known beforehand."""
     return replay.merged_objects(_objects(spark, d, F.col("user_id")), ["user_id"], "object", ["event_id"])
+
+
+@query(_mixed_sql(""))
+def patch_frames_replayed(spark: SparkSession, d: str) -> DataFrame:
+    """Patches framed one by one, decoded to a log and replayed."""
+    events = table(spark, d, "events")
+    return documents.replay(_bases(events), framed.read_frames(framed.patch_frames(_log(events), SCHEMA_ID), SCHEMA_ID))
+
+
+@query(_mixed_sql(""))
+def history_frames_replayed(spark: SparkSession, d: str) -> DataFrame:
+    """Whole histories framed, decoded to a log and replayed."""
+    events = table(spark, d, "events")
+    return documents.replay(_bases(events), framed.read_frames(framed.history_frames(_log(events), SCHEMA_ID), SCHEMA_ID))

@@ -1,6 +1,7 @@
 import json
 import math
 
+import random
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -69,3 +70,31 @@ def test_frames(spark):
     assert small.first().e == "metadata"
     broken = transport.with_header(spark.createDataFrame([(bytearray(b"abcd"),), (bytearray(b"frf\x01\x09\x00\x00\x00\x00"),), (None,)], "frame binary"))
     assert [r.e for r in broken.select(transport.frame_error(F.col("frame"), F.col("header")).alias("e")).collect()] == ["magic", "kind", "magic"]
+
+
+def test_engine_and_python_give_one_text(spark):
+    """Texts that stay in the engine, those that do not and those that are refused."""
+    r = random.Random(8)
+
+    def value(depth=0):
+        kind = r.randrange(7 if depth < 3 else 5)
+        if kind < 2:
+            return r.choice([None, True, False, 0, -5, 12, 999999999999999, 2**53 - 1, 2**60, 1.5, -0.0, 1e30, 100.0])
+        if kind < 5:
+            return "".join(r.choice("abzAZ09 /~.:,-\u007fé😀\\\"\n") for _ in range(r.randrange(5)))
+        if kind == 5:
+            return [value(depth + 1) for _ in range(r.randrange(4))]
+        return {"".join(r.choice("aZ_ é.") for _ in range(r.randrange(3))): value(depth + 1) for _ in range(r.randrange(4))}
+
+    texts = [json.dumps(value(), ensure_ascii=r.random() < 0.5, indent=r.choice([None, 1])) for _ in range(600)] + ["{", "[1,]", '{"a":1,"a":2}', "-0", "[-0]", "01", "", " 7 ", None, "nul"]
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = {x.i: x.c for x in frame.select("i", canonical.canonical_json(F.col("t")).alias("c")).collect()}
+    kept = frame.filter(canonical._plain(F.col("t"), 512)).count()
+    assert 100 < kept < 550
+    for i, t in enumerate(texts):
+        try:
+            want = None if t is None else canonical.canonical_text(json.loads(t))
+        except ValueError:
+            want = None
+            assert got[i].error
+        assert got[i].text == want, t
