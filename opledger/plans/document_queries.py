@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from ..operators import documents, framed, replay
 from ..operators.model import LOG, checked
+from ..sources import logs
 from .frame_queries import SCHEMA_ID
-from .registry import query, table
+from .registry import query, shared_folder, table
 
 BASE = '{"list":[],"nested":{},"text":""}'
 
@@ -147,6 +148,8 @@ def patch_frames_replayed(spark: SparkSession, d: str) -> DataFrame:
 
 @query(_mixed_sql(""))
 def history_frames_replayed(spark: SparkSession, d: str) -> DataFrame:
-    """Whole histories framed, decoded to a log and replayed."""
+    """Whole histories framed, decoded into log files and replayed from these."""
     events = table(spark, d, "events")
-    return documents.replay(_bases(events), framed.read_frames(framed.history_frames(_log(events), SCHEMA_ID), SCHEMA_ID))
+    folder = f"{shared_folder(spark)}/log"
+    logs.write_log(framed.read_frames(framed.history_frames(_log(events), SCHEMA_ID), SCHEMA_ID), folder, buckets=8)
+    return documents.replay(_bases(events), logs.read_log(spark, folder))

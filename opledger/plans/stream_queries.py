@@ -2,25 +2,12 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import replay
 from ..streaming import builder
-from .registry import query, table
-
-
-def _folder(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base and re.match(r"local(\[|$)", spark.sparkContext.master):
-        base = tempfile.mkdtemp(prefix="stream-")
-    if not base:
-        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    return f"{base}/stream-{uuid.uuid4().hex}"
+from .registry import query, shared_folder, table
 
 
 def _run(spark: SparkSession, streamed: DataFrame, mode: str, folder: str) -> DataFrame:
@@ -41,13 +28,13 @@ def _stream(spark: SparkSession, d: str, name: str) -> DataFrame:
 @query("SELECT user_id, event_type, arg_max(value, (ts, event_id)) AS value FROM events GROUP BY ALL")
 def stream_lww(spark: SparkSession, d: str) -> DataFrame:
     """Replay as a stream: the same rows as the batch query."""
-    folder = _folder(spark)
+    folder = shared_folder(spark)
     out = _run(spark, builder.last_writes(_stream(spark, d, "events"), ["user_id", "event_type"], ["ts", "event_id"], "value"), "update", folder)
     return out.groupBy("user_id", "event_type").agg(F.max_by("value", "batch_no").alias("value"))
 
 
 def _built(spark: SparkSession, ops: DataFrame) -> DataFrame:
-    folder = _folder(spark)
+    folder = shared_folder(spark)
     ops.write.parquet(f"{folder}/in")
     streamed = spark.readStream.schema(ops.schema).parquet(f"{folder}/in")
     return _run(spark, builder.append_builder(streamed), "append", folder)
