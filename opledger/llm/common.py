@@ -19,6 +19,9 @@ from pyspark.sql import functions as F
 BATCH_BYTES = 1 << 20
 #: Rows with texts that cross to a Python worker in one Arrow batch, whatever the session says; texts may be long.
 BATCH_ROWS = 512
+#: For encoders, which look up each distinct word of a batch once.
+LARGE_BYTES, LARGE_ROWS = 2 << 20, 1024
+_GIVEN: dict[str, int] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -71,10 +74,10 @@ def swept(spark: SparkSession) -> None:
 
 
 def bounded(df: DataFrame, most: int = BATCH_ROWS) -> DataFrame:
-    """df, after the session's Arrow batches are set to at most so many rows: mapInArrow has no such parameter of its own."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(df.sparkSession.conf.get(name)) <= most:
-        df.sparkSession.conf.set(name, str(most))
+    """df, after the session's Arrow batches are set to at most so many rows, or fewer if it had fewer: mapInArrow has no such parameter of its own."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    given = _GIVEN.setdefault(df.sparkSession.sparkContext.applicationId, int(conf.get(name)))
+    conf.set(name, str(min(given, most) if given > 0 else most))
     return df
 
 
@@ -100,7 +103,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = BATCH_BYT
             yield batch.slice(lo, hi - lo)
 
 
-def by_batches(df: DataFrame, work: Callable[[pa.RecordBatch], dict], schema, column: str, most: int = BATCH_BYTES) -> DataFrame:
+def by_batches(df: DataFrame, work: Callable[[pa.RecordBatch], dict], schema, column: str, most: int = BATCH_BYTES, rows: int = BATCH_ROWS) -> DataFrame:
     """mapInArrow with bounded slices; work returns a dict of columns."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType, _parse_datatype_string
@@ -114,7 +117,7 @@ def by_batches(df: DataFrame, work: Callable[[pa.RecordBatch], dict], schema, co
             made = work(part)
             yield pa.RecordBatch.from_arrays([pa.array(made[n], type=arrow.field(n).type) for n in names], schema=arrow)
 
-    return bounded(df).mapInArrow(run, typed)
+    return bounded(df, rows).mapInArrow(run, typed)
 
 
 def crc_of_id(column: str | Column) -> Column:

@@ -28,7 +28,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BATCH_BYTES, bounded, by_batches, discard, kept, slices, words_of
+from .common import BATCH_BYTES, LARGE_BYTES, LARGE_ROWS, bounded, by_batches, discard, kept, slices, words_of
 from .subwords import encoder, vocabulary_path
 
 WINDOW = 32
@@ -411,7 +411,7 @@ def score(docs: DataFrame, held_out: Column, path: str | None = None, sample: in
     def encode(batch):
         return {c: batch.column(c) for c in ("row", "doc_id", "held_out", "key", "text")} | {"ids": encoder(path).encode(batch.column("text").to_pylist())}
 
-    coded = kept(by_batches(rows, encode, "row bigint, doc_id bigint, held_out boolean, key bigint, text string, ids binary", "text"), "coded")
+    coded = kept(by_batches(rows, encode, "row bigint, doc_id bigint, held_out boolean, key bigint, text string, ids binary", "text", LARGE_BYTES, LARGE_ROWS), "coded")
     train = coded.filter("not held_out")
     counts = kept(_count_words(train.select("text")), "counts")
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()

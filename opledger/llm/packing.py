@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_batches
+from .common import LARGE_BYTES, LARGE_ROWS, by_batches
 from .subwords import encoder, vocabulary_path
 
 LENGTH = 2048
@@ -127,7 +127,7 @@ def encode_pieces(docs: DataFrame, path: str | None = None, length: int = LENGTH
         return out
 
     rows = docs.select(F.col(key).cast("bigint").alias("key_"), F.col(text).cast("string").alias("text_"))
-    return by_batches(rows, work, "key_ bigint, start bigint, doc_tokens bigint, ids binary", "text_")
+    return by_batches(rows, work, "key_ bigint, start bigint, doc_tokens bigint, ids binary", "text_", LARGE_BYTES, LARGE_ROWS)
 
 
 def pack_documents(docs: DataFrame, path: str | None = None, length: int = LENGTH, group: int = GROUP, end_id: int = 1, seed: int = 17) -> DataFrame:

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import bounded, kept, scratch, slices
+from .common import LARGE_BYTES, LARGE_ROWS, bounded, kept, scratch, slices
 from .files import Writer, open_file, read_range
 from .subwords import encoder, vocabulary_path
 
@@ -196,7 +196,7 @@ def write_shards(docs: DataFrame, folder: str, path: str | None = None, end_id:
         uri = f"{folder}/part-{at:06d}-{task.taskAttemptId()}.sst"
         encode = encoder(path).encode
         tail = np.array([end_id], "<u2").tobytes()
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", LARGE_BYTES):
             writer = writer or ShardWriter(uri)
             for i, h, ids in zip(batch.column("id").to_pylist(), batch.column("h").to_pylist(), encode(batch.column("text").to_pylist())):
                 writer.add(id_key(i) + (h + (1 << 63)).to_bytes(8, "big") + n.to_bytes(6, "big"), ids + tail, len(ids) // 2 + 1)
@@ -209,7 +209,7 @@ def write_shards(docs: DataFrame, folder: str, path: str | None = None, end_id:
             made = {"shard": at, "n_docs": writer.count, "n_ids": writer.ids, "bytes": writer.close(), "null_ids": nulls, "first_id": first, "last_id": last}
             yield pa.RecordBatch.from_pydict({"uri": [uri]} | {c: pa.array([v], pa.int64()) for c, v in made.items()})
 
-    return kept(bounded(rows).mapInArrow(run, "uri string, shard bigint, n_docs bigint, n_ids bigint, bytes bigint, null_ids bigint, first_id bigint, last_id bigint"), "manifest")
+    return kept(bounded(rows, LARGE_ROWS).mapInArrow(run, "uri string, shard bigint, n_docs bigint, n_ids bigint, bytes bigint, null_ids bigint, first_id bigint, last_id bigint"), "manifest")
 
 
 def read_shards(manifest: DataFrame) -> DataFrame:
