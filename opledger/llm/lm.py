@@ -388,7 +388,7 @@ def fit_all(rows: DataFrame, net: Attention, place: np.ndarray, classes: np.ndar
         return pa.table({"shard": pa.array([int(table.column("shard")[0].as_py()) // MEANS], pa.int64()), "name": [table.column("name")[0].as_py()], "n": pa.array([int(n.sum())], pa.int64()), "w": pa.array([total.astype(np.float32).tobytes()], pa.binary())})
 
     schema, seen, left = "shard bigint, name string, n bigint, w binary", 0, shards
-    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards))).repartition(shards, "shard").sortWithinPartitions("shard", "key", "ids")
+    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards))).repartitionById(shards, F.col("shard").cast("int")).sortWithinPartitions("shard", "key", "ids")
     found = kept(bounded(dealt.select("shard", "ids")).mapInArrow(run, schema), "weights")
     while True:  # so many networks at once meet in a task
         met = found.groupBy("name", F.floor(F.col("shard") / MEANS).alias("m")).applyInArrow(mean, schema)
