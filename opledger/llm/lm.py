@@ -43,16 +43,25 @@ SHARD_BYTES = 8 << 20
 MEANS = 64
 ROWS = 2048
 IDS = 1 << 16
+#: Bound of attention scores and class scores, below the logarithm of the greatest float32.
+LIMIT = np.float32(60)
 #: The end token of the count model, as a number beside the hashes of words.
 END = np.uint64(0x454E44)
 
 
-def _most(a: np.ndarray) -> np.ndarray:
-    """a.max(-1, keepdims=True), by halves: numpy is slow along short axes."""
-    while a.shape[-1] % 2 == 0 and a.shape[-1] > 4:
-        half = a.shape[-1] // 2
-        a = np.maximum(a[..., :half], a[..., half:])
-    return a.max(-1, keepdims=True)
+def _exp(a: np.ndarray) -> np.ndarray:
+    """exp(a) in place, a kept within `LIMIT`: sums of the values then neither overflow nor vanish, and need no greatest one."""
+    return np.exp(np.clip(a, -LIMIT, LIMIT, out=a), out=a)
+
+
+def _sums(a: np.ndarray) -> np.ndarray:
+    """a.sum(-1) as a product: numpy is slow along short axes."""
+    return a @ np.ones(a.shape[-1], a.dtype)
+
+
+def _turned(a: np.ndarray) -> np.ndarray:
+    """a with its last two axes changed, as a copy: products of many small matrices are slow on views."""
+    return np.ascontiguousarray(a.transpose(0, 2, 1))
 
 
 class Attention:
@@ -62,7 +71,7 @@ class Attention:
         r = np.random.default_rng(seed)
         g = lambda *s: (r.standard_normal(s) * 0.2).astype(np.float32)
         self.w = {"e": g(ROWS, WIDTH), "p": g(WINDOW, WIDTH), "qkv": g(WIDTH, 3 * WIDTH), "o": g(WIDTH, WIDTH), "u": g(WIDTH, classes), "b": np.zeros(classes, np.float32)}
-        self.mask = np.triu(np.full((WINDOW, WINDOW), -1e9, np.float32), 1)
+        self.mask = np.tril(np.ones((WINDOW, WINDOW), np.float32))
         self.begins, self.share = np.zeros(1, np.int64), np.zeros(0, np.float32)
 
     def with_subwords(self, begins: np.ndarray, share: np.ndarray, used: int) -> "Attention":
@@ -72,32 +81,30 @@ class Attention:
         return self
 
     def _inside(self, h: np.ndarray, places: np.ndarray):
-        """(rows of h, first and last place of their class, weights, probabilities, log-probability of the wanted place), class by class."""
-        band = (np.searchsorted(self.begins, places, side="right") - 1).astype(np.int16)
-        order = np.argsort(band, kind="stable")
-        cuts = np.searchsorted(band[order], np.arange(len(self.begins)))
+        """(rows of h, first place of their class, weights, odds, their sums, log-probability of the wanted place), class by class; places ascend."""
+        cuts = np.searchsorted(places, self.begins)
         for c in np.flatnonzero(np.diff(cuts)):
             lo, hi = int(self.begins[c]), int(self.begins[c + 1])
             v = self.w["v"][lo:hi]
             most = max(1, (1 << 20) // (hi - lo))
             for at in range(cuts[c], cuts[c + 1], most):
-                own = order[at:min(at + most, cuts[c + 1])]
-                z = np.empty((len(own), hi - lo), np.float32)
+                own = slice(at, min(at + most, cuts[c + 1]))
+                z = np.empty((own.stop - at, hi - lo), np.float32)
                 z[:, len(v):] = 0
                 np.matmul(h[own], v.T, out=z[:, :len(v)])
-                z += self.share[lo:hi]
-                z -= z.max(1, keepdims=True)
-                got = z[np.arange(len(own)), places[own] - lo]
+                np.clip(z, -LIMIT, LIMIT, out=z)
+                z += self.share[lo:hi]  # shares of a class come to one, so the sum of its odds lies within e**LIMIT of it
+                got = z[np.arange(len(z)), places[own] - lo]
                 np.exp(z, out=z)
-                total = z.sum(1)
-                z /= total[:, None]
-                yield own, lo, v, z, got - np.log(total)
+                total = _sums(z)
+                yield own, lo, v, z, total, got - np.log(total)
 
     def inside(self, h: np.ndarray, places: np.ndarray) -> np.ndarray:
         """Natural log-probability of places, each within its class, given hidden states."""
+        order = np.argsort(places.astype(np.uint16), kind="stable")
         out = np.empty(len(h))
-        for own, _, _, _, got in self._inside(h, places):
-            out[own] = got
+        for own, *_, got in self._inside(h.take(order, 0), places[order]):
+            out[order[own]] = got
         return out
 
     @staticmethod
@@ -105,72 +112,86 @@ class Attention:
         return ((ids.astype(np.uint32) * np.uint32(2654435761)) >> np.uint32(21)).astype(np.int32)
 
     def forward(self, rows: np.ndarray):
-        """Hidden states, attention and log-probabilities of classes for windows of row numbers."""
+        """Inputs, projections (queries scaled), attention before and its divisors, contexts and hidden states for windows of row numbers."""
         w = self.w
-        x = w["e"][rows] + w["p"]
+        x = w["e"].take(rows, 0)
+        x += w["p"]
         q, k, v = np.split((x.reshape(-1, WIDTH) @ w["qkv"]).reshape(len(rows), WINDOW, 3 * WIDTH), 3, axis=2)
-        a = q @ k.transpose(0, 2, 1)
-        a *= WIDTH**-0.5
-        a += self.mask
-        a -= _most(a)
-        np.exp(a, out=a)
-        a /= a.sum(2, keepdims=True)
+        q *= np.float32(WIDTH**-0.5)
+        a = _exp(q @ _turned(k))
+        a *= self.mask
+        total = _sums(a)[:, :, None]
         c = a @ v
-        h = x + c @ w["o"]
-        z = (h.reshape(-1, WIDTH) @ w["u"]).reshape(len(rows), WINDOW, -1) + w["b"]
-        z -= _most(z)
-        return x, (q, k, v), a, c, h, z
+        c /= total
+        return x, (q, k, v), a, total, c, x + c @ w["o"]
+
+    def classes_of(self, h: np.ndarray, targets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(odds of classes, their sums, natural log-probability of the target class) for rows of hidden states."""
+        z = h @ self.w["u"]
+        z += self.w["b"]
+        np.clip(z, -LIMIT, LIMIT, out=z)
+        got = z[np.arange(len(z)), targets]
+        np.exp(z, out=z)
+        total = _sums(z)
+        return z, total, got - np.log(total)
 
     def log_probability(self, rows: np.ndarray, targets: np.ndarray) -> np.ndarray:
         """Natural log-probability of the target class at every place of every window."""
-        z = self.forward(rows)[-1]
-        got = np.take_along_axis(z, targets[:, :, None], 2)[:, :, 0]
-        np.exp(z, out=z)
-        return got - np.log(z.sum(2))
+        h = self.forward(rows)[-1]
+        return self.classes_of(h.reshape(-1, WIDTH), targets.ravel())[-1].reshape(targets.shape)
 
     def _step_inside(self, h, places, weight, n, state, rate) -> tuple[float, np.ndarray]:
         """One Adagrad step of the second level: (loss, gradient of the hidden states)."""
         loss, dh = 0.0, np.zeros_like(h)
         seen = state.setdefault("v", np.zeros_like(self.w["v"]))
         live = np.flatnonzero(weight)
-        held, wanted = h[live], places[live]
-        for own, lo, v, z, got in self._inside(held, wanted):
+        live = live[np.argsort(places[live].astype(np.uint16), kind="stable")]
+        held, wanted = h.take(live, 0), places[live]
+        back = np.empty_like(held)
+        for own, lo, v, z, total, got in self._inside(held, wanted):
             loss -= float(got.sum()) / n
-            z[np.arange(len(own)), wanted[own] - lo] -= 1
-            z = z[:, :len(v)] / np.float32(n)
-            dh[live[own]] = z @ v
-            g = z.T @ held[own]
+            z[np.arange(len(z)), wanted[own] - lo] -= total
+            z, scale = z[:, :len(v)], 1 / (total * np.float32(n))[:, None]
+            np.multiply(z @ v, scale, out=back[own])
+            g = z.T @ (held[own] * scale)
             past = seen[lo:lo + len(v)]
             past += g * g
-            v -= 2 * rate * g / (np.sqrt(past) + 1e-8)
+            g *= 2 * rate
+            g /= np.sqrt(past) + 1e-8
+            v -= g
+        dh[live] = back
         return loss, dh
 
     def step(self, rows, targets, weight, state, rate, places=None):
         """One Adam step on windows; weight is 0 where a place is no subword; places are learnt within their classes if given."""
         w = self.w
-        x, (q, k, v), a, c, h, z = self.forward(rows)
-        p = np.exp(z)
-        p /= p.sum(2, keepdims=True)
-        n = max(1.0, float(weight.sum()))
-        loss = -float((np.log(np.take_along_axis(p, targets[:, :, None], 2)[:, :, 0] + 1e-12) * weight).sum()) / n
-        dz = p
-        np.put_along_axis(dz, targets[:, :, None], np.take_along_axis(dz, targets[:, :, None], 2) - 1, 2)
-        dz *= (weight / n)[:, :, None]
+        x, (q, k, v), a, total, c, h = self.forward(rows)
         flat = lambda m: m.reshape(-1, m.shape[-1])
-        g = {"u": flat(h).T @ flat(dz), "b": flat(dz).sum(0)}
+        h, wanted, share = flat(h), targets.ravel(), weight.ravel()
+        n = max(1.0, float(share.sum()))
+        dz, sums, got = self.classes_of(h, wanted)
+        loss = -float((got * share).sum()) / n
+        dz *= (share / (n * sums))[:, None]
+        dz[np.arange(len(dz)), wanted] -= share / np.float32(n)
+        g = {"u": h.T @ dz, "b": dz.sum(0)}
         dh = dz @ w["u"].T
         if places is not None:
-            more, inner = self._step_inside(flat(h), places.ravel(), weight.ravel(), n, state, rate)
+            more, inner = self._step_inside(h, places.ravel(), share, n, state, rate)
             loss += more
-            dh += inner.reshape(dh.shape)
-        g["o"] = flat(c).T @ flat(dh)
-        dc = dh @ w["o"].T
-        da = dc @ v.transpose(0, 2, 1)
+            dh += inner
+        g["o"] = flat(c).T @ dh
+        dc = (dh @ w["o"].T).reshape(c.shape)
+        mean = _sums(dc * c)[:, :, None]  # of the gradient under the attention
+        dc /= total
+        da = dc @ _turned(v)
         dv = a.transpose(0, 2, 1) @ dc
-        ds = a * (da - (da * a).sum(2, keepdims=True)) * WIDTH**-0.5
-        dqkv = np.concatenate([ds @ k, ds.transpose(0, 2, 1) @ q, dv], 2)
+        da -= mean / total
+        da *= a
+        dq = da @ k
+        dq *= np.float32(WIDTH**-0.5)
+        dqkv = np.concatenate([dq, da.transpose(0, 2, 1) @ q, dv], 2)
         g["qkv"] = flat(x).T @ flat(dqkv)
-        dx = dh + dqkv @ w["qkv"].T
+        dx = dh.reshape(x.shape) + dqkv @ w["qkv"].T
         g["p"] = dx.sum(0)
         g["e"] = np.zeros_like(w["e"])
         order = np.argsort(rows.ravel().astype(np.int16), kind="stable")
@@ -231,14 +252,10 @@ def score_ids(texts: list[bytes], net: Attention, place: np.ndarray, classes: np
     for at in range(0, len(start), chunk):
         own = start[at:at + chunk, None] + places
         inside = np.minimum(own, len(flat) - 1)
-        *_, h, z = net.forward(rows[inside])
-        got = np.take_along_axis(z, first[inside][:, :, None], 2)[:, :, 0]
-        np.exp(z, out=z)
-        got -= np.log(z.sum(2))
         keep = (own >= score_from[at:at + chunk, None]) & (own < ends[at:at + chunk, None])
-        out[own[keep]] = got[keep]
-        states.append(h[keep])
+        states.append(net.forward(rows[inside])[-1][keep])
         spots.append(own[keep])
+        out[spots[-1]] = net.classes_of(states[-1], first[spots[-1]])[-1]
         held += len(spots[-1])
         if held >= block or at + chunk >= len(start):  # the second level takes many places at once
             spot = np.concatenate(spots)
