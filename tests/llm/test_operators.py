@@ -343,6 +343,62 @@ def test_attention_is_causal_and_learns():
     assert losses[-1] < losses[0] * 0.6
 
 
+def small_net(r, size=300):
+    counts = np.zeros(lm.IDS, np.int64)
+    counts[: size - 20] = r.integers(1, 1000, size - 20)
+    place, begins, classes, share = lm.class_table(counts, size)
+    net = lm.Attention().with_subwords(begins, share, size - 20)
+    net.w["v"] += r.standard_normal(net.w["v"].shape).astype(np.float32)
+    return net, place, begins, classes, share
+
+
+def test_scores_equal_a_plain_loop():
+    r = np.random.default_rng(3)
+    net, place, begins, classes, share = small_net(r)
+    end, texts = 299, [r.integers(0, 299, n).astype("<u2") for n in (0, 1, 30, 31, 32, 55, 56, 140)]
+    w = {k: x.astype(np.float64) for k, x in net.w.items()}
+
+    def place_score(before, wanted):
+        """One place from the ids that stand before it in its window."""
+        x = w["e"][net.rows(np.array(before))] + w["p"][: len(before)]
+        q, k, v = np.split(x @ w["qkv"], 3, axis=1)
+        a = np.exp(q[-1] @ k.T / math.sqrt(lm.WIDTH))
+        h = x[-1] + (a / a.sum()) @ v @ w["o"]
+        first = np.exp(h @ w["u"] + w["b"])
+        c = classes[place[wanted]]
+        lo, hi = begins[c], begins[c + 1]
+        inner = np.exp(share[lo:hi] + np.array([w["v"][p] @ h if p < len(w["v"]) else 0.0 for p in range(lo, hi)]))
+        return math.log10(first[c] / first.sum()) + math.log10(inner[place[wanted] - lo] / inner.sum())
+
+    def plain(ids):
+        ids, step = [*ids.tolist(), end], lm.WINDOW - lm.OVERLAP
+        before = [end, *ids[:-1]]
+        return sum(place_score(before[step * max(0, (i - lm.OVERLAP) // step):i + 1], ids[i]) for i in range(len(ids)))
+
+    got = lm.score_ids([t.tobytes() for t in texts], net, place, classes, end, chunk=3, block=50)
+    assert np.allclose(got, [plain(t) for t in texts], rtol=1e-4)
+
+
+def test_gradients_are_those_of_the_loss():
+    import copy
+
+    r = np.random.default_rng(4)
+    net, place, _, classes, _ = small_net(r)
+    rows, wanted = r.integers(0, lm.ROWS, (6, lm.WINDOW)), place[r.integers(0, 300, (6, lm.WINDOW))]
+    weight = (r.random(wanted.shape) < 0.8).astype(np.float32)
+    loss = lambda n, state: n.step(rows, classes[wanted], weight, state, 1e-9, wanted)
+    state = {"t": 0}
+    loss(copy.deepcopy(net), state)
+    for name in ("e", "p", "qkv", "o", "u", "b"):
+        g = state[name][0] / 0.1  # the first mean holds a tenth of the gradient
+        far, sides = 0.02 / np.linalg.norm(g), []
+        for sign in (1, -1):
+            moved = copy.deepcopy(net)
+            moved.w[name] += np.float32(sign * far) * g
+            sides.append(loss(moved, {"t": 0}))
+        assert math.isclose((sides[0] - sides[1]) / (2 * far), float((g * g).sum()), rel_tol=0.03), name
+
+
 # 9
 
 
