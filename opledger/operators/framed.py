@@ -45,7 +45,8 @@ def read_frames(frames: DataFrame, schema_id: str | None = None) -> DataFrame:
         wrong = F.coalesce(wrong, F.when(~F.col("header.schema_id").eqNullSafe(F.lit(schema_id)), "schema"))
     text = F.decode(transport.frame_payload(F.col("frame"), F.col("header")), "UTF-8")
     sound = F.when(wrong.isNull(), text).otherwise(F.raise_error(F.concat(F.lit("frame refused: "), wrong)).cast("string"))
-    meta = F.from_json("header.metadata", "history string, patch bigint")
+    # spark_partition_id() keeps filters above this projection: pushed into it, they would hold every step of the header, and the frame, thousands of times
+    meta = F.when(F.spark_partition_id() >= 0, F.from_json("header.metadata", "history string, patch bigint"))
     read = rows.select(F.col("header.kind").alias("kind"), meta.alias("m"), sound.alias("payload"))
     one = F.when(F.col("kind") == PATCH, F.array(F.struct(F.col("m.patch").alias("patch_seq"), F.from_json("payload", f"array<{OPERATION}>").alias("ops"))))
     many = F.from_json(F.when(F.col("kind") == HISTORY, F.col("payload")), f"array<struct<patch_seq:bigint,ops:array<{OPERATION}>>>")

@@ -7,7 +7,7 @@ import random
 import pytest
 
 from opledger.functions.canonical import canonical_text
-from opledger.operators import documents
+from opledger.operators import documents, framed
 from opledger.operators.model import LOG
 
 EMPTY = dict.fromkeys(("start", "removed", "text", "idx", "fields", "values", "value"))
@@ -122,3 +122,13 @@ def test_errors_name_the_operation(spark):
     assert documents.replay(base, log.limit(0)).first().document == '{"a":1}'
     alone = spark.createDataFrame([("new", 0, 0, "SET", [], None, None, None, None, None, None, "[1]")], LOG)
     assert {r.history_id: r.document for r in documents.replay(base, alone).collect()} == {"h": '{"a":1}', "new": "[1]"}
+
+
+def test_filters_stay_above_frame_headers(spark, data):
+    """A filter that is pushed into the steps of the header would evaluate the frame thousands of times a row."""
+    from opledger.functions.transport import MAGIC
+    from opledger.plans import document_queries, registry
+
+    log = framed.read_frames(framed.patch_frames(document_queries._log(registry.table(spark, data, "events")), "fnv1a64:00"), "fnv1a64:00")
+    plan = log.filter("history_id = '7'")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(f"0x{MAGIC}") == 1
