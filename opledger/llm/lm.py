@@ -17,9 +17,10 @@ numbers of windows.  Neither depends on how rows are partitioned.
 
 Edge cases: a null or empty text is the end token alone; without training texts
 all counts are 0 and the network is left at its first state; repeated rows are
-scored each; tokens of equal count are ranked by id; very long texts are scored
-whole; an empty table gives no row; columns other than doc_id and text are not
-read, but for those of the held-out condition.
+scored each, and equal texts get equal scores whatever stands beside them; tokens
+of equal count are ranked by id; very long texts are scored whole; an empty table
+gives no row; columns other than doc_id and text are not read, but for those of
+the held-out condition.
 """
 
 from __future__ import annotations
@@ -38,6 +39,8 @@ CLASSES = 32
 #: Each class of subwords is larger than the one before by this factor.
 GROWTH = 1.22
 BATCH = 128
+#: Rows of the products that score, the last ones filled up: BLAS rounds a row by the number of rows it comes with.
+TILE = 64
 #: Bytes of ids that one shard learns from, and networks that are averaged at once.
 SHARD_BYTES = 8 << 20
 MEANS = 64
@@ -64,6 +67,15 @@ def _turned(a: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(a.transpose(0, 2, 1))
 
 
+def _tiled(a: np.ndarray, b: np.ndarray, out: np.ndarray | None = None) -> np.ndarray:
+    """a @ b, a row's product being the same wherever it stands; `out`, if given, holds whole tiles."""
+    tiles = -(-len(a) // TILE)
+    filled = np.zeros((tiles * TILE, a.shape[1]), a.dtype)
+    filled[:len(a)] = a
+    into = None if out is None else out.reshape(tiles, TILE, -1)[:, :, :b.shape[1]]
+    return np.matmul(filled.reshape(tiles, TILE, a.shape[1]), b, out=into).reshape(tiles * TILE, b.shape[1])[:len(a)]
+
+
 class Attention:
     """One layer of masked self-attention with rows of hashed subwords as input and classes as output."""
 
@@ -80,7 +92,7 @@ class Attention:
         self.w["v"] = np.zeros((used, WIDTH), np.float32)
         return self
 
-    def _inside(self, h: np.ndarray, places: np.ndarray):
+    def _inside(self, h: np.ndarray, places: np.ndarray, tiled: bool = False):
         """(rows of h, first place of their class, weights, odds, their sums, log-probability of the wanted place), class by class; places ascend."""
         cuts = np.searchsorted(places, self.begins)
         for c in np.flatnonzero(np.diff(cuts)):
@@ -89,21 +101,26 @@ class Attention:
             most = max(1, (1 << 20) // (hi - lo))
             for at in range(cuts[c], cuts[c + 1], most):
                 own = slice(at, min(at + most, cuts[c + 1]))
-                z = np.empty((own.stop - at, hi - lo), np.float32)
+                n = own.stop - at
+                z = np.empty((-(-n // TILE) * TILE if tiled else n, hi - lo), np.float32)
                 z[:, len(v):] = 0
-                np.matmul(h[own], v.T, out=z[:, :len(v)])
+                if tiled:
+                    _tiled(h[own], v.T, z)
+                    z = z[:n]
+                else:
+                    np.matmul(h[own], v.T, out=z[:, :len(v)])
                 np.clip(z, -LIMIT, LIMIT, out=z)
                 z += self.share[lo:hi]  # shares of a class come to one, so the sum of its odds lies within e**LIMIT of it
                 got = z[np.arange(len(z)), places[own] - lo]
                 np.exp(z, out=z)
-                total = _sums(z)
+                total = z.sum(-1) if tiled else _sums(z)
                 yield own, lo, v, z, total, got - np.log(total)
 
     def inside(self, h: np.ndarray, places: np.ndarray) -> np.ndarray:
         """Natural log-probability of places, each within its class, given hidden states."""
         order = np.argsort(places.astype(np.uint16), kind="stable")
         out = np.empty(len(h))
-        for own, *_, got in self._inside(h.take(order, 0), places[order]):
+        for own, *_, got in self._inside(h.take(order, 0), places[order], True):
             out[order[own]] = got
         return out
 
@@ -116,7 +133,7 @@ class Attention:
         w = self.w
         x = w["e"].take(rows, 0)
         x += w["p"]
-        q, k, v = np.split((x.reshape(-1, WIDTH) @ w["qkv"]).reshape(len(rows), WINDOW, 3 * WIDTH), 3, axis=2)
+        q, k, v = np.split(x @ w["qkv"], 3, axis=2)  # here and below one product a window
         q *= np.float32(WIDTH**-0.5)
         a = _exp(q @ _turned(k))
         a *= self.mask
@@ -125,14 +142,14 @@ class Attention:
         c /= total
         return x, (q, k, v), a, total, c, x + c @ w["o"]
 
-    def classes_of(self, h: np.ndarray, targets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def classes_of(self, h: np.ndarray, targets: np.ndarray, tiled: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(odds of classes, their sums, natural log-probability of the target class) for rows of hidden states."""
-        z = h @ self.w["u"]
+        z = _tiled(h, self.w["u"]) if tiled else h @ self.w["u"]
         z += self.w["b"]
         np.clip(z, -LIMIT, LIMIT, out=z)
         got = z[np.arange(len(z)), targets]
         np.exp(z, out=z)
-        total = _sums(z)
+        total = z.sum(-1) if tiled else _sums(z)
         return z, total, got - np.log(total)
 
     def log_probability(self, rows: np.ndarray, targets: np.ndarray) -> np.ndarray:
@@ -255,7 +272,7 @@ def score_ids(texts: list[bytes], net: Attention, place: np.ndarray, classes: np
         keep = (own >= score_from[at:at + chunk, None]) & (own < ends[at:at + chunk, None])
         states.append(net.forward(rows[inside])[-1][keep])
         spots.append(own[keep])
-        out[spots[-1]] = net.classes_of(states[-1], first[spots[-1]])[-1]
+        out[spots[-1]] = net.classes_of(states[-1], first[spots[-1]], True)[-1]
         held += len(spots[-1])
         if held >= block or at + chunk >= len(start):  # the second level takes many places at once
             spot = np.concatenate(spots)

@@ -269,3 +269,18 @@ def test_revisits_meet_payloads_by_id_and_digest(spark, monkeypatch):
     pages = spark.createDataFrame(made, "page_id bigint, html string").selectExpr("page_id", "'u' AS url", "html")
     got = Counter((r.page_id, r.html[0], r.refers_to) for r in warc.decide(pages).collect())
     assert got == {(5, "x", 3): 1, (3, "x", None): 2, (9, "y", None): 1, (9, "x", 3): 1, (None, "x", 3): 1, (None, "z", None): 1, (1, "x", None): 1}
+
+
+def test_scores_of_equal_texts_are_equal_beside_any_others():
+    """To the last bit: BLAS rounds a row of a product by the number of rows, so batches of other sizes once scored a text apart."""
+    r = np.random.default_rng(8)
+    texts = [r.integers(0, 300, n).astype("<u2").tobytes() for n in r.integers(0, 90, 120)]
+    counts = np.bincount(np.frombuffer(b"".join(texts), "<u2"), minlength=lm.IDS)
+    end = 320
+    place, begins, classes, share = lm.class_table(counts, end + 1)
+    net = lm.Attention().with_subwords(begins, share, int((counts > 0).sum()))
+    net.w["v"][:] = r.standard_normal(net.w["v"].shape)
+    together = lm.score_ids(texts, net, place, classes, end)
+    assert [lm.score_ids([t], net, place, classes, end)[0] for t in texts] == together
+    order = r.permutation(len(texts)).tolist()[:77]
+    assert lm.score_ids([texts[i] for i in order], net, place, classes, end, chunk=5, block=64) == [together[i] for i in order]
