@@ -7,6 +7,8 @@ and one final aggregation; a bound on the place is a filter that reaches the sca
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -24,21 +26,25 @@ def until(log: DataFrame, place: str | Column, bound: int | None) -> DataFrame:
 def numbered(log: DataFrame, *order: str, name: str = "place") -> DataFrame:
     """Places 0, 1, ... by a total order, without one task that sees all rows: ranges, then row numbers within them.
 
-    The range of a row is a column, found by quantiles of the first order column (numbers, dates and times), so that all
-    branches of the plan agree on it however partitions are merged; without such a column one window numbers all.
+    The range of a row is a column, found by quantiles of the first order column (numbers, dates and times); without such a
+    column one window numbers all.  Quantiles and sizes of ranges, one each a shuffle partition, are counted when this is
+    called and stand in the plan as values.  A join with the sizes would have both sides compute the range from one scan's
+    column, and the optimizer has put a filter on that column into the side that lacks it.
     """
     first, kind = order[0], dict(log.dtypes)[order[0]]
     if kind not in ("tinyint", "smallint", "int", "bigint", "float", "double", "date", "timestamp", "timestamp_ntz"):
         return log.withColumn(name, F.row_number().over(W.orderBy(*order)) - 1)
-    stamp = F.unix_micros(F.col(first).cast("timestamp")) if kind in ("date", "timestamp", "timestamp_ntz") else F.col(first)
+    stamp = (F.unix_micros(F.col(first).cast("timestamp")) if kind in ("date", "timestamp", "timestamp_ntz") else F.col(first)).cast("double")
     parts = int(log.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cuts = log.select(F.percentile_approx(stamp.cast("double"), [i / parts for i in range(1, parts)] or [1.0], 10_000).alias("c")).first().c or []
-    dealt = log.withColumn("_range", F.coalesce(F.size(F.filter(F.array(*map(F.lit, cuts)) if cuts else F.array().cast("array<double>"), lambda c: c < stamp.cast("double"))), F.lit(0)))
-    sizes = dealt.groupBy("_range").agg(F.count("*").alias("_n"))
-    before = sizes.withColumn("_base", F.coalesce(F.sum("_n").over(W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    cuts = log.select(F.percentile_approx(stamp, [i / parts for i in range(1, parts)] or [1.0], 10_000).alias("c")).first().c or []
+    # how many cuts lie below the row, by halving; beyond the last cut stands null, which is not below
+    steps, places = [1 << i for i in reversed(range(len(cuts).bit_length()))], F.array(*map(F.lit, cuts))
+    below = F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), lambda n, s: n + F.when(F.get(places, n + s - 1) < stamp, s).otherwise(0)) if cuts else F.lit(0)
+    dealt = log.withColumn("_range", below)
+    sizes = {r[0]: r[1] for r in dealt.groupBy("_range").agg(F.count("*")).collect()}
+    bases = [0, *accumulate(sizes.get(i, 0) for i in range(len(cuts)))]
     inside = F.row_number().over(W.partitionBy("_range").orderBy(*order))
-    # one row per range: as many as shuffle partitions
-    return dealt.join(F.broadcast(before), "_range").withColumn(name, F.col("_base") + inside - 1).drop("_range", "_base", "_n")
+    return dealt.withColumn(name, F.get(F.array(*[F.lit(b).cast("bigint") for b in bases]), F.col("_range")) + inside - 1).drop("_range")
 
 
 def last_writes(log: DataFrame, path: list[str], place: list[str], values: list[str]) -> DataFrame:

@@ -1,6 +1,8 @@
 """Replay, difference, log files and streams."""
 
 import random
+import subprocess
+import sys
 
 import pytest
 from pyspark.sql import functions as F
@@ -24,6 +26,32 @@ def test_numbered_is_dense(spark):
     assert [r.place for r in got] == list(range(500))
 
 
+def test_numbered_with_nulls_ties_and_any_number_of_ranges(spark):
+    df = spark.range(0, 300).selectExpr("id", "if(id % 5 = 0, null, id % 7) AS x", "CAST(NULL AS double) AS y", "if(id % 9 = 0, double('NaN'), id / 3) AS z")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for parts in (1, 3, 20):
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            for first in "xyz":
+                got = replay.numbered(df, first, "id").orderBy(first, "id").collect()
+                assert [r.place for r in got] == list(range(300)), (parts, first)
+            assert replay.numbered(df.filter("id < 0"), "x", "id").isEmpty()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_numbered_as_the_first_query_of_a_session(data):
+    """What the optimizer infers depends on the numbers of columns, so a new session is needed."""
+    code = f"""
+from pyspark.sql import SparkSession
+from opledger.plans import catalogue
+spark = SparkSession.builder.master("local[2]").config("spark.sql.shuffle.partitions", "3").config("spark.ui.enabled", "false").getOrCreate()
+print("rows", len(catalogue.QUERIES["replay_until_place"](spark, {data!r}).collect()))
+"""
+    done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=300)
+    assert done.returncode == 0 and "rows " in done.stdout, done.stderr[-3000:]
+
+
 def test_other_path_after_a_splice_does_not_disturb_it(spark):
     """A splice on one path and a SET on another are replayed each on its own path."""
     log = spark.createDataFrame([("a", 0, "xyz"), ("b", 1, "1"), ("a", 2, "q"), ("b", 3, None)], "path string, seq int, value string")
