@@ -23,7 +23,8 @@ def varint_length(v: Column) -> Column:
 def varint_hex(v: Column) -> Column:
     """Base-128 bytes, least first, as lower-case hex."""
     step = lambda i: F.call_function("shiftright", v, (7 * i).cast("int")).bitwiseAND(127) + F.when(i < varint_length(v) - 1, 128).otherwise(0)
-    return F.array_join(F.transform(F.sequence(F.lit(0).cast("bigint"), varint_length(v) - 1), lambda i: F.lower(F.lpad(F.hex(step(i)), 2, "0"))), "")
+    two = lambda n: F.lower(F.lpad(F.hex(n), 2, "0"))
+    return F.when(v.between(0, 127), two(v)).otherwise(F.array_join(F.transform(F.sequence(F.lit(0).cast("bigint"), varint_length(v) - 1), lambda i: two(step(i))), ""))
 
 
 def varint_bytes(v: Column) -> Column:
@@ -31,7 +32,12 @@ def varint_bytes(v: Column) -> Column:
 
 
 def read_varint(b: Column, at: Column) -> Column:
-    """struct(value, length) of the varint that starts at a zero-based place of a binary column; both null if it does not end."""
+    """struct(value, length) of the varint that starts at a zero-based place of a binary column; both null if it does not end.
+
+    One or two bytes, as nearly all have, are read by plain arithmetic; only longer ones go through the fold.
+    """
+    byte = lambda i: F.conv(F.hex(F.substring(b, (at + 1 + i).cast("int"), F.lit(1))), 16, 10).cast("int")
+    found = lambda v, n: F.struct(v.cast("bigint").alias("value"), F.lit(n).cast("bigint").alias("length"))
     text = F.hex(F.substring(b, (at + 1).cast("int"), F.lit(9)))
     digits = F.transform(F.sequence(F.lit(0), F.lit(8)), lambda i: F.conv(F.substring(text, 2 * i + 1, F.lit(2)), 16, 10).cast("int"))
 
@@ -45,7 +51,7 @@ def read_varint(b: Column, at: Column) -> Column:
 
     start = F.struct(F.lit(0).cast("bigint").alias("v"), F.lit(None).cast("int").alias("n"), F.lit(0).alias("i"))
     done = lambda s: F.struct(F.when(s["n"].isNotNull(), s["v"]).alias("value"), s["n"].cast("bigint").alias("length"))
-    return F.aggregate(digits, start, step, done)
+    return F.when(byte(0) < 128, found(byte(0), 1)).when(byte(1) < 128, found(byte(0) - 128 + 128 * byte(1), 2)).otherwise(F.aggregate(digits, start, step, done))
 
 
 def utf16_length(text: Column) -> Column:

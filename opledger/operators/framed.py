@@ -24,8 +24,9 @@ def _metadata(**values: Column) -> Column:
 
 def patch_frames(log: DataFrame, schema_id: str) -> DataFrame:
     """history_id, patch_seq, frame of every patch."""
-    meta = _metadata(history=F.col("history_id"), patch=F.col("patch_seq"))
-    return patch_texts(log).select("history_id", "patch_seq", transport.frame(F.lit(PATCH), F.lit(schema_id), meta, F.col("patch")).alias("frame"))
+    # metadata are a column of their own: in a frame they stand several times
+    texts = patch_texts(log).withColumn("meta", _metadata(history=F.col("history_id"), patch=F.col("patch_seq")))
+    return texts.select("history_id", "patch_seq", transport.frame(F.lit(PATCH), F.lit(schema_id), F.col("meta"), F.col("patch")).alias("frame"))
 
 
 def history_frames(log: DataFrame, schema_id: str) -> DataFrame:

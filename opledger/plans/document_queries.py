@@ -37,6 +37,13 @@ def _bases(events: DataFrame) -> DataFrame:
     return events.select(F.col("user_id").cast("string").alias("history_id")).distinct().withColumn("document", F.lit(BASE))
 
 
+def _kept(rows: DataFrame) -> DataFrame:
+    """The rows, written once: replay reads its log for each of its joins, and would compute a costly one as often."""
+    folder = f"{shared_folder(rows.sparkSession)}/rows"
+    rows.write.parquet(folder)
+    return rows.sparkSession.read.schema(rows.schema).parquet(folder)
+
+
 def _mixed_sql(where: str) -> str:
     return f"""WITH e AS (SELECT user_id, event_id, event_type, floor(value)::BIGINT AS v, event_id % 7 AS k FROM events {where}), u AS (SELECT DISTINCT user_id FROM events),
 leaf AS (SELECT user_id, event_type AS key, arg_max({{'gone': k = 1, 'v': v}}, event_id) AS w FROM e WHERE k < 3 GROUP BY ALL), zed AS (SELECT user_id, max(event_id) AS v FROM e WHERE k = 2 GROUP BY 1),
@@ -92,8 +99,8 @@ def diff_documents_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     log = _log(events)
     early = documents.replay(_bases(events), log, 600).withColumnRenamed("document", "before")
     late = documents.replay(_bases(events), log).withColumnRenamed("document", "after")
-    patches = documents.diff(early.join(late, "history_id"))
-    return documents.replay(early.withColumnRenamed("before", "document"), patches)
+    pairs = _kept(early.join(late, "history_id"))
+    return documents.replay(pairs.select("history_id", F.col("before").alias("document")), _kept(documents.diff(pairs)))
 
 
 @query("""SELECT user_id::VARCHAR AS history_id, event_id AS patch_seq, CASE event_id % 7 WHEN 1 THEN '[{"op":"REMOVE","path":["' || event_type || '"]}]'
@@ -110,7 +117,7 @@ def patch_texts(spark: SparkSession, d: str) -> DataFrame:
 def patch_texts_replayed(spark: SparkSession, d: str) -> DataFrame:
     """Patches written as texts, read again and replayed."""
     events = table(spark, d, "events")
-    return documents.replay(_bases(events), documents.read_patches(documents.patch_texts(_log(events))))
+    return documents.replay(_bases(events), _kept(documents.read_patches(documents.patch_texts(_log(events)))))
 
 
 _OBJECTS = """(SELECT event_id, {key} AS owner, unnest(CASE event_id % 3 WHEN 0 THEN [{{'key': 'score', 'v': floor(value)::BIGINT}}] WHEN 1 THEN [{{'key': 'score', 'v': floor(value)::BIGINT}}, {{'key': 'rank', 'v': event_id}}] ELSE [{{'key': event_type, 'v': event_id}}] END, recursive := true) FROM events)"""
@@ -143,7 +150,7 @@ def replay_assign_open(spark: SparkSession, d: str) -> DataFrame:
 def patch_frames_replayed(spark: SparkSession, d: str) -> DataFrame:
     """Patches framed one by one, decoded to a log and replayed."""
     events = table(spark, d, "events")
-    return documents.replay(_bases(events), framed.read_frames(framed.patch_frames(_log(events), SCHEMA_ID), SCHEMA_ID))
+    return documents.replay(_bases(events), _kept(framed.read_frames(framed.patch_frames(_log(events), SCHEMA_ID), SCHEMA_ID)))
 
 
 @query(_mixed_sql(""))

@@ -132,3 +132,12 @@ def test_filters_stay_above_frame_headers(spark, data):
     log = framed.read_frames(framed.patch_frames(document_queries._log(registry.table(spark, data, "events")), "fnv1a64:00"), "fnv1a64:00")
     plan = log.filter("history_id = '7'")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count(f"0x{MAGIC}") == 1
+
+
+@pytest.mark.parametrize("name", ["patch_frames_replayed", "patch_texts_replayed", "diff_documents_roundtrip"])
+def test_replay_reads_a_costly_log_once(spark, data, name):
+    """Replay joins its log with itself: what decodes or compares must not stand in its plan as often."""
+    from opledger.plans import catalogue
+
+    plan = catalogue.QUERIES[name](spark, data)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "from_json" not in plan

@@ -33,6 +33,14 @@ def test_unfinished_varint_is_null(spark):
     assert [r.x.value for r in df.select(enc.read_varint(F.col("b"), F.lit(0)).alias("x")).collect()] == [None, None]
 
 
+def test_varints_of_one_to_three_bytes_at_any_place(spark):
+    """What stands before and after does not matter, and a varint that the data cut off is null."""
+    rows = [(lead, n, cut) for lead in (b"", b"\x81", b"\x7f\xff") for n in (0, 127, 128, 255, 256, 16383, 16384, 2097151) for cut in (0, 1)]
+    df = spark.createDataFrame([(len(lead), n, cut, bytearray(lead + varint(n)[:len(varint(n)) - cut] + (b"" if cut else b"\x05"))) for lead, n, cut in rows], "at int, n bigint, cut int, b binary")
+    for r in df.select("n", "cut", enc.read_varint(F.col("b"), F.col("at")).alias("x")).collect():
+        assert (r.x.value, r.x.length) == ((None, None) if r.cut else (r.n, len(varint(r.n))))
+
+
 def test_shortest_period(spark):
     lists = [[1, 2, 1, 2], [1, 1, 1], [1, 2, 3], [5], [], [1, 2, 1]]
     df = spark.createDataFrame([(i, a) for i, a in enumerate(lists)], "i int, a array<int>")
